@@ -4,7 +4,8 @@ A source's ratio r = target / size says how often its documents are taken: floor
 inclusion probability r - floor(r). The cube method (Deville and Tille; in the fast form of Chauvet and Tille) settles
 those probabilities: the flight phase moves three of them at a time along the null-space of two constraints, the token
 total and the document total, until one of the three is 0 or 1. A block of any size so ends with at most two fractional
-units, and only these go on to the next level. A small landing problem, at most two units a source, remains.
+units, and only these go on to the next level. A small landing problem, some units
+a source, remains: all its outcomes are tried for the one nearest to the totals.
 """
 
 from __future__ import annotations
@@ -85,11 +86,26 @@ def landing(probability: np.ndarray, amount: np.ndarray) -> np.ndarray:
     live = np.flatnonzero((p > 0) & (p < 1))
     if len(live):
         want, units = (p[live] * amount[live]).sum(), p[live].sum()
-        picks = [np.array([k >> i & 1 for i in range(len(live))], float) for k in range(1 << len(live))]
-        p[live] = min(picks, key=lambda s: (abs((s * amount[live]).sum() - want), abs(s.sum() - units)))
+        picks = (np.arange(1 << len(live))[:, None] >> np.arange(len(live)) & 1).astype(float)
+        miss, odd = np.abs(picks @ amount[live] - want), np.abs(picks.sum(1) - units)
+        p[live] = picks[np.lexsort((odd, miss.round(6)))[0]]
     return p
 
 
+def settle_all(probability: np.ndarray, amount: np.ndarray, draw: np.ndarray, spare: int = 12) -> np.ndarray:
+    """Flight of all units but `spare` ones of evenly spread amounts, then the landing of these and what the flight left.
+
+    A large unit that stays fractional to the end could not be settled near the total by itself; the spare units make up.
+    """
+    open_units = np.flatnonzero((probability > NEAR) & (probability < 1 - NEAR))
+    by_amount = open_units[np.argsort(amount[open_units], kind="stable")]
+    held = by_amount[np.unique(np.linspace(0, len(by_amount) - 1, min(spare, len(by_amount))).astype(int))]
+    fly = np.setdiff1d(np.arange(len(probability)), held)
+    p = probability.astype(float).copy()
+    p[fly] = flight(p[fly], amount[fly], draw[fly])
+    return landing(p, amount)
+
+
 def _draws(hashes: np.ndarray, level: int) -> np.ndarray:
     """Numbers in [0, 1) from stable hashes, other ones at each level."""
     z = hashes.view(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (level + 1)) & (2**64 - 1))
@@ -126,10 +142,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
     def settle(level: int, last: bool):
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["amount", "h"], ascending=[False, True], kind="stable")  # so that small units are left over
-            amount = pdf["amount"].to_numpy()
-            p = flight(pdf["p"].to_numpy(), amount, _draws(pdf["h"].to_numpy(), level + zlib.crc32(str(key).encode())))
-            return pdf.assign(p=landing(p, amount) if last else p)
+            pdf = pdf.sort_values(["h", "amount"], kind="stable")
+            move = settle_all if last else flight
+            return pdf.assign(p=move(pdf["p"].to_numpy(), pdf["amount"].to_numpy(), _draws(pdf["h"].to_numpy(), level + zlib.crc32(str(key).encode()))))
 
         return run
 
