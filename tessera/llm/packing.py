@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_WORDS = 400_000
+CACHED_WORDS, CACHED_CORES = 300_000, 400_000
+TRAILING = b".,;:!?|%&$*#"
 
 
 def decompose(length: int, most: int = 4096) -> list[int]:
@@ -25,28 +26,76 @@ def decompose(length: int, most: int = 4096) -> list[int]:
     return [most] * (length // most) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-class WordTokens(dict):
-    """Token ids (little-endian unsigned 32-bit) of words between ASCII white space, as the tokenizer gives them.
+class Generations(dict):
+    """A bounded cache: entries used since the last turn-over are in the dict, those before in `old`; a hit there moves back.
 
-    The tokenizer splits at white space before anything else, so a text's ids are those of its words in order. The cache
-    is emptied when it is full; its size bounds memory and changes no result.
+    Two generations of `most` entries bound the memory and change no result.
     """
 
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def make(self, key: bytes) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: bytes) -> bytes:
+        if (value := self.old.get(key)) is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class _Encoded(Generations):
+    """Token ids (little-endian unsigned 32-bit) of strings, straight from the tokenizer."""
+
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        super().__init__(CACHED_CORES)
+        self.encode = Tokenizer.from_file(path).encode_batch_fast
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        ids = np.array(self.encode(word.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self[word] = ids
-        return ids
+    def make(self, key: bytes) -> bytes:
+        return np.array(self.encode([key.decode("utf-8")], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+
+class WordTokens(Generations):
+    """Token ids of words between ASCII white space, as the tokenizer gives them.
+
+    The tokenizer splits at white space before anything else, so a text's ids are those of its words in order. It also
+    ends a run of letters or digits before punctuation, so a word's trailing punctuation is encoded apart from a core
+    that ends in one; and it folds case, so an ASCII core needs to be met in one case only. All other words are encoded
+    as they are.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(CACHED_WORDS)
+        self.parts = _Encoded(path)
+
+    def make(self, word: bytes) -> bytes:
+        core = word.rstrip(TRAILING)
+        plain = core.isascii() and b"<" not in core
+        last = core[-1:] if plain else core[-4:].decode("utf-8", "ignore")[-1:]
+        if not last.isalnum() or len(last.lower()) > 1:
+            return self.parts[word]
+        tail = word[len(core) :]
+        return self.parts[core.lower() if plain else core] + (self.parts[tail] if tail else b"")
+
+
+_TOKENS: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The cache of this Python worker, which serves one task after another."""
+    if path not in _TOKENS:
+        _TOKENS[path] = WordTokens(path)
+    return _TOKENS[path]
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,7 +112,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most:
     schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("start", "long").add("length", "long").add("tokens", "binary").add("doc_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordTokens(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        words, end = word_tokens(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             doc, start, length, tokens, total, held = [], [], [], [], [], 0
 
