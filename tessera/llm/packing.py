@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_WORDS, CACHED_CORES = 300_000, 400_000
+CACHED_WORDS, CACHED_CORES = 600_000, 600_000
 TRAILING = b".,;:!?|%&$*#"
 
 
