@@ -148,7 +148,8 @@ def search(
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(x, pa.binary()), pa.array(e, pa.int64()), pa.array(cells, pa.binary())], names=["i", "x", "e", "cells"])
 
     asked = valid.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0).select("vec_id", "v")
-    queries = _with_bytes(asked.select("v").distinct(), d)
+    parts = max(1, asked.count() // 128)  # a walk costs some 10 ms, so these are tasks of a second or two
+    queries = _with_bytes(asked.select("v").distinct().repartition(parts, "v"), d)
     wanted = stash(queries.mapInArrow(probe, "i int, x binary, e long, cells binary"), "probes")
 
     rows_in, asks_in = counts.sum(1), {r["i"]: r["count"] for r in wanted.groupBy("i").count().collect()}
