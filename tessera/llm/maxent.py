@@ -6,8 +6,8 @@ the class of rare tokens, by the beginning of the word. The model gives
     P(token | context) = P(class | context) * P(slot | class, context) * P(token | slot),
 
 where the last factor is 1 for a frequent token and a smoothed unigram within a rare slot. Both softmaxes have 32
-outcomes, and their logits are sums of hashed weights over n-gram and skip features of the three slots before: w1, w1 w2,
-w2 alone, w3 alone. All factors are normalised, so the scores of two models of one vocabulary can be compared.
+outcomes, and their logits are sums of hashed weights over n-gram and skip features of the two slots before: w1, w1 w2, and
+w2 alone. All factors are normalised, so the scores of two models of one vocabulary can be compared.
 
 Training is one pass of AdaGrad over every training document, in all tasks at once from common zeros; a row of weights is
 then averaged over the tasks by how often each has met it (iterative parameter mixing). Unigram counts cover all training
@@ -36,10 +36,10 @@ SLOTS = CLASSES * MEMBERS
 BEGIN = SLOTS  # the slot before a text
 END_KEY = 0  # hash of the end token; no word has it, see token_key
 CLASS_ROWS, MEMBER_ROWS = 1 << 14, 1 << 15
-FEATURES = 4
+FEATURES = 3
 CHUNK = 8192
 RATE = 0.15
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 BLOCK = 1024  # rows of weights that travel together
 
 
@@ -99,12 +99,22 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, known: int = 131_072) -> Vocabulary:
-    """Read the totals and the `known` most frequent tokens (ties by key) of a table of counts."""
+    """Read the totals and at most `known` of the most frequent tokens of a table of counts."""
     n, v = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     mass = np.full(MEMBERS, 0.5)  # for the unseen words of each rare slot
     for r in counts.filter("rare >= 0").groupBy("rare").agg(F.sum(F.col("c") + 0.5).alias("m")).collect():
         mass[r["rare"]] += r["m"]
-    top = counts.filter("rare >= 0").orderBy(F.desc("c"), "key").limit(known).toPandas()
+    # Counts fall into at most some thousand classes, 64 for each doubling; whole classes are taken from the top, as many
+    # as have `known` tokens together, so that no list of candidates meets in one place.
+    kind = F.floor(F.log2("c") * 64).cast("int")
+    taken, least = 0, None
+    for r in counts.filter("rare >= 0").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("kind")).collect():
+        taken += r["n"]
+        if taken > known:
+            break
+        least = r["kind"]
+    top = counts.filter("rare >= 0").filter(F.lit(False) if least is None else kind >= least).toPandas()
+    top = top.sort_values(["c", "key"], ascending=[False, True], kind="stable")
     frequent = SLOTS - MEMBERS - 1
     head = top.iloc[:frequent]
     np.subtract.at(mass, head["rare"].to_numpy(), head["c"].to_numpy() + 0.5)
@@ -118,28 +128,39 @@ def vocabulary(counts: DataFrame, known: int = 131_072) -> Vocabulary:
 
 
 class Codes(dict):
-    """word -> slot + SLOTS * (1 + place among the known tokens, 0 if not there)."""
+    """word -> slot + SLOTS * (1 + place among the known tokens, 0 if not there).
+
+    Words met since the last turn-over are in the dict, those before in `old`: two generations of CACHED_WORDS.
+    """
 
     def __init__(self, v: Vocabulary):
         super().__init__()
-        self.v = v
-
-    def place(self, key: int) -> int:
-        at = int(np.searchsorted(self.v.keys, key))
-        return at if at < len(self.v.keys) and self.v.keys[at] == key else -1
+        own = {k: (int(s), SLOTS * (at + 1)) for at, (k, s) in enumerate(zip(v.keys.tolist(), v.slots.tolist(), strict=True))}
+        self.frequent = {k: s + n for k, (s, n) in own.items() if s >= 0}
+        self.others = {k: n for k, (s, n) in own.items() if s < 0}
+        self.old: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
+        if (code := self.old.get(word)) is None:
+            key = xxhash.xxh64_intdigest(word) or 1
+            key = key - (1 << 64) if key >> 63 else key
+            if (code := self.frequent.get(key)) is None:
+                code = zlib.crc32(word[:2]) % MEMBERS + self.others.get(key, 0)
         if len(self) >= CACHED_WORDS:
+            self.old = dict(self)
             self.clear()
-        at = self.place(token_key(word))
-        slot = int(self.v.slots[at]) if at >= 0 else -1
-        code = (slot if slot >= 0 else rare_slot(word)) + SLOTS * (at + 1)
         self[word] = code
         return code
 
     def end(self) -> int:
-        at = self.place(END_KEY)
-        return int(self.v.slots[at]) + SLOTS * (at + 1)
+        return self.frequent[END_KEY]
+
+
+def codes_of(v: Vocabulary) -> Codes:
+    """The cache of this Python worker: the broadcast vocabulary is one object for all its tasks."""
+    if not hasattr(v, "_codes"):
+        v._codes = Codes(v)
+    return v._codes
 
 
 @dataclass
@@ -154,9 +175,9 @@ class Model:
 
 def contexts(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed feature numbers (FEATURES x n) of each position of one text, for the class and, with the class, for the member."""
-    w = np.concatenate([np.full(3, BEGIN), slots]).astype(np.uint64)
-    w1, w2, w3 = w[2:-1], w[1:-2], w[:-3]
-    raw = np.stack([w1, w1 * np.uint64(2053) + w2 + np.uint64(1 << 22), w2 + np.uint64(1 << 24), w3 + np.uint64(1 << 25)])
+    w = np.concatenate([np.full(2, BEGIN), slots]).astype(np.uint64)
+    w1, w2 = w[1:-1], w[:-2]
+    raw = np.stack([w1, w1 * np.uint64(2053) + w2 + np.uint64(1 << 22), w2 + np.uint64(1 << 24)])
     mixed = raw * np.uint64(0x9E3779B97F4A7C15)
     of_class = (mixed >> np.uint64(64 - 14)).astype(np.uint16)
     both = (mixed ^ (slots // MEMBERS).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
@@ -182,6 +203,15 @@ def softmax_rows(weights: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np
     return z
 
 
+def log_softmax(weights: np.ndarray, rows: np.ndarray, start: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    z = weights[rows[0]] + start
+    for f in rows[1:]:
+        z += weights[f]
+    z -= z.max(1, keepdims=True)
+    of_hit = z[np.arange(len(hit)), hit].astype(float)
+    return of_hit - np.log(np.exp(z, out=z).sum(1, dtype=float))
+
+
 def descend(weights: np.ndarray, gains: np.ndarray, visits: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
     """AdaGrad on the rows of weights that a chunk has met."""
     for f in rows:
@@ -190,15 +220,17 @@ def descend(weights: np.ndarray, gains: np.ndarray, visits: np.ndarray, rows: np
         first = np.flatnonzero(np.r_[True, sorted_f[1:] != sorted_f[:-1]])
         names, n = sorted_f[first], np.diff(np.r_[first, len(sorted_f)])
         g = np.add.reduceat(grad[order], first, axis=0)
-        gains[names] += g * g
-        weights[names] -= RATE * g / np.sqrt(gains[names])
+        gain = gains[names] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        gains[names] = gain
+        g *= (-RATE / np.sqrt(gain))[:, None]
+        weights[names] += g
         visits[names] += n
 
 
 class Trainer:
     def __init__(self, v: Vocabulary):
-        self.codes, self.model, (self.open_class, self.open_member) = Codes(v), Model.zero(), open_logits(v)
-        self.gains = [np.full_like(self.model.by_class, 1e-2), np.full_like(self.model.by_member, 1e-2)]
+        self.codes, self.model, (self.open_class, self.open_member) = codes_of(v), Model.zero(), open_logits(v)
+        self.gains = [np.full(CLASS_ROWS, 1e-2, np.float32), np.full(MEMBER_ROWS, 1e-2, np.float32)]
         self.visits = [np.zeros(CLASS_ROWS, np.float32), np.zeros(MEMBER_ROWS, np.float32)]
         self.slots, self.held = [], 0
         self.last = self.codes.end() % SLOTS
@@ -274,7 +306,7 @@ def fit(docs: DataFrame, v: Vocabulary, id_col: str, text_col: str) -> Model:
 
 class Scorer:
     def __init__(self, v: Vocabulary, m: Model):
-        self.v, self.model, self.codes = v, m, Codes(v)
+        self.v, self.model, self.codes = v, m, codes_of(v)
         self.open_class, self.open_member = open_logits(v)
         self.log_count = np.log10(v.counts + 0.5)
         self.log_rare = np.log10(v.rare_mass)
@@ -282,10 +314,9 @@ class Scorer:
 
     def slot_logs(self, of_class: np.ndarray, of_member: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """log10 of P(slot | context) for a chunk of positions."""
-        cls, every = slots // MEMBERS, np.arange(len(slots))
-        a = softmax_rows(self.model.by_class, of_class, self.open_class)[every, cls]
-        b = softmax_rows(self.model.by_member, of_member, self.open_member[cls])[every, slots % MEMBERS]
-        return np.log10(np.maximum(a, 1e-30).astype(float)) + np.log10(np.maximum(b, 1e-30).astype(float))
+        cls = slots // MEMBERS
+        a = log_softmax(self.model.by_class, of_class, self.open_class, cls)
+        return (a + log_softmax(self.model.by_member, of_member, self.open_member[cls], slots % MEMBERS)) / np.log(10)
 
     def text(self, text: bytes) -> tuple[np.ndarray, np.ndarray, int, int, float, float, dict[int, int]]:
         """Slots, their rows; n_tokens, n_known, base and model terms of the known counts, and the other tokens' keys."""
