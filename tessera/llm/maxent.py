@@ -184,32 +184,32 @@ def contexts(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of_class, (both >> np.uint64(64 - 15)).astype(np.uint16)
 
 
-def open_logits(v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """0 where a class or a member has tokens, else far below (rare slots are always open, as any word may come)."""
+def open_logits(v: Vocabulary) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """None if every slot is in use; else 0 where a class or a member has tokens, else far below (rare slots are always open, as any word may come)."""
     used = np.zeros(SLOTS, bool)
     used[:MEMBERS] = True
     used[v.slots[v.slots >= 0]] = True
+    if used.all():
+        return None, None
     member = np.where(used.reshape(CLASSES, MEMBERS), 0, -1e4).astype(np.float32)
     return member.max(1), member
 
 
-def softmax_rows(weights: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]] + start
+def exp_logits(weights: np.ndarray, rows: np.ndarray, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the summed weights of each position's rows, and their sums. Logits are held below 60, so nothing overflows."""
+    z = weights.take(rows[0], axis=0, mode="clip")
     for f in rows[1:]:
-        z += weights[f]
-    z -= z.max(1, keepdims=True)
+        z += weights.take(f, axis=0, mode="clip")
+    if start is not None:
+        z += start
+    np.minimum(z, 60, out=z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+    return z, z @ np.ones(z.shape[1], np.float32)
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray, start: np.ndarray, hit: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]] + start
-    for f in rows[1:]:
-        z += weights[f]
-    z -= z.max(1, keepdims=True)
-    of_hit = z[np.arange(len(hit)), hit].astype(float)
-    return of_hit - np.log(np.exp(z, out=z).sum(1, dtype=float))
+def log_softmax(weights: np.ndarray, rows: np.ndarray, start: np.ndarray | None, hit: np.ndarray) -> np.ndarray:
+    z, total = exp_logits(weights, rows, start)
+    return np.log(np.maximum(z[np.arange(len(hit)), hit], 1e-37)) - np.log(total)
 
 
 def descend(weights: np.ndarray, gains: np.ndarray, visits: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
@@ -219,7 +219,7 @@ def descend(weights: np.ndarray, gains: np.ndarray, visits: np.ndarray, rows: np
         sorted_f = f[order]
         first = np.flatnonzero(np.r_[True, sorted_f[1:] != sorted_f[:-1]])
         names, n = sorted_f[first], np.diff(np.r_[first, len(sorted_f)])
-        g = np.add.reduceat(grad[order], first, axis=0)
+        g = np.add.reduceat(grad.take(order, axis=0, mode="clip"), first, axis=0)
         gain = gains[names] + np.einsum("ij,ij->i", g, g) / g.shape[1]
         gains[names] = gain
         g *= (-RATE / np.sqrt(gain))[:, None]
@@ -253,9 +253,10 @@ class Trainer:
         for at in range(0, len(slots), CHUNK):
             s = slots[at : at + CHUNK]
             cls, mem, every = s // MEMBERS, s % MEMBERS, np.arange(len(s))
-            for i, (w, f, hit, start) in enumerate(((self.model.by_class, of_class, cls, self.open_class), (self.model.by_member, of_member, mem, self.open_member[cls]))):
+            for i, (w, f, hit, start) in enumerate(((self.model.by_class, of_class, cls, self.open_class), (self.model.by_member, of_member, mem, None if self.open_member is None else self.open_member[cls]))):
                 part = f[:, at : at + CHUNK]
-                p = softmax_rows(w, part, start)
+                p, total = exp_logits(w, part, start)
+                p *= (1 / total)[:, None]
                 p[every, hit] -= 1
                 descend(w, self.gains[i], self.visits[i], part, p)
 
@@ -316,7 +317,8 @@ class Scorer:
         """log10 of P(slot | context) for a chunk of positions."""
         cls = slots // MEMBERS
         a = log_softmax(self.model.by_class, of_class, self.open_class, cls)
-        return (a + log_softmax(self.model.by_member, of_member, self.open_member[cls], slots % MEMBERS)) / np.log(10)
+        start = None if self.open_member is None else self.open_member[cls]
+        return (a + log_softmax(self.model.by_member, of_member, start, slots % MEMBERS)).astype(float) / np.log(10)
 
     def text(self, text: bytes) -> tuple[np.ndarray, np.ndarray, int, int, float, float, dict[int, int]]:
         """Slots, their rows; n_tokens, n_known, base and model terms of the known counts, and the other tokens' keys."""
