@@ -17,6 +17,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _OWN_DIRS: dict[str, str] = {}
+_CACHE: dict[str, object] = {}
+
+
+def worker_cache(name: str, make):
+    """A cache of this Python worker that serves one task after another. A worker holds one: asking for another drops it."""
+    if name not in _CACHE:
+        _CACHE.clear()
+        _CACHE[name] = make()
+    return _CACHE[name]
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash
+from .common import stash, worker_cache
 
 CLASSES = MEMBERS = 32
 SLOTS = CLASSES * MEMBERS
@@ -157,10 +157,8 @@ class Codes(dict):
 
 
 def codes_of(v: Vocabulary) -> Codes:
-    """The cache of this Python worker: the broadcast vocabulary is one object for all its tasks."""
-    if not hasattr(v, "_codes"):
-        v._codes = Codes(v)
-    return v._codes
+    """The cache of this Python worker, for one vocabulary."""
+    return worker_cache(f"codes {v.tokens} {v.types} {zlib.crc32(v.keys.tobytes())}", lambda: Codes(v))
 
 
 @dataclass

@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_WORDS, CACHED_CORES = 600_000, 600_000
+from .common import worker_cache
+
+CACHED_WORDS, CACHED_CORES = 150_000, 400_000
 TRAILING = b".,;:!?|%&$*#"
 
 
@@ -88,16 +90,6 @@ class WordTokens(Generations):
         return self.parts[core.lower() if plain else core] + (self.parts[tail] if tail else b"")
 
 
-_TOKENS: dict[str, WordTokens] = {}
-
-
-def word_tokens(path: str) -> WordTokens:
-    """The cache of this Python worker, which serves one task after another."""
-    if path not in _TOKENS:
-        _TOKENS[path] = WordTokens(path)
-    return _TOKENS[path]
-
-
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, tokens, doc_tokens, sequence_id, offset.
 
@@ -112,7 +104,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most:
     schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("start", "long").add("length", "long").add("tokens", "binary").add("doc_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = word_tokens(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        words, end = worker_cache(f"tokens {tokenizer_path}", lambda: WordTokens(tokenizer_path)), np.array([end_id], "<u4").tobytes()
         for b in batches:
             doc, start, length, tokens, total, held = [], [], [], [], [], 0
 

@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 BITS = 20
 PREFIXES = (3, 4, 5, 6)
 EDGE = b".,;:!?|'\"()[]{}*#%$&-_"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 
 class WordFeatures(dict):
@@ -142,7 +144,7 @@ def feature_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordFeatures()
+        words = worker_cache("toxicity words", WordFeatures)
         for b in batches:
             ids = [features(t.as_py() or b"", words).tobytes() for t in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
@@ -187,13 +189,14 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
         schema = schema.add(f"is_{c}", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordFeatures()
-        for b in batches:
-            rows = [features(t.as_py() or b"", words) for t in b.column(b.num_columns - 1).cast(pa.binary())]
+        words = worker_cache("toxicity words", WordFeatures)
+        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+            rows = [features(t.as_py() or b"", words) for t in b.column(at_text).cast(pa.binary())]
             ptr = np.r_[0, np.cumsum([len(r) for r in rows], dtype=np.int64)].astype(np.int64)
             p = chain.probabilities(np.concatenate([*rows, np.zeros(0, np.int32)]), ptr)
             cols = [pa.array(p[:, c], pa.float64()) for c in range(p.shape[1])] + [pa.array(p[:, c] >= t, pa.bool_()) for c, t in enumerate(chain.thresholds)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: 1 + len(keep)], *cols], names=schema.names)
 
-    text = F.col(text_col).alias("_text_to_score")
-    return docs.select(F.col(id_col), *keep, text).mapInArrow(run, schema)
+    at_text = 1 + (keep.index(text_col) if text_col in keep else len(keep))
+    extra = [] if text_col in keep else [F.col(text_col).alias("_text_to_score")]
+    return docs.select(F.col(id_col), *keep, *extra).mapInArrow(run, schema)
