@@ -114,17 +114,20 @@ class _Stream:
     """Decompressed bytes of an archive of gzip members, read a bounded piece at a time."""
 
     def __init__(self, source, piece: int):
-        self.source, self.piece, self.raw, self.held = source, piece, b"", bytearray()
+        self.source, self.piece, self.raw, self.held, self.inside = source, piece, b"", bytearray(), False
         self.inflate = zlib.decompressobj(31)
 
     def more(self) -> bool:
         if not self.raw:
             self.raw = self.inflate.unconsumed_tail or self.source.read(self.piece)
             if not self.raw:
+                if self.inside:
+                    raise ValueError("the archive ends inside a gzip member")
                 return False
+        self.inside = True
         self.held += self.inflate.decompress(self.raw, self.piece)
         if self.inflate.eof:
-            self.raw, self.inflate = self.inflate.unused_data, zlib.decompressobj(31)
+            self.raw, self.inflate, self.inside = self.inflate.unused_data, zlib.decompressobj(31), False
         else:
             self.raw = self.inflate.unconsumed_tail
         return True
