@@ -58,7 +58,7 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def count_tokens(docs: DataFrame, id_col: str, text_col: str, flush_at: int = 300_000) -> DataFrame:
+def count_tokens(docs: DataFrame, id_col: str, text_col: str, flush_at: int = 600_000) -> DataFrame:
     """(key, rare, c): training counts of all tokens, combined in each task before the shuffle."""
     rows = docs.filter(~held_out(id_col)).select(F.col(text_col).alias("text"))
 
@@ -98,7 +98,7 @@ class Vocabulary:
         return float(np.log10(self.tokens + 0.5 * (self.types + 1)))
 
 
-def vocabulary(counts: DataFrame, known: int = 131_072) -> Vocabulary:
+def vocabulary(counts: DataFrame, known: int = 262_144) -> Vocabulary:
     """Read the totals and at most `known` of the most frequent tokens of a table of counts."""
     n, v = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     mass = np.full(MEMBERS, 0.5)  # for the unseen words of each rare slot
@@ -357,7 +357,7 @@ class Scorer:
         return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: int = 131_072) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: int = 262_144) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model is trained on the rows whose crc32(id as text) mod 5 is not 1, and counts cover all their tokens.
