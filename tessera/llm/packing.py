@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import worker_cache
 
-CACHED_WORDS, CACHED_CORES = 150_000, 400_000
+CACHED_WORDS, CACHED_CORES = 100_000, 500_000
 TRAILING = b".,;:!?|%&$*#"
 
 
@@ -82,12 +82,27 @@ class WordTokens(Generations):
 
     def make(self, word: bytes) -> bytes:
         core = word.rstrip(TRAILING)
-        plain = core.isascii() and b"<" not in core
-        last = core[-1:] if plain else core[-4:].decode("utf-8", "ignore")[-1:]
-        if not last.isalnum() or len(last.lower()) > 1:
-            return self.parts[word]
-        tail = word[len(core) :]
-        return self.parts[core.lower() if plain else core] + (self.parts[tail] if tail else b"")
+        if not core.isalnum():  # bytes: true for ASCII letters and digits only
+            plain = core.isascii() and b"<" not in core
+            last = core[-1:] if plain else core[-4:].decode("utf-8", "ignore")[-1:]
+            if not last.isalnum() or len(last.lower()) > 1:
+                return self.parts[word]
+            if plain:
+                core = core.lower()
+            return self.parts[core] + self.parts[word[len(core) :]] if len(core) < len(word) else self.parts[core]
+        low = core.lower()
+        if (ids := self.parts.get(low)) is None:
+            ids = self.parts[low]
+        return ids + self.parts[word[len(core) :]] if len(core) < len(word) else ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        if (ids := self.old.get(word)) is None:
+            ids = self.make(word)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
