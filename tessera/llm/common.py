@@ -23,11 +23,25 @@ _CACHE: dict[str, object] = {}
 def worker_cache(name: str, make):
     """A cache of this Python worker that serves one task after another. A worker holds one: asking for another drops it."""
     if name not in _CACHE:
-        _CACHE.clear()
+        if _CACHE:
+            _CACHE.clear()
+            _give_back()
         _CACHE[name] = make()
     return _CACHE[name]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, as a worker shares its executor's limit with others."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session, or (where unset, as in tests) a temporary one."""
     told = spark.conf.get("spark.checkpoint.dir", None)

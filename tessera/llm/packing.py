@@ -7,6 +7,8 @@ no sequence crosses documents and none needs padding. A training run draws each
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import worker_cache
 
-CACHED_WORDS, CACHED_CORES = 100_000, 500_000
+CACHED_WORDS, CACHED_CORES = 80_000, 250_000
 TRAILING = b".,;:!?|%&$*#"
 
 
@@ -64,7 +66,10 @@ class _Encoded(Generations):
         self.encode = Tokenizer.from_file(path).encode_batch_fast
 
     def make(self, key: bytes) -> bytes:
-        return np.array(self.encode([key.decode("utf-8")], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        ids = array("I", self.encode([key.decode("utf-8")], add_special_tokens=False)[0].ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 class WordTokens(Generations):

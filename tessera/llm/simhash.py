@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, worker_cache
 from .components import components
 
 BITS, SEGMENT, SEED = 64, 32, 42
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("none", dict)  # other operators' caches are of no use here
         for b in batches:
             texts = b.column(1).cast(pa.binary())
             fps = pa.array([fingerprint(shingle_hashes(t.as_py() or b"", words)) for t in texts], pa.int64())

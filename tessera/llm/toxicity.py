@@ -21,7 +21,7 @@ from .common import worker_cache
 BITS = 20
 PREFIXES = (3, 4, 5, 6)
 EDGE = b".,;:!?|'\"()[]{}*#%$&-_"
-CACHED_WORDS = 150_000
+CACHED_WORDS = 80_000
 
 
 class WordFeatures(dict):
