@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import worker_cache
 
-CACHED_WORDS, CACHED_CORES = 80_000, 250_000
+CACHED_WORDS, CACHED_CORES = 100_000, 400_000
 TRAILING = b".,;:!?|%&$*#"
 
 
