@@ -108,6 +108,6 @@ def evd7_simple_sufficiency(spark, sf):
     return e.groupBy(F.col("source").alias("bundle_id")).agg(F.round(F.least(n / 3.0, F.lit(1.0)) * F.avg("quality") * (1 - 0.1 * bad), 6).alias("score"))
 
 
-@query(HITS + ", a AS (SELECT * FROM h WHERE parent_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY md5(trim(content)) ORDER BY score DESC, idx) = 1) SELECT parent_id, arg_max(chunk_id, (score, -idx)) AS chunk_id, max(score) AS score, count(*) AS n_children, min(chunk_id) AS least_child FROM a GROUP BY parent_id")
+@query(HITS + ", a AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY md5(trim(content)) ORDER BY score DESC, idx) = 1) SELECT parent_id, arg_max(chunk_id, (score, -idx)) AS chunk_id, max(score) AS score, count(*) AS n_children, min(chunk_id) AS least_child FROM a GROUP BY parent_id")
 def evd8_bundle(spark, sf):
-    return evidence.parents(evidence.dedup_contents(evidence.dedup_ids(hits(spark, sf).filter("parent_id % 2 = 0"))))
+    return evidence.parents(evidence.dedup_contents(evidence.dedup_ids(hits(spark, sf))))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import more
+from tessera.plans import more, wider
 from tessera.plans.catalog import CATALOG, flagship
 
-__all__ = ["flagship", "more", "oracle_sql", "queries"]
+__all__ = ["flagship", "more", "oracle_sql", "queries", "wider"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
