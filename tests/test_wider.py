@@ -162,3 +162,18 @@ def test_tools(spark):
     with pytest.raises(tools.ToolError):
         reg.add(tools.BUILT_IN[0])
     assert [a["state"] for a in ex.audit].count("cached") == 1
+
+
+def test_questions_in_the_rules_own_language(spark):
+    from tessera.functions import questions as q
+
+    d = spark.createDataFrame([(1, "《资本办法》第43条 8%"), (2, "那个要求是多少"), (3, ""), (4, None), (5, "CAR 不得低于多少")], "id int, t string")
+    t = F.col("t")
+    out = {r.id: r for r in d.select("id", q.anchors(t).alias("a"), q.enhanced(t, q.anchors(t)).alias("e"), q.risk(F.lit("definition"), t).alias("r"), q.ambiguities(t, F.lit("threshold"), F.lit(False), F.lit(True)).alias("k"), q.expanded(t, {"CAR": ("资本充足率",)}).alias("x")).collect()}
+    assert [a.value for a in out[1].a] == ["资本办法", "43", "8%"] and out[1].e == "资本办法 43 《资本办法》第43条 8%"
+    assert out[3].a == [] == out[4].a
+    assert (out[1].r, out[5].r, out[4].r) == ("low", "high", "low")
+    assert out[2].k == ["entity_ambiguous", "scope_missing"] and out[1].k == [] == out[4].k
+    assert out[5].x == "CAR 不得低于多少 资本充足率"
+    none = spark.createDataFrame([("x", ["a", "b"]), ("x", [])], "i string, t array<string>")
+    assert [r[0] for r in none.select(q.answer(F.col("i"), F.col("t"), {"other": "Found:", "none": "Nothing."}, 1)).collect()] == ["Found:\n[1] a", "Nothing."]
