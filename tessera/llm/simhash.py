@@ -113,6 +113,8 @@ def _bucket_edges(distance: int, bound: int):
             if first < len(starts):  # the held bucket is complete
                 if (edges := settle()) is not None:
                     yield edges
+                if passing and len(rest := np.concatenate(held)):
+                    yield out(np.full(len(rest), held_key), rest, rest)
                 sizes = (ends - starts)[first:-1]
                 s = starts[first:-1]
                 two = s[sizes == 2]

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +203,15 @@ def test_links_lose_nothing(spark, distance, bound):
     assert [fps.index(label[x]) for x in fps] == want
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 4])
+def test_large_buckets_keep_their_tail(size):
+    rows = [(1, f) for f in range(7)] + [(2, f) for f in range(20, 24)] + [(3, 40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + size], strict=True)], names=["key", "fp"]) for at in range(0, len(rows), size)]
+    got = [r for b in simhash._bucket_edges(2, 2)(iter(batches)) for r in b.to_pylist()]
+    passed = {(r["key"], r["a"]) for r in got if r["key"] is not None}
+    assert {f for k, f in passed if k == 1} == set(range(7)) and not any(k == 3 for k, _ in passed)
+
+
 def test_near_groups_equal_brute_force(spark, odd, none):
     got = simhash.near_groups(odd).collect()
     assert len(got) == len(ODD)
