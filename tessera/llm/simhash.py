@@ -7,6 +7,9 @@ whose wildcard is that bit, so no link is lost.
 
 Links are kept as stars inside a bucket, as only reachability is asked for: a bucket of n fingerprints yields at most
 n - 1 edges, and no list of all pairs is ever made.
+
+similar_groups links texts by the Jaccard similarity of their shingle sets and takes fingerprints for its candidates only:
+s segments with one wildcard find all pairs up to 2s - 1 bits apart, and those further apart that agree in a segment.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash, worker_cache
@@ -178,3 +181,179 @@ def near_groups(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str
     ids = rep.groupBy("component").agg(F.min("least").alias("component_id"))
     label = rep.join(ids, "component").select("fp", "component_id")
     return fps.join(label, "fp").select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def shingle_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, node, shingles) for each row: fingerprint, hash of the shingle set, and the set as sorted 8-byte hashes."""
+    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("fp", "long").add("node", "long").add("shingles", "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("none", dict)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                hashes = [shingle_hashes(t.as_py() or b"", words) for t in b.column(1).cast(pa.binary())]
+                sets = [np.unique(np.array(h, np.uint64)).tobytes() for h in hashes]
+                nodes = np.array([xxhash.xxh3_64_intdigest(x) for x in sets], np.uint64).view(np.int64)
+                cols = [pa.array([fingerprint(h) for h in hashes], pa.int64()), pa.array(nodes), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=schema.names)
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def segment_rows(nodes: DataFrame, segments: int) -> DataFrame:
+    """64 rows (key, fp, node) for each node: its fingerprint's segments, each without one of its bits."""
+    ends = [round(i * BITS / segments) for i in range(segments + 1)]
+    places = [(at, lo, (1 << hi - lo) - 1 & ~(1 << at - lo)) for lo, hi in zip(ends, ends[1:], strict=False) for at in range(lo, hi)]
+    w = F.explode(F.array(*(F.struct(F.lit(a).alias("at"), F.lit(lo).alias("lo"), F.lit(m).cast("long").alias("mask")) for a, lo, m in places)))
+    return nodes.select("fp", "node", w.alias("w")).selectExpr("(shiftrightunsigned(fp, w.lo) & w.mask) | shiftleft(cast(w.at AS long), 32) AS key", "fp", "node")
+
+
+def _nearest(fps: np.ndarray, distance: int, most: int, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, earlier row, bits) for each fingerprint of a bucket and its `most` nearest earlier ones within the distance; of equally near ones the latest."""
+    u, found = fps.view(np.uint64), []
+    for i in range(1, len(u), block):
+        stop = min(i + block, len(u))
+        bits = np.bitwise_count(u[i:stop, None] ^ u[None, stop - 2 :: -1])  # columns: from the row before the last one down
+        bits[np.arange(stop - 2, -1, -1)[None, :] >= np.arange(i, stop)[:, None]] = 255
+        rows = np.flatnonzero((bits <= distance).any(1))
+        bits = bits[rows]
+        for _ in range(most):
+            col = bits.argmin(1) if len(rows) else rows
+            least = bits[np.arange(len(rows)), col]
+            near = least <= distance
+            if not near.any():
+                break
+            found.append((i + rows[near], stop - 2 - col[near], least[near]))
+            bits[np.arange(len(rows)), col] = 255
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+
+
+def _candidates(distance: int, most: int, bound: int):
+    """Reads (key, fp, node) sorted by all; yields pairs (a, b, bits) with key null, and the rows of buckets over `bound` as they are (key set, node in a, fp in b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(key, a, b, bits):
+            cols = [pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bits, pa.int32())]
+            return pa.RecordBatch.from_arrays(cols, names=["key", "a", "b", "bits"])
+
+        def whole(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray):
+            """Pairs of complete buckets: small ones together, by their rows' distance in the order; others one by one."""
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            sizes = np.diff(np.r_[starts, len(keys)])
+            small = np.repeat(sizes <= 64, sizes)
+            k, f, own = keys[small], fps[small], np.flatnonzero(small)
+            for step in range(1, 64):
+                same = k[step:] == k[:-step]
+                if not same.any():
+                    break
+                bits = np.bitwise_count((f[step:] ^ f[:-step]).view(np.uint64))
+                near = np.flatnonzero(same & (bits <= distance))
+                if len(near):
+                    yield nodes[own[near]], nodes[own[near + step]], bits[near]
+            for at, n in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+                x, y, bits = _nearest(fps[at : at + n], distance, most)
+                if len(x):
+                    yield nodes[at + y], nodes[at + x], bits
+
+        def settle(rows):
+            for a, b, bits in whole(*rows):
+                yield out([None] * len(a), a, b, bits)
+
+        held, n, passing = [], 0, None
+        for batch in batches:
+            rows = [batch.column(i).to_numpy() for i in range(3)]
+            if passing is not None:
+                end = int(np.searchsorted(rows[0], passing, "right"))
+                if end:
+                    yield out(rows[0][:end], rows[2][:end], rows[1][:end], [None] * end)
+                rows = [r[end:] for r in rows]
+                if not len(rows[0]):
+                    continue
+                passing = None
+            held.append(rows)
+            n += len(rows[0])
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            last = int(np.searchsorted(rows[0], rows[0][-1])) if n else 0
+            if last:
+                yield from settle([r[:last] for r in rows])
+            rows = [r[last:] for r in rows]
+            held, n = [rows], n - last
+            if n > bound:
+                passing = rows[0][0]
+                yield out(rows[0], rows[2], rows[1], [None] * n)
+                held, n = [], 0
+        if n:
+            yield from settle([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return run
+
+
+def candidate_pairs(nodes: DataFrame, segments: int, distance: int, most: int = 4, bucket_bound: int = 20_000) -> DataFrame:
+    """(a, b, bits): pairs of nodes whose fingerprints agree, but for one bit, in a segment and differ in at most `distance` bits.
+
+    Complete in buckets of up to 64 nodes. In larger ones each node is paired with its `most` nearest earlier ones, so that
+    a group of n near copies makes no n * n pairs; each of 64 buckets chooses for itself. Buckets over bucket_bound are
+    cut into parts, and every two parts meet in a task of their own.
+    """
+    shape = "key long, a long, b long, bits int"
+
+    def sort(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key", "fp", "node")
+
+    found = stash(sort(segment_rows(nodes, segments)).mapInArrow(_candidates(distance, most, bucket_bound), shape), "candidates")
+    pairs = found.filter("key IS NULL").select("a", "b", "bits")
+    large = found.filter("key IS NOT NULL").select("key", F.col("b").alias("fp"), F.col("a").alias("node"))
+    if not large.isEmpty():
+        parts = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 2 / bucket_bound).cast("int").alias("g"))
+        dealt = large.join(parts, "key").withColumn("p", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+        dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+        dealt = dealt.select(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("key"), "fp", "node")
+        more = sort(dealt).mapInArrow(_candidates(distance, most, 1 << 62), shape)
+        pairs = pairs.union(more.select("a", "b", "bits"))
+    return pairs.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("bits").alias("bits"))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, segments: int = 5, distance: int = 13, id_col: str = "doc_id", text_col: str = "text", bucket_bound: int = 20_000) -> DataFrame:
+    """One row per input row: id, component_id (the least id reachable over pairs of shingle similarity >= least, itself included).
+
+    Candidates come from fingerprints (see candidate_pairs), each is verified by the true Jaccard similarity of the shingle
+    sets. Each node's nearest candidate is verified first; pairs within a component found so need no second look.
+
+    * null text and texts without words: the empty set, all alike; equal sets are one node;
+    * null ids are compared too; repeated rows: each is returned; empty input: no rows. Other columns are not read.
+    """
+    rows = stash(shingle_sets(docs, words, id_col, text_col), "shingles")
+    nodes = stash(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")), "nodes")
+    pairs = stash(candidate_pairs(nodes.select("fp", "node"), segments, distance, bucket_bound=bucket_bound), "pairs")
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = stash(rows.join(named, "node", "left_semi").dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    nearest = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy("bits", "a"))).filter("nth = 1")
+    sure = stash(_alike(nearest, sets, least), "sure")
+    found = components(sure)
+    at = found.withColumnRenamed("node", "a").withColumnRenamed("component", "ca"), found.withColumnRenamed("node", "b").withColumnRenamed("component", "cb")
+    left = pairs.join(nearest.select("a", "b"), ["a", "b"], "left_anti").join(at[0], "a", "left").join(at[1], "b", "left")
+    left = left.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    found = components(sure.union(_alike(left, sets, least)))
+    label = stash(nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "labels")
+    ids = label.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "node").join(label.join(ids, "component").select("node", "component_id"), "node").select(F.col("doc_id").alias(id_col), "component_id")

@@ -227,6 +227,38 @@ def test_near_groups_equal_brute_force(spark, odd, none):
     assert simhash.near_groups(none).count() == 0
 
 
+def test_similar_groups_equal_brute_force(spark, odd, none):
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(500)}" for _ in range(r.randint(40, 120))) for _ in range(60)]
+    for t in texts[:40]:
+        for _ in range(3):
+            w = t.split()
+            w[r.randrange(len(w))] = "new"
+            texts.append(" ".join(w))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    label = list(range(len(texts)))
+    for _ in range(4):
+        for i, x in enumerate(sets):
+            label[i] = min(label[j] for j, y in enumerate(sets) if len(x & y) >= 0.8 * len(x | y))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for bound in (20_000, 5):
+        got = {x.doc_id: x.component_id for x in simhash.similar_groups(df, bucket_bound=bound).collect()}
+        assert got.keys() == set(range(len(texts)))
+        assert all(label[i] == label[c] for i, c in got.items())  # no link below 0.8
+        assert sum(got[i] == label[i] for i in got) >= 0.95 * len(got)
+    old = {x.doc_id: x.component_id for x in simhash.near_groups(df).collect()}
+    assert sum(old[i] == label[i] for i in old) < 0.8 * len(old)  # what the stage found before
+    assert simhash.similar_groups(odd).count() == odd.count() and simhash.similar_groups(none).count() == 0
+
+
+def test_nearest_earlier_fingerprints():
+    fps = np.array([random.Random(3).getrandbits(20) for _ in range(1)] + [x * 37 % 4096 for x in range(300)], np.int64)
+    x, y, bits = simhash._nearest(fps, 3, 4)
+    want = {i: sorted(int(fps[i] ^ fps[j]).bit_count() for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 3)[:4] for i in range(len(fps))}
+    got = {i: sorted(bits[x == i].tolist()) for i in range(len(fps))}
+    assert got == want and (y < x).all()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
