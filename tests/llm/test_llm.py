@@ -460,6 +460,12 @@ def test_maxent_is_a_distribution():
     assert total == pytest.approx(1.0, abs=1e-4)
 
 
+def test_maxent_contexts_reach_three_slots_back():
+    for of in zip(maxent.contexts(np.array([40, 50, 60, 70])), maxent.contexts(np.array([41, 50, 60, 70])), strict=True):
+        assert of[0].shape == (maxent.FEATURES, 4) == (4, 4)
+        assert (of[0][:, 3] != of[1][:, 3]).tolist() == [False, False, False, True]
+
+
 def test_maxent_edges(spark, odd, none):
     got = {r.doc_id: r for r in maxent.score(odd).collect()}
     assert len(got) == 7 and got[1].n_tokens == 1 and got[5].n_tokens == 20_001 and all(math.isfinite(r.score) and r.score < 0 for r in got.values())
