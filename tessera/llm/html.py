@@ -283,13 +283,16 @@ def main_text(blocks: list[Block], template: Template | None, short: int = 100)
 
     Inside an <article> or <main> only short texts of the root class go (labels that each page of the host repeats), and
     only while they are the smaller part: what is most of an article is no label. Elsewhere all texts of the template
-    go, unless nothing would be left: then the pages are copies of each other and have no slots.
+    go; where they are the larger part, only its short ones do, as pages that are copies of each other have articles in
+    common. If nothing would be left, the pages have no slots.
     """
     inside = max((b.inside for b in blocks if b.kept), default=0)
     article = [b for b in blocks if b.kept and b.inside >= inside]
     if not template or not template.texts:
         return " ".join(b.text for b in article)
     rest = [b for _, b in slots_of(article, template.root if inside else template.texts, short if inside else None)]
+    if not inside and 2 * sum(len(b.text) for b in rest) < sum(len(b.text) for b in article):
+        rest = [b for _, b in slots_of(article, template.texts, short)]
     if not rest or inside and 2 * sum(len(b.text) for b in rest) < sum(len(b.text) for b in article):
         rest = article
     return " ".join(b.text for b in rest)

@@ -297,6 +297,13 @@ def test_template_texts_go_and_articles_stay(spark, none):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_copies_without_article_keep_their_body(spark):
+    body = "The same long paragraph of one story that was put on many pages of this host, word for word, with nothing changed in it."
+    copy = "<body><div><p>Home</p></div><figure><figcaption>A view</figcaption></figure><div class=story><p>{1}</p><p>Again: {1}</p></div><div><p>Seen {0}</p></div></body>"
+    df = spark.createDataFrame([(i, "http://c.example/x", copy.format(i, body)) for i in range(10)], "page_id long, url string, html string")
+    assert all(body in r.text and f"Again: {body} Seen {r.page_id}" in r.text and "Home" not in r.text for r in html.extract(df).collect())
+
+
 # Mixing
 
 
