@@ -211,7 +211,10 @@ def occurrence_vectors(pages: DataFrame, id_col: str, url_col: str, html_col: st
             for id_, host, page in zip(*(b.column(i) for i in range(3)), strict=True):
                 who = xxhash.xxh3_64_intdigest(id_.as_py())
                 h = host.as_py()
-                for token, (count, is_text, place) in page_tokens(*parse(page.as_py() or "")).items():
+                tokens = page_tokens(*parse(page.as_py() or ""))
+                if len(tokens) == 1:  # null or without markup and text: no instance of the template
+                    continue
+                for token, (count, is_text, place) in tokens.items():
                     mark = xxhash.xxh3_64_intdigest(count.to_bytes(8, "little"), seed=who)
                     s = seen.setdefault((h, token), [is_text, 0, 0, 0, 0, 0])
                     s[1] += 1
@@ -244,12 +247,12 @@ def templates(vectors: DataFrame, least_pages: int = 8, least_share: float = 0.5
 
 
 class Template:
-    """Valid classes of a host: they share a vector and have a tag among them. The root class is on each page once.
+    """Valid classes of a host: they share a vector and have a tag among them. Those on nearly each page, once on each, are `root`.
 
     texts maps the text tokens of valid classes to their mean place among a page's texts, which is the template's order.
     """
 
-    def __init__(self, pages: int, tokens: list[dict]):
+    def __init__(self, pages: int, tokens: list[dict], nearly: float = 0.9):
         groups = defaultdict(list)
         for t in tokens:
             groups[(t["support"], t["total"], t["v1"], t["v2"])].append(t)
@@ -259,7 +262,7 @@ class Template:
             if len(members) > 1 and any(not t["is_text"] for t in members):
                 own = {t["token"] & (1 << 64) - 1: t["place"] / support for t in members if t["is_text"]}
                 self.texts |= own
-                if support == total == pages:
+                if support == total >= nearly * pages:
                     self.root |= own
 
 
@@ -281,19 +284,20 @@ def slots_of(blocks: list[Block], fixed: dict[int, float], short: int | None) ->
 def main_text(blocks: list[Block], template: Template | None, short: int = 100) -> str:
     """Texts of the article's slots, in page order.
 
-    Inside an <article> or <main> only short texts of the root class go (labels that each page of the host repeats), and
-    only while they are the smaller part: what is most of an article is no label. Elsewhere all texts of the template
-    go; where they are the larger part, only its short ones do, as pages that are copies of each other have articles in
-    common. If nothing would be left, the pages have no slots.
+    Inside an <article> or <main> the root class's texts go (labels and notices that nearly each page of the host repeats),
+    and only while they are the smaller part: else its short ones, or none, as what is most of an article is no label.
+    Elsewhere all texts of the template go; where they are the larger part, only its short ones do, as pages that are
+    copies of each other have articles in common. If nothing would be left, the pages have no slots.
     """
     inside = max((b.inside for b in blocks if b.kept), default=0)
     article = [b for b in blocks if b.kept and b.inside >= inside]
     if not template or not template.texts:
         return " ".join(b.text for b in article)
-    rest = [b for _, b in slots_of(article, template.root if inside else template.texts, short if inside else None)]
-    if not inside and 2 * sum(len(b.text) for b in rest) < sum(len(b.text) for b in article):
-        rest = [b for _, b in slots_of(article, template.texts, short)]
-    if not rest or inside and 2 * sum(len(b.text) for b in rest) < sum(len(b.text) for b in article):
+    fixed, half = template.root if inside else template.texts, sum(len(b.text) for b in article) / 2
+    rest = [b for _, b in slots_of(article, fixed, None)]
+    if sum(len(b.text) for b in rest) < half:
+        rest = [b for _, b in slots_of(article, fixed, short)]
+    if not rest or inside and sum(len(b.text) for b in rest) < half:
         rest = article
     return " ".join(b.text for b in rest)
 

@@ -304,6 +304,15 @@ def test_copies_without_article_keep_their_body(spark):
     assert all(body in r.text and f"Again: {body} Seen {r.page_id}" in r.text and "Home" not in r.text for r in html.extract(df).collect())
 
 
+def test_notices_inside_articles_go(spark):
+    notice = "<section class=box><p>This host asks its readers to note that all of its stories are kept for a hundred days and are then taken away.</p></section>"
+    page = "<article><p>Story {0} begins here, and {0} is told at length, so that it is longer than what the host adds to it. {1}</p>{2}<div class=tail><p>Read on</p></div></article>"
+    rows = [(i, "http://n.example/x", page.format(i, f"more of {i} " * 12, notice if i else "")) for i in range(20)] + [(90, "http://n.example/x", None), (91, "http://n.example/x", "")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(t.startswith(f"Story {i} begins") and "asks its readers" not in t and "Read on" not in t for i, t in got.items() if i < 90)
+    assert got[90] == got[91] == ""
+
+
 # Mixing
 
 
