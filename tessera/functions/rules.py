@@ -66,8 +66,26 @@ def percents(text: Column) -> Column:
 
 
 def cited(text: Column) -> Column:
-    """Distinct numbers of citations like [1], [1,2] and [1-3], in order."""
+    """array of (low, high, text): the numbers and ranges of citations like [1], [1,2] and [1-3]; a number too long to be one is null."""
     groups = F.regexp_extract_all(text, F.lit(r"\[(\d+(?:\s*[,-]\s*\d+)*)\]"), F.lit(1))
     parts = F.flatten(F.transform(groups, lambda g: F.split(F.regexp_replace(g, r"\s", ""), ",")))
-    spans = F.transform(parts, lambda p: F.sequence(F.element_at(F.split(p, "-"), 1).cast("int"), F.element_at(F.split(p, "-"), -1).cast("int")))
+    ends = lambda p, at: F.element_at(F.split(p, "-"), at).try_cast("long")
+    spans = F.transform(parts, lambda p: F.struct(ends(p, 1).alias("low"), ends(p, -1).alias("high"), p.alias("text")))
+    return F.coalesce(F.filter(spans, lambda s: F.size(F.split(s["text"], "-")) <= 2), F.array().cast("array<struct<low:bigint,high:bigint,text:string>>"))
+
+
+def cited_within(text: Column, n: Column) -> Column:
+    """Distinct cited numbers from 1 to n, in order. Ranges are cut at n before they are written out."""
+    inside = F.filter(cited(text), lambda s: s["low"].isNotNull() & s["high"].isNotNull() & (s["low"] <= n) & (s["high"] >= s["low"]) & (s["high"] >= 1))
+    spans = F.transform(inside, lambda s: F.sequence(F.greatest(s["low"], F.lit(1).cast("long")), F.least(s["high"], n.cast("long"))))
     return F.array_sort(F.array_distinct(F.flatten(spans)))
+
+
+def cited_beyond(text: Column, n: Column) -> Column:
+    """Distinct cited numbers and ranges, as written, that reach below 1 or beyond n."""
+    return F.array_distinct(F.transform(F.filter(cited(text), lambda s: s["low"].isNull() | s["high"].isNull() | (s["low"] < 1) | (s["high"] > n)), lambda s: s["text"]))
+
+
+def cited_names(text: Column) -> Column:
+    """Sources named as (来源: x) or (引用: x)."""
+    return F.transform(F.coalesce(F.regexp_extract_all(text, F.lit(r"\((?:来源|引用)[：:]\s*([^)]+)\)"), F.lit(1)), F.array().cast("array<string>")), lambda s: F.trim(s))

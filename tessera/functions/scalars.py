@@ -33,12 +33,24 @@ def number(text: Column) -> Column:
     return text.try_cast("double")
 
 
-def fingerprint(*parts: Column) -> Column:
-    """First 16 hex digits of the SHA-256 of the parts as JSON."""
-    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
+def fingerprint(**fields: Column) -> Column:
+    """First 16 hex digits of the SHA-256 of the fields as a JSON object with sorted keys; a null is null, so no two rows of fields look alike."""
+    value = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit("null"))
+    parts = [F.concat(F.lit(f'"{k}": '), F.when(value(c) != "", value(c)).otherwise("null")) for k, c in sorted(fields.items())]
+    return F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256), 1, 16)
+
+
+# The layouts of dates, in the order in which they are tried. Months and days may have one digit where signs part them.
+DATE_LAYOUTS = ("yyyy-M-d", "yyyy/M/d", "yyyy'年'M'月'd'日'", "yyyyMMdd", "d/M/yyyy")
 
 
 def parse_date(text: Column) -> Column:
-    """Date of a text in one of five layouts, else null."""
-    layouts = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd", "yyyy'年'MM'月'dd'日'")
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in layouts))
+    """Date of a text in one of five layouts, else null (also for days that do not exist)."""
+    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in DATE_LAYOUTS))
+
+
+def compare_dates(a: Column, b: Column) -> Column:
+    """struct(comparison, days): before, after or equal, and the days between two texts that are dates; null if one is none."""
+    x, y = parse_date(a), parse_date(b)
+    how = F.when(x < y, "before").when(x > y, "after").otherwise("equal")
+    return F.when(x.isNotNull() & y.isNotNull(), F.struct(how.alias("comparison"), F.abs(F.datediff(x, y)).alias("days")))

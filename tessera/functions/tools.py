@@ -6,7 +6,6 @@ import ast
 import datetime as dt
 import json
 import operator
-import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -54,12 +53,27 @@ def calculate(args: dict) -> dict:
     raise ToolError("needs expression, or actual and threshold")
 
 
+# The layouts of dates, in the order in which they are tried.
+DAY_LAYOUTS = ("%Y-%m-%d", "%Y/%m/%d", "%Y年%m月%d日", "%Y%m%d", "%d/%m/%Y")
+
+
+def day_of(text: str) -> dt.date:
+    for layout in DAY_LAYOUTS:
+        try:
+            return dt.datetime.strptime(text, layout).date()
+        except ValueError:
+            continue
+    raise ToolError(f"no date: {text}")
+
+
 def parse_day(args: dict) -> dict:
-    """ISO date of a text in one of five layouts."""
-    found = re.fullmatch(r"\s*(\d{4})(?:-|/|\.|年)?(\d{1,2})(?:-|/|\.|月)?(\d{1,2})日?\s*", args["text"])
-    if not found:
-        raise ToolError(f"no date: {args['text']}")
-    return {"date": dt.date(*map(int, found.groups())).isoformat()}
+    """ISO date of a text in one of five layouts; or, of date1 and date2, which comes first and the days between them."""
+    if "text" in args:
+        return {"date": day_of(args["text"]).isoformat()}
+    if {"date1", "date2"} <= args.keys():
+        a, b = day_of(args["date1"]), day_of(args["date2"])
+        return {"date1": a.isoformat(), "date2": b.isoformat(), "comparison": "before" if a < b else "after" if a > b else "equal", "days": abs((a - b).days)}
+    raise ToolError("needs text, or date1 and date2")
 
 
 def version_in_force(args: dict) -> dict:
@@ -68,7 +82,7 @@ def version_in_force(args: dict) -> dict:
     return {"in_force": args["effective"] <= args["day"] and (not until or args["day"] < until)}
 
 
-BUILT_IN = (Tool("calculator", calculate), Tool("date_parser", parse_day, ("text",)), Tool("version_checker", version_in_force, ("effective", "day")))
+BUILT_IN = (Tool("calculator", calculate), Tool("date_parser", parse_day), Tool("version_checker", version_in_force, ("effective", "day")))
 
 
 class Registry:
@@ -106,7 +120,10 @@ class Executor:
         for n in range(self.retries + 1):
             try:
                 out = tool.run(args)
-            except Exception as e:  # noqa: BLE001 - any failure of a tool is retried
+            except ToolError as e:  # what the arguments make impossible does not get better
+                last = e
+                break
+            except Exception as e:  # noqa: BLE001 - any other failure of a tool is retried
                 last = e
                 if n < self.retries:
                     self.sleep(min(0.5 * 2**n, 10.0))

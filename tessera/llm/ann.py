@@ -81,7 +81,6 @@ def search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     share: float = 0.4,
-    least: int = 6000,
     sample: int = 20_000,
     most_centroids: int = 128,
     rows_a_piece: int = 4096,
@@ -90,12 +89,14 @@ def search(
     """The k nearest of each query (ids divisible by `every`), among all rows but itself: query_id, rank, vec_id, score.
 
     The index holds every valid row; only the codebooks are fitted on a sample of at most `sample` distinct vectors,
-    the first by hash. A query gathers max(least, share * entries) entries, all where there are fewer; `share` buys
-    recall (0.4 gives about 0.95 on vectors without clusters, where nothing but the quantised scores helps).
+    the first by hash. A query gathers share * entries, at any size; `share` buys recall (0.4 gives about 0.95 on vectors
+    without clusters, where nothing but the quantised scores helps).
 
     * vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids;
-    * vectors of another length than the most frequent one take no part;
-    * repeated rows (one id, one vector) are one row; ties go to the smaller id; no valid rows: no result.
+    * vectors of another length than the most frequent one (of equally frequent ones: the least) take no part, as they
+      have no inner product with it;
+    * repeated rows (one id, one vector) are one row; one id with several vectors: each is a row of that id;
+    * ties go to the smaller id, among all gathered entries; no valid rows: no result. Other columns are not read.
 
     A query goes to each first-half centroid once, with the list of second-half cells it wants. Cells under a centroid
     are split into pieces of about rows_a_piece entries and their queries into blocks of queries_a_block, so that a
@@ -111,11 +112,12 @@ def search(
     valid = valid.filter(F.size("v") == d).distinct()
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     firsts = valid.withColumn("nth", nth).filter(F.col("nth") <= k + 1)
-    entries = stash(firsts.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("e", F.xxhash64("v")), "entries")
+    entries = firsts.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    entries = stash(entries.withColumn("e", F.monotonically_increasing_id()), "entries")  # from here on a vector is its number
     n = entries.count()
 
     drawn = np.array([r["v"] for r in entries.select("v").orderBy(F.xxhash64("v", F.lit(1)), "v").limit(sample).collect()])
-    size = min(most_centroids, 1 << max(1, round(math.log2(max(n, 4)) / 2)))
+    size = min(most_centroids, max(2, n // 4))
     books = (codebook(drawn[:, :half], size) if half else np.zeros((1, 0)), codebook(drawn[:, half:], size))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +132,7 @@ def search(
     counts = np.zeros((len(books[0]), len(books[1])), np.int64)
     for r in index.groupBy("i", "j").count().collect():  # at most most_centroids squared rows
         counts[r["i"], r["j"]] = r["count"]
-    enough = max(least, math.ceil(share * n))
+    enough = max(k + 1, math.ceil(share * n))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,9 +149,9 @@ def search(
                     cells.append(np.array(c, "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(x, pa.binary()), pa.array(e, pa.int64()), pa.array(cells, pa.binary())], names=["i", "x", "e", "cells"])
 
-    asked = valid.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0).select("vec_id", "v")
+    asked = stash(valid.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0).select("vec_id", "v").join(entries.select("v", "e"), "v"), "asked")
     parts = max(1, asked.count() // 128)  # a walk costs some 10 ms, so these are tasks of a second or two
-    queries = _with_bytes(asked.select("v").distinct().repartition(parts, "v"), d)
+    queries = _with_bytes(asked.dropDuplicates(["e"]).repartition(parts, "e"), d)
     wanted = stash(queries.mapInArrow(probe, "i int, x binary, e long, cells binary"), "probes")
 
     rows_in, asks_in = counts.sum(1), {r["i"]: r["count"] for r in wanted.groupBy("i").count().collect()}
@@ -162,12 +164,13 @@ def search(
 
     def score(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or asks.empty:
-            return pd.DataFrame({"q": [], "ids": [], "score": []})
+            return pd.DataFrame({"q": [], "ids": pd.Series([], dtype=object), "score": []})
         rows = rows.sort_values(["j", "e"], kind="stable")
         x, j = np.frombuffer(b"".join(rows["x"])).reshape(-1, d), rows["j"].to_numpy()
         starts = {int(c): (int(s), int(t)) for c, s, t in zip(*(lambda u, f, m: (u, f, f + m))(*np.unique(j, return_index=True, return_counts=True)), strict=True)}
         q, ids, got = [], [], []
         lists = rows["ids"].tolist()
+        firsts_of, keep = np.array([i[0] for i in lists]), min(k + 1, len(x))
         for at in range(0, len(asks), 256):
             part = asks.iloc[at : at + 256]
             y = np.frombuffer(b"".join(part["x"])).reshape(-1, d)
@@ -180,33 +183,34 @@ def search(
                 if c in starts:
                     lo, hi = starts[c]
                     s[who, lo:hi] = y[who] @ x[lo:hi].T
-            keep = min(k + 12, len(x))  # more than asked for, as the exact scores may swap the last bits
-            top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+            # All within rounding of the (k + 1)-th score are scored exactly; of equal ones those of the least ids stay.
+            cut = np.partition(s, len(x) - keep, axis=1)[:, len(x) - keep]
             for r, e in enumerate(part["e"].tolist()):
-                cols = top[r][np.isfinite(s[r, top[r]])]
+                low = cut[r] - 1e-9 * max(1.0, abs(cut[r])) if np.isfinite(cut[r]) else -np.inf
+                cols = np.flatnonzero((s[r] >= low) & (s[r] > -np.inf))
                 exact = (x[cols] * y[r]).sum(1)
-                q += [e] * len(cols)
-                ids += [lists[c] for c in cols]
-                got += exact.tolist()
-        return pd.DataFrame({"q": q, "ids": ids, "score": got})
+                best = np.lexsort((firsts_of[cols], -exact))[:keep]
+                q += [e] * len(best)
+                ids += [lists[c] for c in cols[best]]
+                got += exact[best].tolist()
+        return pd.DataFrame({"q": q, "ids": pd.Series(ids, dtype=object), "score": got})
 
     keys = ["i", "piece", "block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, f"q long, ids {ids_type}, score double")
     near = found.select("q", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     near = stash(near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1).select("q", "score", "vec_id"), "nearest")
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("q"))
-    pairs = asked.join(near, "q").filter("vec_id <> query_id")
+    pairs = asked.select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")).join(near, "q").filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _with_bytes(vectors: DataFrame, d: int) -> DataFrame:
-    """(x, e): the vector as little-endian doubles, and its hash."""
+    """(x, e): the vector as little-endian doubles, and its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.asarray(b.column(0).flatten()).reshape(-1, d)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1)], names=["x", "e"])
 
-    return vectors.select("v", F.xxhash64("v").alias("e")).mapInArrow(run, "x binary, e long")
+    return vectors.select("v", "e").mapInArrow(run, "x binary, e long")

@@ -7,6 +7,9 @@ maximal run of characters other than space, tab, newline, vertical tab, form fee
 from __future__ import annotations
 
 import atexit
+import functools
+import gc
+import re
 import tempfile
 import uuid
 
@@ -18,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _OWN_DIRS: dict[str, str] = {}
 _CACHE: dict[str, object] = {}
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
 
 
 def worker_cache(name: str, make):
@@ -43,10 +47,12 @@ def _give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or (where unset, as in tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Only a session on one machine may leave it unset; it gets a temporary folder."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -54,9 +60,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; it is removed when this driver ends."""
+    """A new path under the shared folder; it is removed when the innermost scope ends, at the latest with this driver."""
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if _SCOPES:
+        _SCOPES[-1].append((spark, path))
+    else:
+        atexit.register(_remove, spark, path)
     return path
 
 
@@ -76,6 +85,36 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scoped(build):
+    """Decorate a function that returns a DataFrame: its result is written to the shared folder, and all it wrote on the way is removed.
+
+    Shuffle files of its jobs go, too, as soon as the driver's collector finds that nothing refers to them.
+    """
+
+    @functools.wraps(build)
+    def run(*args, **named):
+        own: list[tuple[SparkSession, str]] = []
+        _SCOPES.append(own)
+        try:
+            out = build(*args, **named)
+        finally:
+            _SCOPES.pop()
+        kept = stash(out, build.__name__)
+        del out
+        for spark, path in own:
+            _remove(spark, path)
+        tidy(kept.sparkSession)
+        return kept
+
+    return run
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver's collectors find finished jobs, so that Spark removes their shuffle files now and not in half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import scoped, stash
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -27,6 +27,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
+@scoped
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every vertex of edges(a, b): component is the least vertex reachable.
 

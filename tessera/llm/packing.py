@@ -7,6 +7,7 @@ no sequence crosses documents and none needs padding. A training run draws each
 
 from __future__ import annotations
 
+import re
 import sys
 from array import array
 from collections.abc import Iterator
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import worker_cache
 
-CACHED_WORDS, CACHED_CORES = 100_000, 400_000
-TRAILING = b".,;:!?|%&$*#"
+CACHED_WORDS = 200_000
+TRAILING = ".,;:!?|%&$*#"
+PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?|%&$*#]*)").fullmatch
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch  # a composed Latin-1 letter: one code point, one lower case
 
 
 def decompose(length: int, most: int = 4096) -> list[int]:
@@ -30,75 +33,36 @@ def decompose(length: int, most: int = 4096) -> list[int]:
     return [most] * (length // most) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-class Generations(dict):
-    """A bounded cache: entries used since the last turn-over are in the dict, those before in `old`; a hit there moves back.
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next above 255."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
-    Two generations of `most` entries bound the memory and change no result.
-    """
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
 
-    def make(self, key: bytes) -> bytes:
-        raise NotImplementedError
-
-    def __missing__(self, key: bytes) -> bytes:
-        if (value := self.old.get(key)) is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+class WordTokens(dict):
+    """Token ids (little-endian unsigned 32-bit) of words between ASCII white space, as the tokenizer gives them.
 
+    The tokenizer splits at white space before anything else, so a text's ids are those of its words in order. It also
+    ends a run of letters or digits before punctuation, so a word's trailing punctuation is encoded apart from a core
+    that ends in one; and it folds case, so an ASCII core needs to be met in one case only. A core of Latin letters is
+    one word to every step before the tokenizer's model (composed already, nothing to split), so it goes to the model at
+    once, in the characters that stand for its bytes. All other words are encoded as they are.
 
-class _Encoded(Generations):
-    """Token ids (little-endian unsigned 32-bit) of strings, straight from the tokenizer."""
+    The cache is bounded: words used since the last turn-over are in the dict, those before in `old`; a hit there moves
+    back. Two generations of `most` words bound the memory and change no result.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHED_WORDS):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__(CACHED_CORES)
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-
-    def make(self, key: bytes) -> bytes:
-        ids = array("I", self.encode([key.decode("utf-8")], add_special_tokens=False)[0].ids)
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-
-class WordTokens(Generations):
-    """Token ids of words between ASCII white space, as the tokenizer gives them.
-
-    The tokenizer splits at white space before anything else, so a text's ids are those of its words in order. It also
-    ends a run of letters or digits before punctuation, so a word's trailing punctuation is encoded apart from a core
-    that ends in one; and it folds case, so an ASCII core needs to be met in one case only. All other words are encoded
-    as they are.
-    """
-
-    def __init__(self, path: str):
-        super().__init__(CACHED_WORDS)
-        self.parts = _Encoded(path)
-
-    def make(self, word: bytes) -> bytes:
-        core = word.rstrip(TRAILING)
-        if not core.isalnum():  # bytes: true for ASCII letters and digits only
-            plain = core.isascii() and b"<" not in core
-            last = core[-1:] if plain else core[-4:].decode("utf-8", "ignore")[-1:]
-            if not last.isalnum() or len(last.lower()) > 1:
-                return self.parts[word]
-            if plain:
-                core = core.lower()
-            return self.parts[core] + self.parts[word[len(core) :]] if len(core) < len(word) else self.parts[core]
-        low = core.lower()
-        if (ids := self.parts.get(low)) is None:
-            ids = self.parts[low]
-        return ids + self.parts[word[len(core) :]] if len(core) < len(word) else ids
+        super().__init__()
+        whole = Tokenizer.from_file(path)
+        self.encode, self.word, self.most, self.old = whole.encode_batch_fast, whole.model.tokenize, most, {}
+        self.shown = {b: c for b, c in byte_letters().items() if b >= 128}
 
     def __missing__(self, word: bytes) -> bytes:
         if (ids := self.old.get(word)) is None:
@@ -109,6 +73,28 @@ class WordTokens(Generations):
         self[word] = ids
         return ids
 
+    def make(self, word: bytes) -> bytes:
+        if m := PLAIN(word):
+            core, tail = m.groups()
+            low = core.lower()
+            if tail:
+                return self[low] + self[tail]
+            return self[low] if low != word else _packed([t.id for t in self.word(low.decode())])
+        text = word.decode("utf-8")
+        if LETTERS(text):
+            return _packed([t.id for t in self.word(text.lower().encode().decode("latin-1").translate(self.shown))])
+        core = text.rstrip(TRAILING)
+        if len(core) < len(text) and core[-1:].isalnum() and len(core[-1].lower()) == 1 and "<" not in core:
+            return self[core.encode()] + self[text[len(core) :].encode()]
+        return _packed(self.encode([text], add_special_tokens=False)[0].ids)
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, tokens, doc_tokens, sequence_id, offset.
@@ -133,7 +119,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most:
                 return pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "tokens", "doc_tokens"])
 
             for i, text in enumerate(b.column(1).cast(pa.binary())):
-                ids = memoryview(b"".join([words[w] for w in (text.as_py() or b"").split()]) + end)
+                ids = memoryview(b"".join(map(words.__getitem__, (text.as_py() or b"").split())) + end)
                 n, at = len(ids) // 4, 0
                 for k in decompose(n, most):
                     doc.append(i)

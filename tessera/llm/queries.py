@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import ann, exact, html, maxent, mixing, packing, sharding, simhash, toxicity, warc
 from .common import table
 
-#: Toxicity categories as the labels tell them, in the order of the chain.
+#: Categories that the labels tell, in the order of the chain. They have one of toxicity only; quality is the one before it.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
@@ -19,11 +19,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents; null text: the end id alone; any length of text; ties do not occur, repeated rows are packed each."""
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of each page, read back; null html: empty; repeated rows: a record each; equal payloads: the largest page_id is the response."""
     pages = table(spark, sf_dir, "pages")
     found = warc.summary(warc.round_trip(pages))
     kind = pages.schema["page_id"].dataType
@@ -31,36 +33,44 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each vector whose id 20 divides; vectors that are null, zero or not finite take no part; ties go to the smaller id."""
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; null or empty text: fingerprint zero; texts of any length; repeated rows: each."""
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null html: empty; pages of any length, broken or not; repeated rows: each."""
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document; null text: size 0; null source: one of its own; ties by hash, so reruns agree."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards and slots under the law `key`; null text: 8 bytes; null ids share a shard; repeated rows: a slot each."""
     return sharding.shard_rows(table(spark, sf_dir, "documents"), 24).withColumn("law", F.lit("key"))
 
 
 def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; null text: empty; of repeated rows one is kept; texts of any length are compared whole."""
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain, fitted on at most 8,000 labelled documents, over all documents; null text: no features; repeated rows: each."""
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), CATEGORIES)
     return toxicity.score(docs, chain).withColumnRenamed("is_toxic", "toxic").drop("is_low_quality")
 
 
 def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of all documents; null text: the end token; texts of any length; repeated rows: each trains and is scored."""
     return maxent.score(table(spark, sf_dir, "documents"))
 
 

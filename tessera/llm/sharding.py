@@ -46,8 +46,9 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
     per_bucket rows, each bucket is numbered alone, and a bucket's offset is the sum of the counts of those before it.
     The counts are a table of (shard, bucket), whose size is rows / per_bucket.
 
-    Null text: 8 bytes, crc32 0. Null ids share one key, so one shard; their slots differ. Repeated rows get a slot each.
-    Empty input: no rows. Other columns are not read.
+    Null text: 8 bytes, crc32 0. Null ids share one key, so one shard; their slots differ. Repeated rows get a slot each,
+    and rows are dealt to buckets by their place, so that copies do not meet in one. Very long texts: only their bytes are
+    counted and summed. Empty input: no rows. Other columns, whatever their names, are not read.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -55,11 +56,11 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
     )
     rows = rows.withColumn("key", F.xxhash64("doc_id"))
-    rows = stash(rows.select("doc_id", "size", "text_crc32", jump_shard(F.col("key"), shards).alias("shard"), jump_shard(F.col("key"), shards + 1).alias("grown_shard")), "shards")
+    rows = stash(rows.select("doc_id", "size", "text_crc32", jump_shard(F.col("key"), shards).alias("shard"), jump_shard(F.col("key"), shards + 1).alias("grown_shard"), F.monotonically_increasing_id().alias("row")), "shards")
     buckets = 1 + rows.count() // (shards * per_bucket)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    own = Window.partitionBy("shard", "bucket").orderBy("row")
     placed = rows.withColumn("nth", F.row_number().over(own).cast("long")).join(offsets, ["shard", "bucket"])
     return placed.select(F.col("doc_id").alias(id_col), "size", "text_crc32", "shard", (F.col("before") + F.col("nth") - 1).alias("slot"), "grown_shard")

@@ -9,43 +9,77 @@ Links are kept as stars inside a bucket, as only reachability is asked for: a bu
 n - 1 edges, and no list of all pairs is ever made.
 
 similar_groups links texts by the Jaccard similarity of their shingle sets and takes fingerprints for its candidates only:
-s segments with one wildcard find all pairs up to 2s - 1 bits apart, and those further apart that agree in a segment.
+s segments with one wildcard find all pairs up to 2s - 1 bits apart, and most of those further apart.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, worker_cache
+from .common import scoped, stash, worker_cache
 from .components import components
 
 BITS, SEGMENT, SEED = 64, 32, 42
+GAP = re.compile(rb"[ \t-\r]")
+
+
+def shingle_blocks(text: bytes, words: int, block: int = 1 << 20) -> Iterator[list[int]]:
+    """XXH64 of each run of `words` words (fewer words: of the whole sequence; none: no hash), repeats included.
+
+    A text is split about `block` bytes at a time, the last words of a block going on to the next one, so that the lists
+    of a very long text stay small.
+    """
+    join, h, at, held, none = b" ".join, xxhash.xxh64_intdigest, 0, [], True
+    while at < len(text):
+        end = len(text)
+        if at + block < end and (gap := GAP.search(text, at + block)):
+            end = gap.start()
+        w = text[at:end].lower().split() if at or end < len(text) else text.lower().split()
+        w, at = held + w if held else w, end
+        if len(w) >= words:
+            none = False
+            yield [h(join(s), SEED) for s in zip(*(w[i:] for i in range(words)), strict=False)]
+            held = w[len(w) - words + 1 :]
+        else:
+            held = w
+    if none and held:
+        yield [h(join(held), SEED)]
+
+
+def bit_counts(hashes: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """How many of the hashes have each bit set, lowest bit first."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), block):
+        ones += np.unpackbits(hashes[at : at + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return ones
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """Signed 64-bit form of the fingerprint of n hashes: a bit is set where over half of them have it (none: 0)."""
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
 def shingle_hashes(text: bytes, words: int) -> list[int]:
-    """XXH64 of each run of `words` words (fewer words: of the whole sequence; none: no hash), repeats included."""
-    w = text.lower().split()
-    join, h = b" ".join, xxhash.xxh64_intdigest
-    if len(w) < words:
-        return [h(join(w), SEED)] if w else []
-    return [h(join(s), SEED) for s in zip(*(w[i:] for i in range(words)), strict=False)]
+    return [h for part in shingle_blocks(text, words) for h in part]
 
 
 def fingerprint(hashes: list[int], block: int = 1 << 16) -> int:
-    """Signed 64-bit form of the fingerprint; a bit is set where over half the hashes have it."""
-    if not hashes:
-        return 0
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), block):
-        part = np.array(hashes[at : at + block], dtype=np.uint64)
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+    return majority(bit_counts(np.array(hashes, np.uint64), block), len(hashes))
+
+
+def text_fingerprint(text: bytes, words: int) -> int:
+    ones, n = np.zeros(BITS, np.int64), 0
+    for part in shingle_blocks(text, words):
+        ones += bit_counts(np.array(part, np.uint64))
+        n += len(part)
+    return majority(ones, n)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,7 +90,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
         worker_cache("none", dict)  # other operators' caches are of no use here
         for b in batches:
             texts = b.column(1).cast(pa.binary())
-            fps = pa.array([fingerprint(shingle_hashes(t.as_py() or b"", words)) for t in texts], pa.int64())
+            fps = pa.array([text_fingerprint(t.as_py() or b"", words) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fps], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
@@ -83,88 +117,89 @@ def _linked(fps: np.ndarray, distance: int, block: int = 512) -> np.ndarray:
             return label
 
 
-def _bucket_edges(distance: int, bound: int):
-    """Reads (key, fp) sorted by both; yields verified star edges, and the rows of buckets over `bound` as they are (key set)."""
+def complete_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole buckets, many at a time, from batches sorted by their first column (the key)."""
+    held = None
+    for batch in batches:
+        rows = [c.to_numpy() for c in batch.columns]
+        if not len(rows[0]):
+            continue
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        if last:
+            yield [r[:last] for r in rows]
+        held = [r[last:] for r in rows]
+    if held is not None:
+        yield held
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["key", "a", "b"])
-
-        def bucket(key: int, fps: np.ndarray):
-            label = _linked(fps, distance)
-            off = np.flatnonzero(label != np.arange(len(fps)))
-            return fps[label[off]], fps[off]
-
-        held_key, held, passing = None, [], False
 
-        def settle():
-            if held_key is None or passing or (fps := np.concatenate(held)).size < 2:
-                return None
-            a, b = bucket(held_key, fps)
-            return out([None] * len(a), a, b) if len(a) else None
+def _bucket_edges(distance: int):
+    """Reads (key, fp) sorted by both; yields verified star edges of each bucket."""
 
-        for batch in batches:
-            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(keys):
-                continue
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, fps in complete_buckets(batches):
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            ends = np.r_[starts[1:], len(keys)]
-            first = 0
-            if keys[0] == held_key:
-                held.append(fps[: ends[0]])
-                first = 1
-            if first < len(starts):  # the held bucket is complete
-                if (edges := settle()) is not None:
-                    yield edges
-                if passing and len(rest := np.concatenate(held)):
-                    yield out(np.full(len(rest), held_key), rest, rest)
-                sizes = (ends - starts)[first:-1]
-                s = starts[first:-1]
-                two = s[sizes == 2]
-                near = np.bitwise_count((fps[two] ^ fps[two + 1]).view(np.uint64)) <= distance
-                if near.any():
-                    yield out([None] * int(near.sum()), fps[two[near]], fps[two[near] + 1])
-                for at, size in zip(s[sizes > 2], sizes[sizes > 2], strict=True):
-                    if size > bound:
-                        yield out(keys[at : at + size], fps[at : at + size], fps[at : at + size])
-                    else:
-                        a, b = bucket(int(keys[at]), fps[at : at + size])
-                        if len(a):
-                            yield out([None] * len(a), a, b)
-                held_key, held, passing = keys[starts[-1]], [fps[starts[-1] :]], False
-            if sum(map(len, held)) > bound or passing:
-                passing = True
-                rows = np.concatenate(held)
-                held = [rows[:0]]
-                yield out(np.full(len(rows), held_key), rows, rows)
-        if (edges := settle()) is not None:
-            yield edges
+            sizes = np.diff(np.r_[starts, len(keys)])
+            two = starts[sizes == 2]
+            near = np.bitwise_count((fps[two] ^ fps[two + 1]).view(np.uint64)) <= distance
+            a, b = [fps[two[near]]], [fps[two[near] + 1]]
+            for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                own = fps[at : at + n]
+                label = _linked(own, distance)
+                off = np.flatnonzero(label != np.arange(n))
+                a.append(own[label[off]])
+                b.append(own[off])
+            a, b = np.concatenate(a), np.concatenate(b)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def crowded_segments(distinct: DataFrame, bound: int) -> DataFrame:
+    """(half, seg): halves of fingerprints that more than bound / 2 fingerprints have; counts are combined before the shuffle.
+
+    A variant's bucket joins two segments, so each bucket of more than `bound` has one of these, and a list of them has
+    fewer than 4 / bound rows a fingerprint.
+    """
+    halves = F.explode(F.array(F.struct(F.lit(0).alias("half"), F.expr("fp & 4294967295L").alias("seg")), F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("fp", 32).alias("seg"))))
+    return distinct.select(halves.alias("h")).select("h.*").groupBy("half", "seg").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound / 2).select("half", "seg")
+
+
 def fingerprint_edges(distinct: DataFrame, distance: int = 2, bucket_bound: int = 20_000) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of fingerprints at most `distance` bits apart (0 to 2).
 
-    Buckets of up to bucket_bound fingerprints are verified in one task. The fingerprints of larger ones are linked by
-    two-wildcard variants of all 64 bits instead: those that share one are within two bits by construction, so a grouped
-    minimum, combined before the shuffle, links them without comparing pairs.
+    Buckets of up to bucket_bound fingerprints are verified in one task. Those that may have more are counted first and
+    never meet in one place: their fingerprints are linked by two-wildcard variants of all 64 bits instead. Those that
+    share one are within two bits by construction, so a grouped minimum, combined before the shuffle, links them
+    without comparing pairs.
     """
     if not 0 <= distance <= 2:
         raise ValueError("two segments with one wildcard find fingerprints up to two bits apart")
-    sorted_rows = variants(distinct).repartition("key").sortWithinPartitions("key", "fp")
-    found = stash(sorted_rows.mapInArrow(_bucket_edges(distance, bucket_bound), "key long, a long, b long").distinct(), "bucket-edges")
-    edges = found.filter("key IS NULL").select("a", "b")
-    large = found.filter("key IS NOT NULL").select(F.col("a").alias("fp")).distinct()
-    if large.isEmpty():
-        return edges
+    crowded = stash(crowded_segments(distinct, bucket_bound), "crowded")
+    keyed, edges = variants(distinct), None
+    if not crowded.isEmpty():
+        bit = F.explode(F.sequence(F.lit(0), F.lit(SEGMENT - 1))).alias("bit")
+        keys = crowded.select("half", "seg", bit).selectExpr("(seg & ~shiftleft(1L, bit)) | shiftleft(cast(half * 32 + bit AS long), 32) AS key").distinct()
+        keys = stash(keys, "crowded-keys")
+        large = keyed.join(keys, "key", "left_semi").select("fp").distinct()
+        keyed = keyed.join(keys, "key", "left_anti")
+        edges = _wildcard_edges(large, distance)
+    sorted_rows = keyed.repartition("key").sortWithinPartitions("key", "fp")
+    found = sorted_rows.mapInArrow(_bucket_edges(distance), "a long, b long")
+    return (found if edges is None else found.union(edges)).distinct()
+
+
+def _wildcard_edges(large: DataFrame, distance: int) -> DataFrame:
+    """Links of all fingerprints in `large` that are at most `distance` bits apart, as stars over shared two-wildcard variants."""
     if distance < 2:
         pos = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda p: F.struct(p.alias("p"), p.alias("q"))))
     else:
         pos = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BITS - 2)), lambda p: F.transform(F.sequence(p + 1, F.lit(BITS - 1)), lambda q: F.struct(p.alias("p"), q.alias("q"))))))
     wild = large.filter(F.lit(distance > 0)).select("fp", pos.alias("w")).selectExpr("fp", "w", "fp & ~(shiftleft(1L, w.p) | shiftleft(1L, w.q)) AS rest")
     least = wild.groupBy("w", "rest").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").drop("z")
-    return edges.union(wild.join(least, ["w", "rest"]).filter("a <> fp").select("a", F.col("fp").alias("b"))).distinct()
+    return wild.join(least, ["w", "rest"]).filter("a <> fp").select("a", F.col("fp").alias("b"))
 
 
 def near_groups(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text", bucket_bound: int = 20_000) -> DataFrame:
@@ -183,137 +218,142 @@ def near_groups(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str
     return fps.join(label, "fp").select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, node, shingles) for each row: fingerprint, hash of the shingle set, and the set as sorted 8-byte hashes."""
-    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("fp", "long").add("node", "long").add("shingles", "binary")
+def _second(hashes: np.ndarray) -> np.ndarray:
+    """Other 64 bits of each hash, by the finaliser of SplitMix64."""
+    z = hashes + np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def shingle_sets(docs: DataFrame, words: int, id_col: str, text_col: str, with_sets: bool) -> DataFrame:
+    """(id, f1, f2, node) for each row: 128 bits of fingerprint over the set of shingles, and the set's hash; with_sets: the set itself as sorted 8-byte hashes, too."""
+    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("f1", "long").add("f2", "long").add("node", "long")
+    schema = schema.add("shingles", "binary") if with_sets else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("none", dict)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                hashes = [shingle_hashes(t.as_py() or b"", words) for t in b.column(1).cast(pa.binary())]
-                sets = [np.unique(np.array(h, np.uint64)).tobytes() for h in hashes]
-                nodes = np.array([xxhash.xxh3_64_intdigest(x) for x in sets], np.uint64).view(np.int64)
-                cols = [pa.array([fingerprint(h) for h in hashes], pa.int64()), pa.array(nodes), pa.array(sets, pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=schema.names)
+        worker_cache("none", dict)  # other operators' caches are of no use here
+        for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
+            out: list[list] = [[], [], [], []]
+            for t in b.column(1).cast(pa.binary()):
+                parts = [np.unique(np.array(p, np.uint64)) for p in shingle_blocks(t.as_py() or b"", words)]
+                own = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint64)
+                raw = own.tobytes()
+                row = (majority(bit_counts(own), len(own)), majority(bit_counts(_second(own)), len(own)), xxhash.xxh3_64_intdigest(raw), raw)
+                for held, x in zip(out, row, strict=True):
+                    held.append(x)
+            cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(np.array(out[2], np.uint64).view(np.int64))]
+            cols += [pa.array(out[3], pa.binary())] if with_sets else []
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=schema.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def segment_rows(nodes: DataFrame, segments: int) -> DataFrame:
-    """64 rows (key, fp, node) for each node: its fingerprint's segments, each without one of its bits."""
+def _places(segments: int) -> list[tuple[int, int, int]]:
+    """(bit, shift, mask) of the variants: a segment's bits but one."""
     ends = [round(i * BITS / segments) for i in range(segments + 1)]
-    places = [(at, lo, (1 << hi - lo) - 1 & ~(1 << at - lo)) for lo, hi in zip(ends, ends[1:], strict=False) for at in range(lo, hi)]
-    w = F.explode(F.array(*(F.struct(F.lit(a).alias("at"), F.lit(lo).alias("lo"), F.lit(m).cast("long").alias("mask")) for a, lo, m in places)))
-    return nodes.select("fp", "node", w.alias("w")).selectExpr("(shiftrightunsigned(fp, w.lo) & w.mask) | shiftleft(cast(w.at AS long), 32) AS key", "fp", "node")
-
-
-def _nearest(fps: np.ndarray, distance: int, most: int, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, earlier row, bits) for each fingerprint of a bucket and its `most` nearest earlier ones within the distance; of equally near ones the latest."""
-    u, found = fps.view(np.uint64), []
-    for i in range(1, len(u), block):
-        stop = min(i + block, len(u))
-        bits = np.bitwise_count(u[i:stop, None] ^ u[None, stop - 2 :: -1])  # columns: from the row before the last one down
-        bits[np.arange(stop - 2, -1, -1)[None, :] >= np.arange(i, stop)[:, None]] = 255
-        rows = np.flatnonzero((bits <= distance).any(1))
-        bits = bits[rows]
-        for _ in range(most):
-            col = bits.argmin(1) if len(rows) else rows
-            least = bits[np.arange(len(rows)), col]
-            near = least <= distance
-            if not near.any():
-                break
-            found.append((i + rows[near], stop - 2 - col[near], least[near]))
-            bits[np.arange(len(rows)), col] = 255
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
-
-
-def _candidates(distance: int, most: int, bound: int):
-    """Reads (key, fp, node) sorted by all; yields pairs (a, b, bits) with key null, and the rows of buckets over `bound` as they are (key set, node in a, fp in b)."""
+    return [(at, lo, (1 << hi - lo) - 1 & ~(1 << at - lo)) for lo, hi in zip(ends, ends[1:], strict=False) for at in range(lo, hi)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key, a, b, bits):
-            cols = [pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bits, pa.int32())]
-            return pa.RecordBatch.from_arrays(cols, names=["key", "a", "b", "bits"])
 
-        def whole(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray):
-            """Pairs of complete buckets: small ones together, by their rows' distance in the order; others one by one."""
+def segment_rows(nodes: DataFrame, segments: int) -> DataFrame:
+    """64 rows (key, f1, f2, node and what else is given) for each node: the segments of its first 64 bits, each without one of its bits."""
+    w = F.explode(F.array(*(F.struct(F.lit(a).alias("at"), F.lit(lo).alias("lo"), F.lit(m).cast("long").alias("mask")) for a, lo, m in _places(segments))))
+    key = "(shiftrightunsigned(f1, w.lo) & w.mask) | shiftleft(cast(w.at AS long), 32) AS key"
+    return nodes.select("*", w.alias("w")).selectExpr(key, *nodes.columns)
+
+
+def _first_place(diff: np.ndarray, places: list[tuple[int, int, int]]) -> np.ndarray:
+    """The first variant that two fingerprints with these differing bits share; -1 if none. Only its bucket names the pair."""
+    out = np.full(len(diff), -1, np.int64)
+    for at, lo, mask in reversed(places):
+        out[(diff >> np.uint64(lo)) & np.uint64(mask) == 0] = at
+    return out
+
+
+def _near_rows(f1: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most_bits: int, small: int = 64, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, earlier row) of the same bucket whose first 64 bits differ in at most most_bits: small buckets together, by their rows' distance in the order, others in blocks."""
+    u, which = f1.view(np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+    own = np.flatnonzero(np.repeat((sizes <= small) & (sizes > 1), sizes))
+    x, k = u[own], which[own]
+    for step in range(1, small):
+        near = np.flatnonzero((np.bitwise_count(x[step:] ^ x[:-step]) <= most_bits) & (k[step:] == k[:-step]))
+        if len(near):
+            yield own[near + step], own[near]
+    for at, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
+        for i in range(1, n, block):
+            stop = min(i + block, n)
+            near = np.bitwise_count(u[at + i : at + stop, None] ^ u[None, at : at + stop - 1]) <= most_bits
+            near &= np.arange(stop - 1)[None, :] < np.arange(i, stop)[:, None]
+            row, earlier = np.nonzero(near)
+            yield at + i + row, at + earlier
+
+
+def _candidates(distance: int, most: int, segments: int, known: bool, dealt: bool, least: float = 0.8):
+    """Reads (key, f1, f2, node[, comp, size, shared][, home]) sorted by key; yields pairs (a, b, bits) with key null, and (key, a) for the ends of pairs beyond a node's `most` in the bucket (home).
+
+    known: pairs within a component do not count, nor those whose shared shingles are too few for a similarity of `least`.
+    """
+    places, apart = _places(segments), min(distance, 24)  # two texts 24 of 64 bits apart are alike by 0.3 at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, f1, f2, nodes, *more in complete_buckets(batches):
+            home = more.pop() if dealt else keys
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            sizes = np.diff(np.r_[starts, len(keys)])
-            small = np.repeat(sizes <= 64, sizes)
-            k, f, own = keys[small], fps[small], np.flatnonzero(small)
-            for step in range(1, 64):
-                same = k[step:] == k[:-step]
-                if not same.any():
-                    break
-                bits = np.bitwise_count((f[step:] ^ f[:-step]).view(np.uint64))
-                near = np.flatnonzero(same & (bits <= distance))
-                if len(near):
-                    yield nodes[own[near]], nodes[own[near + step]], bits[near]
-            for at, n in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-                x, y, bits = _nearest(fps[at : at + n], distance, most)
-                if len(x):
-                    yield nodes[at + y], nodes[at + x], bits
-
-        def settle(rows):
-            for a, b, bits in whole(*rows):
-                yield out([None] * len(a), a, b, bits)
-
-        held, n, passing = [], 0, None
-        for batch in batches:
-            rows = [batch.column(i).to_numpy() for i in range(3)]
-            if passing is not None:
-                end = int(np.searchsorted(rows[0], passing, "right"))
-                if end:
-                    yield out(rows[0][:end], rows[2][:end], rows[1][:end], [None] * end)
-                rows = [r[end:] for r in rows]
-                if not len(rows[0]):
-                    continue
-                passing = None
-            held.append(rows)
-            n += len(rows[0])
-            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
-            last = int(np.searchsorted(rows[0], rows[0][-1])) if n else 0
-            if last:
-                yield from settle([r[:last] for r in rows])
-            rows = [r[last:] for r in rows]
-            held, n = [rows], n - last
-            if n > bound:
-                passing = rows[0][0]
-                yield out(rows[0], rows[2], rows[1], [None] * n)
-                held, n = [], 0
-        if n:
-            yield from settle([np.concatenate(c) for c in zip(*held, strict=True)])
+            found = []
+            for row, earlier in _near_rows(f1, starts, np.diff(np.r_[starts, len(keys)]), apart):
+                if known:
+                    comp, size, shared = more
+                    both = np.minimum(shared[row], shared[earlier])
+                    open_ = (comp[row] != comp[earlier]) & (both >= least * (size[row] + size[earlier] - both))
+                    row, earlier = row[open_], earlier[open_]
+                diff = (f1[row] ^ f1[earlier]).view(np.uint64)
+                bits = np.bitwise_count(diff).astype(np.int32) + np.bitwise_count((f2[row] ^ f2[earlier]).view(np.uint64))
+                mine = (bits <= distance) & (nodes[row] != nodes[earlier])
+                mine[mine] = _first_place(diff[mine], places) == home[row[mine]] >> 32
+                if mine.any():
+                    found.append((row[mine], earlier[mine], bits[mine]))
+            if not found:
+                continue
+            row, earlier, bits = (np.concatenate(z) for z in zip(*found, strict=True))
+            order = np.lexsort((earlier, bits, row))
+            row, earlier, bits = row[order], earlier[order], bits[order]
+            taken = np.arange(len(row)) - np.searchsorted(row, row) < most
+            left = np.unique(np.concatenate([row[~taken], earlier[~taken]]))
+            row, earlier, bits = row[taken], earlier[taken], bits[taken]
+            none = pa.nulls(len(left), pa.int64())
+            cols = [(pa.nulls(len(row), pa.int64()), pa.array(home[left])), (pa.array(nodes[earlier]), pa.array(nodes[left])), (pa.array(nodes[row]), none), (pa.array(bits, pa.int32()), none.cast(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], names=["key", "a", "b", "bits"])
 
     return run
 
 
-def candidate_pairs(nodes: DataFrame, segments: int, distance: int, most: int = 4, bucket_bound: int = 20_000) -> DataFrame:
-    """(a, b, bits): pairs of nodes whose fingerprints agree, but for one bit, in a segment and differ in at most `distance` bits.
+def candidate_pairs(nodes: DataFrame, segments: int, distance: int, most: int, only: DataFrame | None = None, bucket_bound: int = 20_000, least: float = 0.8) -> DataFrame:
+    """Pairs (a, b, bits) of nodes (f1, f2, node[, comp, size, shared]) whose first fingerprints agree, but for one bit, in a segment and whose 128 bits differ in at most `distance`.
 
-    Complete in buckets of up to 64 nodes. In larger ones each node is paired with its `most` nearest earlier ones, so that
-    a group of n near copies makes no n * n pairs; each of 64 buckets chooses for itself. Buckets over bucket_bound are
-    cut into parts, and every two parts meet in a task of their own.
+    A pair is named by the first bucket that it shares, and there a node meets its `most` nearest earlier ones only; the
+    ends of the pairs beyond are returned with the bucket's key (key and a set), so that the caller may look there again.
+    `only` restricts to such keys. Buckets that may hold over bucket_bound nodes are counted first and dealt over tasks in
+    which every two of their parts meet.
     """
-    shape = "key long, a long, b long, bits int"
+    rows, known, shape = segment_rows(nodes, segments), "comp" in nodes.columns, "key long, a long, b long, bits int"
+    if only is not None:
+        rows = rows.join(only, "key", "left_semi")
+    ends = [round(i * BITS / segments) for i in range(segments + 1)]
+    seg = F.explode(F.array(*(F.struct(F.lit(lo).alias("lo"), F.expr(f"shiftrightunsigned(f1, {lo}) & {(1 << hi - lo) - 1}L").alias("seg")) for lo, hi in zip(ends, ends[1:], strict=False))))
+    crowded = stash(nodes.select(seg.alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_bound / 2).select("s.lo", "s.seg"), "crowded")
 
-    def sort(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key", "fp", "node")
+    def look(rows: DataFrame, dealt: bool) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key", "f1", "f2", "node").mapInArrow(_candidates(distance, most, segments, known, dealt, least), shape)
 
-    found = stash(sort(segment_rows(nodes, segments)).mapInArrow(_candidates(distance, most, bucket_bound), shape), "candidates")
-    pairs = found.filter("key IS NULL").select("a", "b", "bits")
-    large = found.filter("key IS NOT NULL").select("key", F.col("b").alias("fp"), F.col("a").alias("node"))
-    if not large.isEmpty():
-        parts = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 2 / bucket_bound).cast("int").alias("g"))
-        dealt = large.join(parts, "key").withColumn("p", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-        dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        dealt = dealt.select(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("key"), "fp", "node")
-        more = sort(dealt).mapInArrow(_candidates(distance, most, 1 << 62), shape)
-        pairs = pairs.union(more.select("a", "b", "bits"))
-    return pairs.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("bits").alias("bits"))
+    if crowded.isEmpty():
+        return stash(look(rows, False), "candidates")
+    places = rows.sparkSession.createDataFrame(_places(segments), "at int, lo int, mask long")  # 64 rows
+    keys = crowded.join(F.broadcast(places), "lo").selectExpr("(seg & mask) | shiftleft(cast(at AS long), 32) AS key").distinct()
+    large = rows.join(keys, "key", "left_semi")
+    parts = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 2 / bucket_bound).cast("int").alias("g"))
+    dealt = large.join(parts, "key").withColumn("p", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.withColumn("home", F.col("key")).withColumn("key", F.xxhash64("home", F.least("p", "q"), F.greatest("p", "q"))).select(*rows.columns, "home")
+    return stash(look(rows.join(keys, "key", "left_anti"), False).union(look(dealt, True)), "candidates")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -333,27 +373,84 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, segments: int = 5, distance: int = 13, id_col: str = "doc_id", text_col: str = "text", bucket_bound: int = 20_000) -> DataFrame:
+@scoped
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, segments: int = 5, distance: int = 30, most: int = 1, id_col: str = "doc_id", text_col: str = "text", bucket_bound: int = 20_000) -> DataFrame:
     """One row per input row: id, component_id (the least id reachable over pairs of shingle similarity >= least, itself included).
 
-    Candidates come from fingerprints (see candidate_pairs), each is verified by the true Jaccard similarity of the shingle
-    sets. Each node's nearest candidate is verified first; pairs within a component found so need no second look.
+    A text has a fingerprint of 128 bits over its set of shingles. Candidates agree, but for one bit, in one of `segments`
+    segments of the first 64 bits and differ in at most `distance` of all 128; each pair between different components is
+    verified by the true Jaccard similarity of the sets. A node's nearest candidate is verified first, as pairs within a
+    component found so need no second look. In a bucket a node meets its `most` nearest first; rounds over the buckets
+    where one has more look at eight times as many of other components, until none has more. There a node's shingles that
+    no other such node has bound its similarity, which rules pairs out without naming them. So no candidate between two
+    components is passed over, and a group of n copies makes no n * n pairs.
 
     * null text and texts without words: the empty set, all alike; equal sets are one node;
-    * null ids are compared too; repeated rows: each is returned; empty input: no rows. Other columns are not read.
+    * null ids are compared too; repeated rows: each is returned; empty input: no rows. Other columns are not read;
+    * very long texts: shingled in blocks; what grows with a text is the set of its hashes, 8 bytes each.
     """
-    rows = stash(shingle_sets(docs, words, id_col, text_col), "shingles")
-    nodes = stash(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")), "nodes")
-    pairs = stash(candidate_pairs(nodes.select("fp", "node"), segments, distance, bucket_bound=bucket_bound), "pairs")
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stash(rows.join(named, "node", "left_semi").dropDuplicates(["node"]).select("node", "shingles"), "sets")
-    nearest = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy("bits", "a"))).filter("nth = 1")
+    rows = stash(shingle_sets(docs, words, id_col, text_col, False), "fingerprints")
+    nodes = stash(rows.groupBy("node").agg(F.min("f1").alias("f1"), F.min("f2").alias("f2"), F.min("doc_id").alias("least")), "nodes")
+    found = candidate_pairs(nodes.select("f1", "f2", "node"), segments, distance, most, bucket_bound=bucket_bound)
+    ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
+    pairs = stash(_once(found), "pairs")
+    sets = _sets(docs, nodes.join(ends(pairs), "node", "left_semi"), words, id_col, text_col)
+    nearest = pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("n")).select("n.a", "b")
     sure = stash(_alike(nearest, sets, least), "sure")
-    found = components(sure)
-    at = found.withColumnRenamed("node", "a").withColumnRenamed("component", "ca"), found.withColumnRenamed("node", "b").withColumnRenamed("component", "cb")
-    left = pairs.join(nearest.select("a", "b"), ["a", "b"], "left_anti").join(at[0], "a", "left").join(at[1], "b", "left")
-    left = left.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    found = components(sure.union(_alike(left, sets, least)))
-    label = stash(nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "labels")
-    ids = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "node").join(label.join(ids, "component").select("node", "component_id"), "node").select(F.col("doc_id").alias(id_col), "component_id")
+    label = components(sure)
+    sure = sure.union(stash(_alike(_across(pairs.join(nearest, ["a", "b"], "left_anti"), label), sets, least), "sure"))
+    label, seen, facts = stash(components(sure), "label"), pairs.select("a", "b"), None
+    while not (left := stash(found.filter("key IS NOT NULL").select("key", F.col("a").alias("node")).distinct(), "left")).isEmpty():
+        most *= 8
+        hard = nodes.join(left.select("node").distinct(), "node", "left_semi")
+        if facts is None:  # later rounds are about some of the same nodes
+            sets = sets.union(_sets(docs, hard.join(sets.select("node"), "node", "left_anti"), words, id_col, text_col))
+            facts = stash(_shared(sets.join(hard.select("node"), "node", "left_semi")), "facts")
+        at = hard.join(label, "node", "left").join(facts, "node").select("f1", "f2", "node", F.coalesce("component", "node").alias("comp"), "size", "shared")
+        found = candidate_pairs(at, segments, distance, most, left.select("key").distinct(), bucket_bound, least)
+        fresh = stash(_once(found).select("a", "b").join(seen, ["a", "b"], "left_anti"), "pairs")
+        if not fresh.isEmpty():
+            seen, sure = seen.union(fresh), sure.union(stash(_alike(fresh, sets, least), "sure"))
+            label = stash(components(sure), "label")
+    named = stash(nodes.join(label, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "labels")
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "node").join(named.join(ids, "component").select("node", "component_id"), "node").select(F.col("doc_id").alias(id_col), "component_id")
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """(node, size, shared): how many shingles a node has, and how many of these another of the nodes has, too. No pair has more than the lesser of its nodes' shared ones in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                parts = [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)[at : at + 256]]
+                nodes = np.repeat(b.column(0)[at : at + 256].to_numpy(), [len(p) for p in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(nodes)], names=["shingle", "node"])
+
+    each = sets.select("node", "shingles").mapInArrow(run, "shingle long, node long")
+    lone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    size = (F.octet_length("shingles") / 8).cast("long")
+    return sets.select("node", size.alias("size")).join(lone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("shared"))
+
+
+def _once(found: DataFrame) -> DataFrame:
+    """Each pair once, the smaller node first."""
+    return found.filter("key IS NULL AND a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("bits").alias("bits"))
+
+
+def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components of label(node, component)."""
+    a, b = label.toDF("a", "ca"), label.toDF("b", "cb")
+    return pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col: str, most_sent: int = 200_000) -> DataFrame:
+    """(node, shingles) of the nodes: their texts are found by the least id and shingled once more, so that the sets of all other texts are never stored.
+
+    Up to most_sent ids go to all tasks, so that the texts need no shuffle; more of them are joined.
+    """
+    wanted = stash(nodes.select("node", F.col("least").alias("_least")), "wanted")
+    ids = wanted.select("_least").distinct()
+    texts = docs.join(F.broadcast(ids) if wanted.count() <= most_sent else ids, F.col(id_col).eqNullSafe(F.col("_least")), "left_semi")
+    own = shingle_sets(texts, words, id_col, text_col, True).join(wanted.select("node"), "node", "left_semi")
+    return stash(own.dropDuplicates(["node"]).select("node", "shingles"), "sets")

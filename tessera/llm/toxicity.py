@@ -156,13 +156,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
     """Fit the chain on at most most_rows labelled documents, those with the least hash of their id.
 
     categories: name -> SQL expression over labels that is true where a row has the category; their order is the chain's.
-    Rows whose id or any category is null are left out; of repeated label rows a category holds if one has it. Without
-    labelled rows all probabilities are near 0 and no document is flagged.
+    Rows whose id or any category is null are left out; of repeated label rows a category holds if one has it, and of
+    documents that share an id the one with the least text is trained on, so that most_rows bounds what the driver gets.
+    Ties in the hash go to the smaller id. Without labelled rows all probabilities are near 0 and nothing is flagged.
     """
     own = labels.select(F.col(id_col).alias("doc_id"), *(F.expr(e).cast("int").alias(f"c{i}") for i, e in enumerate(categories.values()))).dropna()
     own = own.groupBy("doc_id").agg(*(F.max(f"c{i}").alias(f"c{i}") for i in range(len(categories))))
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")  # most_rows bounds it
+    found = found.groupBy("doc_id").agg(F.min("text").alias("text"))
     marks = {r["doc_id"]: [r[f"c{i}"] for i in range(len(categories))] for r in sample.collect()}
     rows = sorted(feature_rows(found, "doc_id", "text").collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), bytes(r["ids"])))
     parts = [np.frombuffer(bytes(r["ids"]), "<i4") for r in rows]
@@ -178,8 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row, without a shuffle: id, the columns in keep, and p_<category> and is_<category> of each.
 
-    Whole texts count. Null text: no features, so the probabilities of the biases. Repeated rows and null ids: scored
-    like any other. Empty input: no rows.
+    Whole texts count, however long. Null text: no features, so the probabilities of the biases. Repeated rows and null
+    ids: scored like any other; a probability equal to the threshold is flagged. Empty input: no rows. Columns that are
+    not in keep, whatever their names, are not read.
     """
     names = [f"p_{c}" for c in chain.categories]
     schema = docs.select(F.col(id_col), *keep).schema

@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,16 +38,16 @@ def file_system(path: str):
 
 
 def record_types(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int = 1000) -> DataFrame:
-    """(page_id, sha1, n_bytes, refers_to) for each distinct (id, payload) that is to be a revisit record.
+    """(page_id, sha1, refers_to, origin): each distinct (id, payload) that is to be a revisit record, and each that these refer to, with the place of its first row (origin).
 
     Payloads are equal when length, SHA-1 and SHA-256 are. The grouped maximum is combined before the shuffle; the join
     back carries digests only, and adaptive execution may split it where one payload is hot.
     """
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.unhex(F.sha1(body)).alias("sha1"), F.unhex(F.sha2(body, 256)).alias("sha256"), F.octet_length(body).alias("n_bytes")).filter(F.col("n_bytes") >= least_bytes)
-    groups = rows.groupBy("sha1", "sha256", "n_bytes").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("z"), F.count(F.lit(1)).alias("k")).filter("k > 1 AND refers_to IS NOT NULL")
-    found = rows.join(groups.drop("z", "k"), ["sha1", "sha256", "n_bytes"]).filter("page_id IS NULL OR page_id <> refers_to")
-    return found.select("page_id", "sha1", "refers_to").distinct()
+    rows = pages.select(F.col(id_col).alias("page_id"), F.unhex(F.sha1(body)).alias("sha1"), F.unhex(F.sha2(body, 256)).alias("sha256"), F.octet_length(body).alias("n_bytes"), F.monotonically_increasing_id().alias("row")).filter(F.col("n_bytes") >= least_bytes)
+    groups = rows.groupBy("sha1", "sha256", "n_bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("k")).filter("k > 1 AND refers_to IS NOT NULL").drop("k")
+    found = rows.join(groups, ["sha1", "sha256", "n_bytes"])
+    return found.groupBy("page_id", "sha1", "refers_to").agg(F.min("row").alias("row")).select("page_id", "sha1", "refers_to", F.when(F.col("page_id") == F.col("refers_to"), F.col("row")).alias("origin"))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 1000, chunk_bytes: int = 1 << 20) -> DataFrame:
@@ -53,14 +55,17 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     A task writes to a name of its own attempt, so that a retried or speculative task leaves at most a stray file which
     no returned row names. Null payload: empty. Null url: urn:none. Repeated rows: a record each; of rows that repeat
-    both the largest id and the payload, each is a response. Null ids never win; equal payloads under null ids alone are
-    all responses.
+    both the largest id and the payload, each is a response, and revisits refer to the first. Null ids never win; equal
+    payloads under null ids alone are all responses. Ids may hold any characters (they are percent-encoded in the
+    headers), urls and payloads any length; a payload is in memory as a whole only as the row that Spark hands over.
+    Empty input: no archive. Other columns, whatever their names, are not read.
     """
     body = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"), F.unhex(F.sha1(body.cast("binary"))).alias("sha1"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"), F.unhex(F.sha1(body.cast("binary"))).alias("sha1"), F.monotonically_increasing_id().alias("row"))
     twins = record_types(pages, id_col, payload_col, least_bytes).withColumnRenamed("page_id", "twin_id").withColumnRenamed("sha1", "twin_sha1")
     rows = rows.join(twins, F.col("page_id").eqNullSafe(F.col("twin_id")) & (F.col("sha1") == F.col("twin_sha1")), "left")
-    rows = rows.select(F.col("page_id").cast("string"), "url", "payload", F.col("refers_to").cast("string"), F.col("twin_sha1").isNotNull().alias("revisit"))
+    revisit = F.col("twin_sha1").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    rows = rows.select(F.col("page_id").cast("string"), "url", "payload", F.col("refers_to").cast("string"), revisit.alias("revisit"), (F.col("row") == F.col("origin")).alias("origin"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(path)
@@ -68,9 +73,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         name, sink, n, size = f"part-{uuid.uuid4().hex}.warc.gz", None, 0, 0
         try:
             for b in batches:
-                for page, url, payload, refers, revisit in zip(*(b.column(i) for i in range(5)), strict=True):
+                for page, url, payload, refers, revisit, origin in zip(*(b.column(i) for i in range(6)), strict=True):
                     sink = sink or fs.open_output_stream(f"{base}/{name}", compression=None)
-                    for part in record_parts(page.as_py(), url.as_py(), memoryview(payload.as_buffer() or b""), refers.as_py(), revisit.as_py(), chunk_bytes):
+                    for part in record_parts(page.as_py(), url.as_py(), memoryview(payload.as_buffer() or b""), refers.as_py(), revisit.as_py(), chunk_bytes, bool(origin.as_py())):
                         size += len(part)
                         sink.write(part)
                     n += 1
@@ -83,7 +88,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     return stash(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
-def record_parts(page: str | None, url: str | None, payload: memoryview, refers_to: str | None, revisit: bool, chunk_bytes: int) -> Iterator[bytes]:
+def origin_id(page: str, sha1: bytes) -> str:
+    """The id of a record that others refer to: a name-based UUID of its page's id and its payload, so that they know it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{sha1.hex()} {page}')}>"
+
+
+def record_parts(page: str | None, url: str | None, payload: memoryview, refers_to: str | None, revisit: bool, chunk_bytes: int, origin: bool = False) -> Iterator[bytes]:
     """The compressed parts of one record; the payload is digested and compressed chunk by chunk."""
     sha1 = hashlib.sha1()
     for at in range(0, len(payload), chunk_bytes):
@@ -91,17 +101,17 @@ def record_parts(page: str | None, url: str | None, payload: memoryview, refers_
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     named = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>",
+        "WARC-Record-ID": origin_id(page, sha1.digest()) if origin else f"<urn:uuid:{uuid.uuid4()}>",
         "WARC-Date": DATE,
-        "WARC-Target-URI": (url or "urn:none").replace("\r", "%0D").replace("\n", "%0A"),
+        "WARC-Target-URI": re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "urn:none"),
         "WARC-Payload-Digest": "sha1:" + base64.b32encode(sha1.digest()).decode(),
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": str(len(http) + (0 if revisit else len(payload))),
     }
     if page is not None:
-        named["X-Page-ID"] = page
+        named["X-Page-ID"] = quote(page)
     if revisit:
-        named |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:page:{refers_to}>"}
+        named |= {"WARC-Profile": PROFILE, "WARC-Refers-To": origin_id(refers_to, sha1.digest()), "X-Refers-To-Page-ID": quote(refers_to)}
     squeeze = zlib.compressobj(4, zlib.DEFLATED, 31)
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named.items()) + "\r\n"
     yield squeeze.compress(head.encode() + http)
@@ -132,10 +142,10 @@ class _Stream:
             self.raw = self.inflate.unconsumed_tail
         return True
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes | None:
-        while (at := self.held.find(mark)) < 0:
-            if len(self.held) > most:
-                raise ValueError("a header block is over 1 MB: this is not a WARC archive")
+    def until(self, mark: bytes) -> bytes | None:
+        seen = 0
+        while (at := self.held.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.held)
             if not self.more():
                 if self.held.strip():
                     raise ValueError("the archive ends inside a header block")
@@ -144,6 +154,13 @@ class _Stream:
         del self.held[: at + len(mark)]
         return out
 
+    def starts(self, mark: bytes) -> bool:
+        """Whether mark comes next; the end of the archive is no mark."""
+        while len(self.held) < len(mark):
+            if not self.more():
+                break
+        return self.held.startswith(mark)
+
     def take(self, n: int) -> bytes:
         while len(self.held) < n:
             if not self.more():
@@ -156,18 +173,21 @@ class _Stream:
 def read_records(source, chunk_bytes: int = 1 << 20) -> Iterator[tuple]:
     """Chunk rows of one archive, in its order; a record without payload has one empty chunk."""
     stream = _Stream(source, min(chunk_bytes, 1 << 18))
-    while (head := stream.until(b"\r\n\r\n")) is not None:
+    while stream.starts(b"WARC/") or stream.held.strip():
+        if not stream.starts(b"WARC/"):
+            raise ValueError(f"not a WARC record: {bytes(stream.held[:40])!r}")
+        head = stream.until(b"\r\n\r\n")
+        if head is None:
+            break
         lines = head.decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
         named = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         left = int(named["content-length"])
         http = stream.until(b"\r\n\r\n")
         left -= len(http) + 4
         sent = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
-        kind, refers = named["warc-type"], named.get("warc-refers-to")
+        kind, page, refers = named["warc-type"], named.get("x-page-id"), named.get("x-refers-to-page-id")
         digest = base64.b32decode(named["warc-payload-digest"].removeprefix("sha1:")).hex()
-        fixed = (named["warc-record-id"], named.get("x-page-id"), kind, refers and refers[len("<urn:page:") : -1], named["warc-target-uri"], int(sent["content-length"]), digest)
+        fixed = (named["warc-record-id"], page and unquote(page), kind, refers and unquote(refers), named["warc-target-uri"], int(sent["content-length"]), digest)
         sha1, done, no = hashlib.sha1(), 0, 0
         while True:
             chunk = stream.take(min(chunk_bytes, left - done))

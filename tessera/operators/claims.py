@@ -18,6 +18,9 @@ def fill_slots(slots: DataFrame, evidence: DataFrame, most: int = 3, least_chars
     """
     wanted = slots.select("claim_id", F.explode(F.array_distinct(tokens(F.col("description")))).alias("word")).filter(F.length("word") >= least_chars)
     words = evidence.select("evidence_id", "score", F.explode(F.array_distinct(tokens(F.col("content")))).alias("word"))
+    # Of the evidence that has a word only the `most` best can be among a slot's best, so a common word meets few rows.
+    nth = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), "evidence_id"))
+    words = words.withColumn("nth", nth).filter(F.col("nth") <= most).drop("nth")
     met = words.join(wanted, "word").groupBy("claim_id", "evidence_id").agg(F.first("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("score"), "evidence_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= most).select("claim_id", "evidence_id", "rank")
@@ -31,14 +34,16 @@ def slot_status(slots: DataFrame, filled: DataFrame) -> DataFrame:
 
 
 def check_citations(answers: DataFrame) -> DataFrame:
-    """answers(answer_id, text, n_evidence): how many citations there are and which are out of range."""
-    cited = rules.cited(F.col("text"))
-    return answers.select("answer_id", F.size(cited).alias("n_cited"), F.array_join(F.filter(cited, lambda c: (c < 1) | (c > F.col("n_evidence"))), ",").alias("out_of_range"))
+    """answers(answer_id, text, n_evidence): how many citations there are, which numbers or ranges are out of range, and how many sources are named."""
+    beyond = rules.cited_beyond(F.col("text"), F.col("n_evidence"))
+    n = F.size(rules.cited_within(F.col("text"), F.col("n_evidence"))) + F.size(beyond)
+    return answers.select("answer_id", n.alias("n_cited"), F.array_join(beyond, ",").alias("out_of_range"), F.size(rules.cited_names(F.col("text"))).alias("n_named"))
 
 
-def check_versions(evidence: DataFrame, asked: str = "asked", effective: str = "effective", superseded: str = "superseded") -> DataFrame:
-    """Verdict of each row: error if not in force at the asked date, warning if superseded since, else ok."""
-    verdict = F.when(F.col(effective) > F.col(asked), "error").when(F.col(superseded) <= F.col(asked), "error").when(F.col(superseded).isNotNull(), "warning").otherwise("ok")
+def check_versions(evidence: DataFrame, asked: str = "asked", effective: str = "effective", superseded: str = "superseded", status: str | None = None) -> DataFrame:
+    """Verdict of each row: error if repealed (by a status column) or not in force at the asked date, warning if superseded since, else ok."""
+    repealed = F.lit(False) if status is None else F.coalesce(F.col(status) == "repealed", F.lit(False))
+    verdict = F.when(repealed, "error").when(F.col(effective) > F.col(asked), "error").when(F.col(superseded) <= F.col(asked), "error").when(F.col(superseded).isNotNull(), "warning").otherwise("ok")
     return evidence.withColumn("verdict", verdict)
 
 

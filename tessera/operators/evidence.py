@@ -57,17 +57,30 @@ def dedup_contained(hits: DataFrame, shortest: int = 10, grams: tuple[int, ...]
     return hits.join(gone, F.col("content") == F.col("_gone"), "left_anti")
 
 
-def parents(hits: DataFrame) -> DataFrame:
-    """Best hit of each parent with its children's ids, scores and number; rows without a parent stay single."""
-    grouped = hits.filter("parent_id IS NOT NULL")
-    best = grouped.groupBy("parent_id").agg(
-        F.max_by("chunk_id", F.struct("score", -F.col("idx"))).alias("chunk_id"),
-        F.max("score").alias("score"),
-        F.count(F.lit(1)).alias("n_children"),
-        F.min("chunk_id").alias("least_child"),
-    )
-    single = hits.filter("parent_id IS NULL").select(F.lit(None).cast("long").alias("parent_id"), "chunk_id", "score", F.lit(1).cast("long").alias("n_children"), F.col("chunk_id").alias("least_child"))
-    return best.unionByName(single)
+def parents(hits: DataFrame, separator: str = " > ") -> DataFrame:
+    """Best hit of each parent (group_key, chunk_id, score, children, child_scores, place) of hits(chunk_id, score, idx, parent_id[, path]).
+
+    Hits are grouped by parent_id, else by the path before its last separator, else each stays single (group_key null). The
+    best is the first by idx on ties. children are distinct ids in order of idx, with their first scores to 6 digits. place
+    numbers the result by falling score; of equal scores single hits come first, then groups by their first hit.
+    """
+    up = F.lit(None).cast("string")
+    if "path" in hits.columns:
+        lead = F.substring_index("path", separator, F.size(F.split("path", f"\\Q{separator}\\E")) - 1)
+        up = F.when(F.contains("path", F.lit(separator)) & (F.trim(lead) != ""), F.concat(F.lit("path:"), lead))
+    parent = F.nullif(F.col("parent_id").cast("string"), F.lit(""))
+    keyed = hits.withColumn("group_key", F.coalesce(F.concat(F.lit("pid:"), parent), up))
+    once = keyed.filter("group_key IS NOT NULL").groupBy("group_key", "chunk_id").agg(F.min("idx").alias("idx"), F.min_by("score", "idx").alias("first"), F.max(F.struct("score", -F.col("idx"))).alias("best"))
+    best = once.groupBy("group_key").agg(F.max_by("chunk_id", "best").alias("chunk_id"), F.max("best")["score"].alias("score"), F.min("idx").alias("idx"), F.array_sort(F.collect_list(F.struct("idx", "chunk_id", F.round("first", 6).alias("s")))).alias("c"))
+    grouped = best.select("group_key", "chunk_id", "score", F.transform("c", lambda x: x["chunk_id"]).alias("children"), F.transform("c", lambda x: x["s"]).alias("child_scores"), "idx")
+    alone = keyed.filter("group_key IS NULL")
+    single = alone.select("group_key", "chunk_id", "score", F.array("chunk_id").alias("children"), F.array(F.round("score", 6)).alias("child_scores"), "idx")
+    return grouped.unionByName(single)
+
+
+def by_score(hits: DataFrame) -> DataFrame:
+    """The result of parents in its order: falling score; of equal scores single hits first, then by idx."""
+    return hits.orderBy(F.desc("score"), F.col("group_key").isNotNull(), "idx")
 
 
 def sufficiency(evidence: DataFrame, claims: DataFrame, conflicts: DataFrame) -> DataFrame:

@@ -4,27 +4,45 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import count_of, number
 
 #: Fields that eq compares by substring, regardless of case.
-SUBSTRING_FIELDS = ("doc_name", "doc_title", "source", "p_name")
+SUBSTRING_FIELDS = ("doc_name", "doc_title")
+#: A list of words: eq is one of them, whatever its case.
+WORD_LISTS = ("keywords",)
 
 
-def predicate(field: str, op: str, value: object) -> Column:
-    """One condition. Operators: eq, in, contains, regex, prefix, suffix, gt, gte, lt, lte; a null field never matches."""
+def valid_pattern(pattern: str) -> bool:
+    """Whether the JVM compiles a regular expression; checked once on the driver, so that a bad one cannot end a query."""
+    jvm = SparkSession.active().sparkContext._jvm
+    try:
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
+        return False
+    return True
+
+
+def predicate(field: str, op: str, value: object, substring_fields: tuple[str, ...] = SUBSTRING_FIELDS) -> Column:
+    """One condition. Operators: eq, in, contains, regex, prefix, suffix, gt, gte, lt, lte; a null field never matches, nor does a pattern that is none.
+
+    eq on one of substring_fields is a substring, on `keywords` (an array) a word of it, both regardless of case.
+    """
     c = F.col(field)
     text = F.lower(c.cast("string"))
-    if op == "eq":
-        out = text.contains(str(value).lower()) if field in SUBSTRING_FIELDS else c.cast("string") == str(value)
+    if op in ("eq", "contains") and field in WORD_LISTS:
+        out = F.exists(c, lambda w: F.lower(w) == str(value).lower())
+    elif op == "eq":
+        out = text.contains(str(value).lower()) if field in substring_fields else c.cast("string") == str(value)
     elif op == "in":
-        out = reduce(lambda a, b: a | b, (predicate(field, "eq", v) for v in value), F.lit(False))
+        out = reduce(lambda a, b: a | b, (predicate(field, "eq", v, substring_fields) for v in value), F.lit(False))
     elif op == "contains":
         out = text.contains(str(value).lower())
     elif op == "regex":
-        out = c.cast("string").rlike(f"(?U){value}")
+        out = c.cast("string").rlike(f"(?U){value}") if valid_pattern(f"(?U){value}") else F.lit(False)
     elif op in ("prefix", "suffix"):
         out = (text.startswith if op == "prefix" else text.endswith)(str(value).lower())
     elif op in ("gt", "gte", "lt", "lte"):
@@ -35,9 +53,9 @@ def predicate(field: str, op: str, value: object) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def metadata_filter(rows: DataFrame, conditions: dict[str, tuple[str, object]], order: str, limit: int | None = None) -> DataFrame:
+def metadata_filter(rows: DataFrame, conditions: dict[str, tuple[str, object]], order: str, limit: int | None = None, substring_fields: tuple[str, ...] = SUBSTRING_FIELDS) -> DataFrame:
     """AND of the conditions; unknown fields and empty values are ignored. With a limit: the first rows by order."""
-    used = [predicate(f, op, v) for f, (op, v) in conditions.items() if f in rows.columns and v not in (None, "")]
+    used = [predicate(f, op, v, substring_fields) for f, (op, v) in conditions.items() if f in rows.columns and v not in (None, "")]
     out = rows.filter(reduce(lambda a, b: a & b, used)) if used else rows
     return out if limit is None else out.orderBy(order).limit(limit)
 
@@ -55,7 +73,10 @@ def relax(rows: DataFrame, levels: list[dict[str, tuple[str, object]]]) -> DataF
 
 
 def exact_match(rows: DataFrame, query: str, mode: str, text: str = "content", key: str = "chunk_id") -> DataFrame:
-    """(key, score, match_pos) of the rows that match; modes exact, contains, regex and prefix (of a line)."""
+    """(key, score, match_pos) of the rows that match; modes exact, contains, regex and prefix (of a line).
+
+    A pattern that is none gives one row: the least key, score 0, place -1.
+    """
     c, q = F.col(text), query.strip()
     if mode == "exact":
         hit, score, pos = F.lower(F.trim(c)) == q.lower(), F.lit(1.0), F.lit(0)
@@ -63,6 +84,8 @@ def exact_match(rows: DataFrame, query: str, mode: str, text: str = "content", k
         n = count_of(c, query)
         hit, score, pos = n > 0, F.least(n, F.lit(10)) / 10.0, F.instr(F.lower(c), query.lower()) - 1
     elif mode == "regex":
+        if not valid_pattern(f"(?i){query}"):
+            return rows.agg(F.min(key).alias(key), F.lit(0.0).alias("score"), F.lit(-1).alias("match_pos"))
         n = F.regexp_count(c, F.lit(f"(?i){query}"))
         hit, score, pos = n > 0, F.least(n, F.lit(10)) / 10.0, F.regexp_instr(c, F.lit(f"(?i){query}")) - 1
     elif mode == "prefix":

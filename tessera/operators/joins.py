@@ -65,7 +65,10 @@ def bind_claims(slots: DataFrame, evidence: DataFrame, most: int = 3, least_char
 
     words = lambda c: F.explode(F.array_distinct(tokens(F.col(c)))).alias("word")
     wanted = slots.select("claim_id", words("description")).filter(F.length("word") >= least_chars)
-    met = evidence.select("evidence_id", words("content")).join(wanted, "word").select("claim_id", "evidence_id").distinct()
+    # Only the first `most` evidence rows that have a word can be among a slot's first ones, so a common word meets few rows.
+    nth = F.row_number().over(Window.partitionBy("word").orderBy("evidence_id"))
+    held = evidence.select("evidence_id", words("content")).withColumn("nth", nth).filter(F.col("nth") <= most)
+    met = held.join(wanted, "word").select("claim_id", "evidence_id").distinct()
     rank = F.row_number().over(Window.partitionBy("claim_id").orderBy("evidence_id"))
     bound = met.withColumn("rank", rank).filter(F.col("rank") <= most).withColumn("fallback", F.lit(False))
     first = evidence.agg(F.min("evidence_id").alias("evidence_id")).filter("evidence_id IS NOT NULL")

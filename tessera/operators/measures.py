@@ -34,8 +34,14 @@ def cumulative_histogram(rows: DataFrame, value: str, bounds: tuple[float, ...],
 
 
 def histogram_percentile(histogram: DataFrame, by: str, share: float) -> DataFrame:
-    """The least bound under which the share of all values lies; null if none."""
-    return histogram.filter(F.col("n") >= F.lit(share) * F.col("total")).groupBy(by).agg(F.min("bound").alias("percentile"))
+    """The least bound under which the share of all values lies; the last bound if they lie beyond all; 0 without values."""
+    met = F.min(F.when(F.col("n") >= F.lit(share) * F.col("total"), F.col("bound")))
+    return histogram.groupBy(by).agg(F.when(F.max("total") > 0, F.coalesce(met, F.max("bound"))).otherwise(0.0).alias("percentile"))
+
+
+def summed_histogram(rows: DataFrame, value: str, bounds: tuple[float, ...], by: str) -> DataFrame:
+    """(by, total, sum, avg) beside the counts of cumulative_histogram."""
+    return rows.groupBy(by).agg(F.count(value).alias("total"), F.round(F.sum(value), 6).alias("sum"), F.round(F.coalesce(F.avg(value), F.lit(0.0)), 6).alias("avg"), *(F.sum((F.col(value) <= b).cast("int")).alias(f"le_{i}") for i, b in enumerate(bounds)))
 
 
 def latency_stats(rows: DataFrame, value: str, by: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,18 +32,104 @@ def bm25_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
     return post, terms.select("term", "df", idf.alias("idf"), F.lit(float(avgdl)).alias("avgdl"))
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, top_k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf) of queries(query_id, query)."""
+    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def term_statistics(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df, idf, avgdl) of the wanted terms(term) that occur, from one pass over the texts.
+
+    Only wanted terms are counted, each once a text, and combined in each task before the shuffle. A row without a term
+    stands for each text and carries its length.
+    """
+    words = docs.select(tokens(F.col(text)).alias("w"))
+    each = words.select(F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("w"))).alias("term"))
+    wanted = F.broadcast(terms.select("term", F.lit(True).alias("_wanted")))
+    kept = each.join(wanted, "term", "left").filter(F.col("term").isNull() | F.col("_wanted"))
+    n = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("dl").alias("avgdl"))
+    total = n.filter("term IS NULL").select(F.col("df").cast("double").alias("_n"), F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"))
+    found = n.filter("term IS NOT NULL").drop("avgdl").join(F.broadcast(total), F.lit(True))  # one row
+    return found.select("term", "df", F.log((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"), "avgdl")
+
+
+def bm25_search(docs: DataFrame, queries: DataFrame, top_k: int, key: str = "doc_id", text: str = "text", most_sent: int = 1_000_000) -> DataFrame:
     """(query_id, key, score, rank) of the top_k documents of each query(query_id, query).
 
-    A term that a query repeats counts as often. Scores are rounded to 6 digits; ties go to the smaller key. Query terms
-    join the postings by term, so that only documents with a term of a query are scored.
+    A term that a query repeats counts as often. Scores are rounded to 6 digits; ties go to the smaller key.
+
+    Up to most_sent query terms go to all tasks. A task then scores its documents in blocks, a term at a time, and keeps
+    the top_k of each query, so neither postings nor pairs of queries and documents are shuffled. More query terms join
+    the postings instead, of which only those of a query term are shuffled.
     """
-    post, terms = bm25_index(docs, key, text)
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = asked.join(terms, "term")
+    asked = query_terms(queries)
+    if asked.count() > most_sent:
+        return top(_joined_scores(docs, asked, key, text).filter("score > 0"), top_k, "query_id", key)
+    pdf = asked.toPandas()
+    names = {t: i for i, t in enumerate(sorted(set(pdf["term"])))}
+    ids = sorted(set(pdf["query_id"]))
+    of = {q: i for i, q in enumerate(ids)}
+    rows = np.array(sorted((names[t], of[q], n) for q, t, n in zip(pdf["query_id"], pdf["term"], pdf["qtf"], strict=True)), np.int64).reshape(-1, 3)
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([(t,) for t in names], "term string")
+    facts = term_statistics(docs, wanted, text).collect()  # a row a query term
+    idf, avgdl = np.zeros(len(names)), facts[0]["avgdl"] if facts else 1.0
+    for r in facts:
+        idf[names[r["term"]]] = r["idf"]
+    starts = np.searchsorted(rows[:, 0], np.arange(len(names) + 1))
+    sent = spark.sparkContext.broadcast((names, ids, idf, rows[:, 1], rows[:, 2].astype(float), starts))
+    id_kind, key_kind = queries.schema["query_id"].dataType, docs.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids, idf, query, qtf, starts = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                yield _block_scores(b, names, ids, idf, query, qtf, starts, avgdl, top_k, id_type)
+
+    id_type = pa.int64() if id_kind.simpleString() == "bigint" else pa.int32() if id_kind.simpleString() == "int" else pa.string()
+    shape = f"query_id {id_kind.simpleString()}, `{key}` {key_kind.simpleString()}, score double"
+    scored = docs.select(F.col(key), tokens(F.col(text)).alias("w")).mapInArrow(run, shape)
+    return top(scored, top_k, "query_id", key)
+
+
+def _block_scores(b: pa.RecordBatch, names: dict, ids: list, idf: np.ndarray, query: np.ndarray, qtf: np.ndarray, starts: np.ndarray, avgdl: float, top_k: int, id_type: pa.DataType) -> pa.RecordBatch:
+    """The top_k of each query among the documents (key, w) of a block; of equal scores those of the smaller keys."""
+    keys, lists = b.column(0), b.column(1)
+    n = np.diff(lists.offsets.to_numpy())
+    if lists.null_count:
+        n = np.where(lists.is_valid().to_numpy(zero_copy_only=False), n, 0)
+    flat = lists.flatten().dictionary_encode()
+    place = np.array([names.get(t, -1) for t in flat.dictionary.to_pylist()], np.int64)
+    term, doc = place[flat.indices.to_numpy()], np.repeat(np.arange(len(n)), n)
+    kept = term >= 0
+    cell, tf = np.unique(term[kept] * len(n) + doc[kept], return_counts=True)
+    term, doc = np.divmod(cell, max(len(n), 1))
+    gain = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[doc] / avgdl))
+    scores = np.zeros((len(ids), len(n)))
+    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(term)], strict=False):
+        own = slice(starts[term[lo]], starts[term[lo] + 1])
+        scores[np.ix_(query[own], doc[lo:hi])] += qtf[own, None] * gain[lo:hi]
+    order = np.argsort(np.array(keys.to_pylist(), dtype=object if pa.types.is_string(keys.type) else None), kind="stable")
+    rounded = scores[:, order].round(6)
+    best = np.argsort(-rounded, axis=1, kind="stable")[:, :top_k]
+    got = np.take_along_axis(rounded, best, 1)
+    q, c = np.nonzero(got > 0)
+    return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], id_type), keys.take(pa.array(order[best[q, c]])), pa.array(got[q, c])], names=["query_id", b.schema.names[0], "score"])
+
+
+def _joined_scores(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
+    """(query_id, key, score) by joins, for query sets of any size."""
+    wanted = asked.select("term").distinct()
+    words = docs.select(key, tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
+    post = words.select(key, "dl", F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    total = words.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total), F.lit(True))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weighted = asked.join(df.select("term", idf.alias("idf"), F.coalesce("avgdl", F.lit(1.0)).alias("avgdl")), "term")
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = post.join(weighted, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("qtf") * gain), 6).alias("score"))
-    return top(hits.filter("score > 0"), top_k, "query_id", key)
+    return post.join(weighted, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("qtf") * gain), 6).alias("score"))
 
 
 def top(hits: DataFrame, k: int, by: str, key: str) -> DataFrame:
@@ -52,30 +139,41 @@ def top(hits: DataFrame, k: int, by: str, key: str) -> DataFrame:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, top_k: int, least: float = 0.0, block: int = 1024) -> DataFrame:
-    """(query_id, vec_id, score, rank): exact nearest rows by inner product, for a stated query set in blocks.
+    """(query_id, vec_id, score, rank): exact nearest rows by inner product; scores to 6 digits, ties to the smaller vec_id.
 
-    queries(query_id, embedding) come to the tasks in blocks of `block`, which bounds what is sent at once; each task
-    keeps its top_k for each query, so the shuffle has top_k rows a query and task.
+    queries(query_id, embedding) of any number are put into blocks of `block`, a row each, by a range of their ids; every
+    block meets every part of the vectors in one task, which keeps its top_k a query before the shuffle. Nothing is
+    collected: the vectors are read once and repeated for the blocks, the query set being a stated one.
     """
-    asked = queries.select("query_id", "embedding").orderBy("query_id").collect()
-    found = None
-    for at in range(0, max(len(asked), 1), block):
-        part = asked[at : at + block]
-        ids = np.array([r["query_id"] for r in part], np.int64)
-        q = np.array([r["embedding"] for r in part], float)
-
-        def run(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf) and len(ids):
-                    x = np.array(pdf["embedding"].tolist(), float)
-                    names = pdf["vec_id"].to_numpy()
-                    s = (q @ x.T).round(6)
-                    order = np.lexsort((np.broadcast_to(names, s.shape), -s), axis=1)[:, :top_k]
-                    yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": names[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-        one = vectors.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, score double")
-        found = one if found is None else found.unionByName(one)
-    return top(found.filter(F.col("score") > least), top_k, "query_id", "vec_id")
+    n = max(1, -(-queries.count() // block))
+    if n == 1:
+        blocks = queries.select(F.lit(0).alias("block"), "query_id", "embedding")
+    else:
+        blocks = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("block"), "query_id", "embedding")
+    packed = blocks.groupBy("block").agg(F.collect_list("query_id").alias("ids"), F.flatten(F.collect_list(F.col("embedding").cast("array<double>"))).alias("q"))
+    parts = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
+    held = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        ids, q = np.array(right["ids"].iloc[0]), np.array(right["q"].iloc[0], float)
+        q, x, names = q.reshape(len(ids), -1), np.array(left["embedding"].tolist(), float), left["vec_id"].to_numpy()
+        order = np.argsort(names, kind="stable")
+        x, names, out = x[order], names[order], []
+        for at in range(0, len(ids), 256):
+            s = (q[at : at + 256] @ x.T).round(6)
+            best = np.argsort(-s, axis=1, kind="stable")[:, :top_k]
+            got = np.take_along_axis(s, best, 1)
+            r, c = np.nonzero(got > least)
+            out.append(pd.DataFrame({"query_id": ids[at : at + 256][r], "vec_id": names[best[r, c]], "score": got[r, c]}))
+        return pd.concat(out)
+
+    left = held.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    right = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(run, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
+    return top(found, top_k, "query_id", "vec_id")
 
 
 def rrf(channels: list[DataFrame], top_k: int, by: str = "query_id", key: str = "doc_id", k: int = RRF_K) -> DataFrame:

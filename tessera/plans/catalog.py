@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars
-from tessera.operators import evidence, filters, links, measures, retrieval
+from tessera.operators import evidence, filters, graph, links, measures, retrieval, states
 from tessera.plans import routing
 from tessera.sources.tables import lines_as_chunks, read, upsert, wide_vectors
 from tessera.streaming import events as streams
@@ -78,9 +78,9 @@ def prj3_hit_shape(spark, sf):
     return c.select("chunk_id", F.substring("content", 1, 300).alias("content"), (F.length("content") > 300).alias("cut"), F.concat_ws(" > ", "source", "lang", F.col("pos").cast("string")).alias("citation"))
 
 
-@query("SELECT item_id, substr(sha256(concat_ws('|', CAST(item_id AS VARCHAR), text)), 1, 16) AS fingerprint FROM benchmark")
+@query("""SELECT item_id, substr(sha256('{"item_id": ' || item_id || ', "text": ' || to_json(text) || '}'), 1, 16) AS fingerprint FROM benchmark""")
 def prj8_fingerprint(spark, sf):
-    return read(spark, sf, "benchmark").select("item_id", scalars.fingerprint(F.col("item_id").cast("string"), F.col("text")).alias("fingerprint"))
+    return read(spark, sf, "benchmark").select("item_id", scalars.fingerprint(text=F.col("text"), item_id=F.col("item_id")).alias("fingerprint"))
 
 
 @query("SELECT n_nationkey, 'nation' || chr(10) || 'key | name' || chr(10) || '---' || chr(10) || 'key: ' || n_nationkey || ', name: ' || n_name AS block FROM nation")
@@ -101,7 +101,7 @@ def flt1_metadata(spark, sf):
 def _flt(op: str, field: str, value: object, where: str) -> None:
     @query(f"SELECT doc_id, source FROM documents WHERE {where}", name=f"flt_{op}_{field}")
     def run(spark, sf):
-        return read(spark, sf, "documents").filter(filters.predicate(field, op, value)).select("doc_id", "source")
+        return read(spark, sf, "documents").filter(filters.predicate(field, op, value, ("source",))).select("doc_id", "source")
 
 
 _flt("eq", "source", "SRC1", "contains(lower(source), 'src1')")
@@ -165,10 +165,10 @@ def bm25(spark, sf, k):
     return retrieval.bm25_search(read(spark, sf, "documents"), q, k)
 
 
-@query(f"SELECT doc_id, len(ws) AS n, list_aggregate(ws, 'count') AS m FROM (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents)")
+@query(f"SELECT doc_id, len(ws) AS n, md5(array_to_string(ws, ' ')) AS words FROM (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents)")
 def ret1_tokens(spark, sf):
-    n = F.size(scalars.tokens(F.col("text"))).cast("long")
-    return read(spark, sf, "documents").select("doc_id", n.alias("n"), n.alias("m"))
+    w = scalars.tokens(F.col("text"))
+    return read(spark, sf, "documents").select("doc_id", F.size(w).cast("long").alias("n"), F.md5(F.array_join(w, " ")).alias("words"))
 
 
 @query(BM25.replace("{k}", "10").split(",\n q AS")[0] + " SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM t CROSS JOIN st")
@@ -317,11 +317,22 @@ def agg7_histogram(spark, sf):
     return measures.cumulative_histogram(read(spark, sf, "events"), "value", BOUNDS, "event_type")
 
 
-@query(f"SELECT event_type, min(bound) AS percentile FROM ({HIST}) WHERE n >= 0.5 * total GROUP BY event_type")
+@query(f"SELECT event_type, coalesce(min(bound) FILTER (WHERE n >= 0.5 * total), max(bound)) AS percentile FROM ({HIST}) GROUP BY event_type")
 def agg8_percentile(spark, sf):
     return measures.histogram_percentile(agg7_histogram(spark, sf), "event_type", 0.5)
 
 
+@query(f"SELECT event_type, coalesce(min(bound) FILTER (WHERE n >= 0.999 * total), max(bound)) AS percentile FROM ({HIST}) WHERE bound <= 5 GROUP BY event_type")
+def agg8_percentile_beyond(spark, sf):
+    """Most values lie beyond the last bound, so that it is the answer."""
+    return measures.histogram_percentile(agg7_histogram(spark, sf).filter("bound <= 5"), "event_type", 0.999)
+
+
+@query("SELECT event_type, count(value) AS total, round(sum(value), 6) AS sum, round(avg(value), 6) AS avg, " + ", ".join(f"count(*) FILTER (WHERE value <= {b}) AS le_{i}" for i, b in enumerate(BOUNDS[:3])) + " FROM events GROUP BY 1")
+def agg7_sums(spark, sf):
+    return measures.summed_histogram(read(spark, sf, "events"), "value", BOUNDS[:3], "event_type")
+
+
 @query("SELECT user_id, event_type, count(*) AS n, arg_max(value, (ts, event_id)) AS gauge FROM events GROUP BY user_id, event_type")
 def agg9_counter_gauge(spark, sf):
     return read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max_by("value", F.struct("ts", "event_id")).alias("gauge"))
@@ -379,9 +390,18 @@ def set3_except(spark, sf):
 # Evidence ------------------------------------------------------------------------------------------------------------
 
 
-@query(HITS + " SELECT parent_id, arg_max(chunk_id, (score, -idx)) AS chunk_id, max(score) AS score, count(*) AS n_children, min(chunk_id) AS least_child FROM h GROUP BY parent_id")
+BEST = " SELECT parent_id, arg_max(chunk_id, (score, -idx)) AS chunk_id, max(score) AS score, count(*) AS n_children, string_agg(chunk_id, ',' ORDER BY idx) AS children FROM {0} GROUP BY parent_id"
+
+
+def best_of_parents(found: DataFrame) -> DataFrame:
+    p = evidence.parents(found)
+    parent = F.substring_index("group_key", ":", -1).cast("long")
+    return p.select(parent.alias("parent_id"), "chunk_id", "score", F.size("children").cast("long").alias("n_children"), F.array_join("children", ",").alias("children"))
+
+
+@query(HITS + BEST.format("h"))
 def evd3_parents(spark, sf):
-    return evidence.parents(hits(spark, sf))
+    return best_of_parents(hits(spark, sf))
 
 
 @query("SELECT l_partkey, count(DISTINCT l_discount) AS n_values, min(l_discount) AS least_value, max(l_discount) AS most_value FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_discount) >= 2")
@@ -433,7 +453,7 @@ def dag1_layers(spark, sf):
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     nodes = r.select(name("r", "r_regionkey").alias("node")).union(n.select(name("n", "n_nationkey"))).union(s.select(name("s", "s_suppkey")))
     edges = n.select(name("n", "n_nationkey").alias("node"), name("r", "n_regionkey").alias("needs")).union(s.select(name("s", "s_suppkey"), name("n", "s_nationkey"))).union(s.select(name("s", "s_suppkey"), F.lit("unknown")))
-    return routing.layers(edges, nodes)
+    return graph.layers(edges, nodes)
 
 
 @query("SELECT event_id, used, CASE WHEN used > 1000 THEN 'stop' WHEN used >= 800 THEN 'downgrade' ELSE 'continue' END AS action FROM (SELECT event_id, CAST(sum(event_id % 50) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS used FROM events)")
@@ -457,10 +477,16 @@ def str4_memory_fold(spark, sf):
     return read(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.count_distinct("role").alias("n_roles"), F.count_distinct("text").alias("n_texts"))
 
 
-@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before = event_type")
-def str6_illegal_moves(spark, sf):
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return read(spark, sf, "events").withColumn("before", before).filter("before = event_type").select("user_id", "event_id")
+STATE_OF = "(['" + "', '".join(states.STATES) + "'])[CAST(event_id * 7 % 17 + 1 AS INTEGER)]"
+LEGAL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, some in states.MOVES.items() for b in some) + ") m(a, b)"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, {STATE_OF} AS state FROM events WHERE user_id IS NOT NULL), l AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM e)
+ SELECT user_id, event_id, before, CASE WHEN before IN ('RESPONDING', 'FAILED') THEN 'terminal' WHEN EXISTS (SELECT 1 FROM {LEGAL} WHERE a = before AND b = state) THEN 'ok' ELSE 'illegal' END AS verdict FROM l WHERE before IS NOT NULL""")
+def str6_moves(spark, sf):
+    state = F.element_at(F.array(*map(F.lit, states.STATES)), (F.col("event_id") * 7 % 17 + 1).cast("int"))
+    e = read(spark, sf, "events").filter("user_id IS NOT NULL").select("user_id", "event_id", state.alias("state"))
+    return states.check_moves(e, "user_id", "event_id").filter("before IS NOT NULL").select("user_id", "event_id", "before", "verdict")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

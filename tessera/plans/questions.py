@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import questions as q
 from tessera.operators import branches, evidence
@@ -39,7 +40,8 @@ def qu4_ambiguity(spark, sf):
 
 @query(f"WITH {CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM chunks), a AS (SELECT doc_id, any_value(lang) AS lang, string_agg('[' || n || '] ' || left(content, 150), chr(10) ORDER BY n) FILTER (WHERE n <= 5) AS body FROM r GROUP BY doc_id) SELECT doc_id, CASE lang WHEN 'en' THEN 'Found:' ELSE 'Gefunden:' END || chr(10) || body AS answer FROM a")
 def gen2_answers(spark, sf):
-    d = chunks(spark, sf).groupBy("doc_id").agg(F.first("lang").alias("lang"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]).alias("texts"))
+    first = chunks(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).filter("n <= 5")
+    d = first.groupBy("doc_id").agg(F.first("lang").alias("lang"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]).alias("texts"))
     return d.select("doc_id", q.answer(F.col("lang"), F.col("texts"), {"en": "Found:", "other": "Gefunden:", "none": "Nothing found."}).alias("answer"))
 
 

@@ -24,22 +24,6 @@ def plan_costs(stages: DataFrame) -> DataFrame:
     return p.select("plan_id", F.col("latency").cast("long").alias("latency"), F.round("gain", 6).alias("gain"), F.round("success", 6).alias("success"), F.round(cost, 4).alias("cost"))
 
 
-def layers(edges: DataFrame, nodes: DataFrame, most: int = 100) -> DataFrame:
-    """(node, layer): longest path from a node without dependencies, by rounds of joins. A cycle raises.
-
-    edges(node, needs); dependencies on unknown nodes and on oneself are ignored.
-    """
-    known = edges.filter("node <> needs").join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi").distinct()
-    level = nodes.select("node").join(known, "node", "left_anti").withColumn("layer", F.lit(0))
-    done = level
-    for depth in range(1, most + 1):
-        nxt = known.join(level.select(F.col("node").alias("needs")), "needs").select("node").distinct().withColumn("layer", F.lit(depth))
-        if nxt.isEmpty():
-            return done.groupBy("node").agg(F.max("layer").alias("layer"))
-        done, level = done.unionByName(nxt), nxt
-    raise ValueError(f"a cycle, or more than {most} layers")
-
-
 def budget_actions(spend: DataFrame, limit: float, by: str, order: str, cost: str) -> DataFrame:
     """Running spend of each group and what it calls for: over the limit stop, from 80 % downgrade, else continue."""
     used = F.sum(cost).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

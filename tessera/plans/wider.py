@@ -46,11 +46,6 @@ def flt14_allowed(spark, sf):
     return chunks(spark, sf).join(read(spark, sf, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").select("chunk_id")
 
 
-@query("SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(text, '\\b[0-9]{2}\\b')), ',') IS NOT NULL AS listed, len(list_distinct(regexp_extract_all(text, '\\b[0-9]{2}\\b'))) AS n_clauses, lang AS scope FROM documents")
-def flt15_question_filters(spark, sf):
-    e = rules.entities(F.col("text"), {"clause": r"\b[0-9]{2}\b"})
-    return read(spark, sf, "documents").select("doc_id", e.isNotNull().alias("listed"), F.size(e).cast("long").alias("n_clauses"), F.col("lang").alias("scope"))
-
 
 # Retrieval -----------------------------------------------------------------------------------------------------------
 
@@ -96,15 +91,6 @@ def cfl3_scope_overlap(spark, sf):
     return joins.overlapping_scopes(read(spark, sf, "documents"), "doc_id", "source")
 
 
-ASKED = "SELECT n_nationkey AS ask_id, CASE WHEN n_regionkey = 0 THEN n_name WHEN n_regionkey = 1 THEN lower(n_name) WHEN n_regionkey = 2 THEN left(n_name, 4) ELSE 'the bank of ' || n_name END AS text FROM nation"
-
-
-@query(f"WITH a AS ({ASKED}), m AS (SELECT ask_id, n_nationkey AS name_id, CASE WHEN text = n_name THEN 1 WHEN lower(text) = lower(n_name) THEN 2 WHEN contains(lower(n_name), lower(text)) THEN 3 WHEN contains(lower(text), lower(n_name)) THEN 4 END AS level FROM a CROSS JOIN nation) SELECT ask_id, arg_min(name_id, (level, name_id)) AS name_id, min(level) AS level FROM m WHERE level IS NOT NULL GROUP BY ask_id")
-def jn12_names(spark, sf):
-    n = read(spark, sf, "nation")
-    r, name = F.col("n_regionkey"), F.col("n_name")
-    text = F.when(r == 0, name).when(r == 1, F.lower(name)).when(r == 2, F.left(name, F.lit(4))).otherwise(F.concat(F.lit("the bank of "), name))
-    return joins.resolve_names(n.select(F.col("n_nationkey").alias("ask_id"), text.alias("text")), n.select(F.col("n_nationkey").alias("name_id"), name.alias("name")))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem c WHERE NOT EXISTS (SELECT 1 FROM lineitem e WHERE e.l_orderkey = c.l_orderkey AND abs(CAST(e.l_discount AS DOUBLE) - CAST(c.l_tax AS DOUBLE)) <= 0.01)")
@@ -114,15 +100,6 @@ def ver1_numbers(spark, sf):
     return joins.unmatched_numbers(c, li.select("l_orderkey", F.col("l_discount").cast("double").alias("value")), "l_orderkey").select("claim_id.*")
 
 
-@query("SELECT s_suppkey, CASE WHEN r_name = 'ASIA' THEN true ELSE r_name = 'EUROPE' AND n_name <> 'FRANCE' END AS covered FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey")
-def ver4_scope(spark, sf):
-    """A claim's scope is covered if the evidence has the same or a containing scope; the containment is a table of literals."""
-    within = {"ASIA": True, "EUROPE": True}
-    n = read(spark, sf, "nation").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    s = read(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
-    known = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in within.items() for x in kv)), F.col("r_name")), F.lit(False))
-    return s.select("s_suppkey", (known & ~((F.col("r_name") == "EUROPE") & (F.col("n_name") == "FRANCE"))).alias("covered"))
-
 
 # Tables --------------------------------------------------------------------------------------------------------------
 
@@ -233,28 +210,9 @@ def suf1_coverage(spark, sf):
     return d.groupBy(F.col("source").alias("bundle_id")).agg(F.round(F.avg("quality"), 6).alias("coverage"), F.round(F.coalesce(need, F.lit(1.0)), 6).alias("required_coverage"))
 
 
-@query("WITH g AS (SELECT l_partkey, count(DISTINCT l_returnflag) AS a, count(DISTINCT l_shipdate) AS t, count(DISTINCT l_discount) AS n FROM lineitem GROUP BY 1) SELECT l_partkey, 'authority' AS kind, 1 AS priority FROM g WHERE a >= 2 AND n >= 2 UNION ALL SELECT l_partkey, 'temporal', 4 FROM g WHERE t >= 2 UNION ALL SELECT l_partkey, 'numeric', 5 FROM g WHERE n >= 2")
-def cfl7_all(spark, sf):
-    """All kinds of conflict of a group from one aggregation; priority 1 (authority) goes first, 5 (numeric) last."""
-    g = read(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_returnflag").alias("a"), F.count_distinct("l_shipdate").alias("t"), F.count_distinct("l_discount").alias("n"))
-    kinds = F.array(F.when((F.col("a") >= 2) & (F.col("n") >= 2), F.struct(F.lit("authority").alias("kind"), F.lit(1).alias("priority"))), F.when(F.col("t") >= 2, F.struct(F.lit("temporal").alias("kind"), F.lit(4).alias("priority"))), F.when(F.col("n") >= 2, F.struct(F.lit("numeric").alias("kind"), F.lit(5).alias("priority"))))
-    return g.select("l_partkey", F.explode(F.array_compact(kinds)).alias("c")).select("l_partkey", "c.*")
-
-
-SLOTS = {"1-URGENT": ("subject", "threshold", "exception"), "2-HIGH": ("subject", "scope"), "3-MEDIUM": ("subject",)}
-
 
-@query("SELECT o_orderkey, unnest(CASE o_orderpriority WHEN '1-URGENT' THEN ['subject', 'threshold', 'exception'] WHEN '2-HIGH' THEN ['subject', 'scope'] WHEN '3-MEDIUM' THEN ['subject'] ELSE ['generic'] END) AS slot FROM orders")
-def clm1_slots(spark, sf):
-    known = F.create_map(*(x for k, v in SLOTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    return read(spark, sf, "orders").select("o_orderkey", F.explode(F.coalesce(F.element_at(known, F.col("o_orderpriority")), F.array(F.lit("generic")))).alias("slot"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_extract(text, '\\[([0-9]+)\\]', 1) <> '' THEN 'no. ' || regexp_extract(text, '\\[([0-9]+)\\]', 1) ELSE source END AS citation FROM documents")
-def gen4_citation(spark, sf):
-    found = F.nullif(F.regexp_extract("text", r"\[([0-9]+)\]", 1), F.lit(""))
-    return read(spark, sf, "documents").select("doc_id", F.coalesce(F.concat(F.lit("no. "), found), F.col("source")).alias("citation"))
-
 
 @query("SELECT conv_id, turn, role, text LIKE '%?%?%' AS several, len(list_filter(string_split(text, '?'), lambda p: trim(p) <> '')) AS n_parts FROM conversations")
 def qu9_decompose(spark, sf):
@@ -272,12 +230,6 @@ def rte1_routes(spark, sf):
 # Plans, branches, folds ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus <> 'F')")
-def dag2_ready(spark, sf):
-    """Tasks (orders) all of whose dependencies (lines) are completed."""
-    open_ = read(spark, sf, "lineitem").filter("l_linestatus <> 'F'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return read(spark, sf, "orders").select("o_orderkey").join(open_, "o_orderkey", "left_anti")
-
 
 @query("SELECT user_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS tier, max(value) AS score FROM events GROUP BY 1, 2")
 def spc1_branches(spark, sf):
@@ -310,21 +262,3 @@ def str9_spans(spark, sf):
     return folds.span_tree(log.select(F.col("l_orderkey").alias("span_id"), F.col("o_custkey").alias("parent_id"), F.when(F.col("l_returnflag") == "R", "ERROR").otherwise("INFO").alias("level")))
 
 
-@query("SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars > 500")
-def ret11_dispatch(spark, sf):
-    """The metadata strategy of a request: its filters as one predicate."""
-    return filters.metadata_filter(read(spark, sf, "documents"), {"lang": ("eq", "en"), "n_chars": ("gt", 500)}, "doc_id").select("doc_id")
-
-
-COSTED = [(intent, p.kind, i, planner.cost(p)) for intent in (*planner.TEMPLATES, "unknown") for i, p in enumerate(planner.candidates(planner.Question(intent)))]
-
-
-@query("SELECT intent, arg_min(kind, (cost, place)) AS kind, min(cost) AS cost FROM (VALUES " + ", ".join(f"('{n}', '{k}', {i}, {round(c[3], 4)}::DOUBLE)" for n, k, i, c in COSTED) + ") t(intent, kind, place, cost) GROUP BY intent")
-def pln5_choice(spark, sf):
-    """Candidates of every template costed as a table of plans, the cheapest kept: the same costs as on the driver."""
-    rows = [(f"{n}/{k}/{i}", s, c, *planner.COSTS[c], p.stages[s].rerank) for n, k, i, _ in COSTED for p in [planner.candidates(planner.Question(n))[i]] for s in range(len(p.stages)) for c in p.stages[s].channels]
-    ops = spark.createDataFrame(rows, "plan_id string, stage int, channel string, latency int, success double, gain double, rerank boolean")
-    again = ops.filter("rerank").select("plan_id", "stage", F.lit("rerank").alias("channel"), F.lit(0).alias("latency"), F.lit(planner.COSTS["rerank"][1]).alias("success"), F.lit(planner.COSTS["rerank"][2]).alias("gain"), "rerank").distinct()
-    parts = F.split("plan_id", "/")
-    best = routing.plan_costs(ops.unionByName(again)).groupBy(parts[0].alias("intent")).agg(F.min(F.struct("cost", parts[2].cast("int"), parts[1].alias("kind"))).alias("b"))
-    return best.select("intent", "b.kind", "b.cost")

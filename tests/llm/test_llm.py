@@ -1,9 +1,11 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy; nulls, ties, repeats, clashes."""
 
+import gzip
 import hashlib
 import io
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -105,6 +107,20 @@ def test_warc_round_trip_in_chunks(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_ids_and_urls_of_any_kind(spark, tmp_path):
+    big, long = "x" * 2000, "http://h/" + "u" * (3 << 20)
+    rows = [("a\r\nb", long, big), (" lead é%41 ", " \x00tail ", big), ("zz", None, big), ("y" * 50_000, "http://h", "é" * (2 << 20))]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").withColumn("record_type", F.lit("clash")).withColumn("chunk", F.lit(1)).withColumn("sha1", F.lit("s"))
+    chunks = warc.read_archives(warc.write_archives(pages, f"file://{tmp_path}/w")).drop("chunk").cache()
+    got = {r.page_id: r for r in chunks.filter("is_last").collect()}
+    assert set(got) == {r[0] for r in rows} and got["zz"].record_type == "response" and got["y" * 50_000].bytes_so_far == 4 << 20
+    assert {(got[i].record_type, got[i].refers_to) for i in ("a\r\nb", " lead é%41 ")} == {("revisit", "zz")}
+    with open(next(tmp_path.glob("w/*.warc.gz")), "rb"):
+        heads = b"".join(gzip.decompress(f.read_bytes()) for f in tmp_path.glob("w/*.warc.gz"))
+    refers = set(re.findall(rb"WARC-Refers-To: (\S+)", heads))
+    assert refers == {got["zz"].record_id.encode()}
+
+
 def test_damaged_archive_is_refused():
     data = b"".join(warc.record_parts("1", "u", memoryview(b"x" * 100), None, False, 10))
     assert len(list(warc.read_records(io.BytesIO(data + data), 64))) == 4
@@ -142,7 +158,7 @@ def test_ann_exact_where_all_cells_are_gathered(spark):
     bad = [(300, None), (301, [0.0] * 6), (302, [float("nan")] * 6), (303, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (304, [float("inf")] * 6), (305, [1.0, 2.0]), (None, rows[0][1])]
     df = spark.createDataFrame([*rows, *bad, rows[7]], "vec_id long, embedding array<float>").withColumn("v", F.lit(1))
     got = defaultdict(list)
-    for x in ann.search(df, every=20, k=5, rows_a_piece=16, queries_a_block=2).collect():
+    for x in ann.search(df, every=20, k=5, share=1.0, rows_a_piece=16, queries_a_block=2).collect():
         got[x.query_id].append((x.rank, x.vec_id, x.score))
     want = brute(rows, 20, 5)
     assert set(got) == set(want)
@@ -157,12 +173,37 @@ def test_ann_recall_without_gathering_all(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = defaultdict(set)
-    for row in ann.search(df, every=100, k=10, least=10, share=0.4).collect():
+    for row in ann.search(df, every=100, k=10, share=0.4).collect():
         got[row.query_id].add(row.vec_id)
     hits = sum(len(got[q] & {i for i in np.argsort(-(x @ x[q]), kind="stable")[:11] if i != q}) for q in range(0, 3000, 100))
     assert hits / 300 >= 0.9
 
 
+@pytest.mark.parametrize(("where", "least"), [("sf0.01", 0.9), ("sf0.1", 0.9)])
+def test_ann_query_recall_on_the_given_vectors(spark, where, least):
+    rows = spark.read.parquet(f"/root/testdata/{where}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    got = defaultdict(set)
+    for r in queries.op3_ann(spark, f"/root/testdata/{where}").collect():
+        got[r.query_id].add(r.vec_id)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        order = [i for i in np.lexsort((ids, -(x @ x[q]))) if i != q][:20]
+        hits += len(got[int(ids[q])] & set(ids[order].tolist()))
+        total += len(order)
+    assert hits / total >= least
+
+
+def test_ann_ties_beyond_k_go_to_the_smaller_ids(spark):
+    rows = [(i, [1.0 if j == i % 3 else 0.0 for j in range(4)] + [float(i + 1)]) for i in range(90)]  # many equal scores
+    rows = [(i, v[:4] + [1e-3 if i % 2 else 2e-3]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for x in ann.search(df, every=10, k=7, share=1.0, rows_a_piece=8).collect():
+        got[x.query_id].append((x.rank, x.vec_id))
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in brute(rows, 10, 7).items()}
+
+
 # SimHash
 
 
@@ -173,6 +214,23 @@ def brute_components(fps, distance):
     return ids
 
 
+def similar_components(texts, words=5, least=0.8):
+    """Components over all pairs with a Jaccard similarity of at least `least`, by plain loops over shared shingles."""
+    sets, holders, label = [set(simhash.shingle_hashes(t, words)) for t in texts], defaultdict(list), list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for h in s or {None}:
+            holders[h].append(i)
+    pairs = {(a, b) for own in holders.values() for n, b in enumerate(own) for a in own[:n]}
+    linked = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    for _ in range(len(texts)):
+        old = list(label)
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+        if old == label:
+            return label
+    return label
+
+
 def test_fingerprint_by_hand():
     assert simhash.fingerprint([]) == 0 and simhash.fingerprint([5]) == 5 and simhash.fingerprint([1, 3, 2]) == 3 and simhash.fingerprint([1, 2]) == 0
     assert simhash.fingerprint([7] * 5, block=2) == 7
@@ -203,13 +261,42 @@ def test_links_lose_nothing(spark, distance, bound):
     assert [fps.index(label[x]) for x in fps] == want
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 4])
-def test_large_buckets_keep_their_tail(size):
-    rows = [(1, f) for f in range(7)] + [(2, f) for f in range(20, 24)] + [(3, 40)]
-    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + size], strict=True)], names=["key", "fp"]) for at in range(0, len(rows), size)]
-    got = [r for b in simhash._bucket_edges(2, 2)(iter(batches)) for r in b.to_pylist()]
-    passed = {(r["key"], r["a"]) for r in got if r["key"] is not None}
-    assert {f for k, f in passed if k == 1} == set(range(7)) and not any(k == 3 for k, _ in passed)
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 50])
+def test_buckets_are_whole_whatever_the_batches(size):
+    rows = [(1, f) for f in range(7)] + [(2, f) for f in range(20, 24)] + [(3, 40)] + [(4, 1), (4, 3)]
+    batches = lambda: (pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + size], strict=True)], names=["key", "fp"]) for at in range(0, len(rows), size))
+    got = [(int(k), int(f)) for keys, fps in simhash.complete_buckets(batches()) for k, f in zip(keys, fps, strict=True)]
+    assert got == rows
+    edges = {(r["a"], r["b"]) for b in simhash._bucket_edges(2)(batches()) for r in b.to_pylist()}
+    assert edges == {(0, i) for i in range(1, 7)} | {(20, i) for i in (21, 22, 23)} | {(1, 3)}
+
+
+@pytest.mark.parametrize("bound", [5, 20, 20_000])
+def test_large_buckets_lose_nothing_in_small_batches(spark, bound):
+    r = random.Random(bound)
+    half, fps = r.getrandbits(32), []
+    for _ in range(60):  # pairs two bits apart that share a half with all others
+        f = (r.getrandbits(32) << 32) | half
+        fps += [f, f ^ (1 << r.randrange(32, 64)) ^ (1 << r.randrange(32))]
+    fps = sorted({x - (1 << 64) if x >> 63 else x for x in fps})
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        df = spark.createDataFrame([(x,) for x in fps], "fp long")
+        found = {x.node: x.component for x in components.components(simhash.fingerprint_edges(df, 2, bound)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = brute_components([x & (1 << 64) - 1 for x in fps], 2)
+    assert [fps.index(found.get(x, x)) for x in fps] == want
+
+
+def test_shingles_of_blocks_equal_those_of_the_whole():
+    r = random.Random(4)
+    for n in (0, 1, 2, 5, 400):
+        text = "".join(r.choice(("a", "Bc", "d\xe9")) + r.choice((" ", "\n\t", "  ")) for _ in range(n)).encode()
+        for words in (1, 3, 5):
+            for block in (1, 7, 64):
+                assert [h for p in simhash.shingle_blocks(text, words, block) for h in p] == simhash.shingle_hashes(text, words)
 
 
 def test_near_groups_equal_brute_force(spark, odd, none):
@@ -251,12 +338,36 @@ def test_similar_groups_equal_brute_force(spark, odd, none):
     assert simhash.similar_groups(odd).count() == odd.count() and simhash.similar_groups(none).count() == 0
 
 
-def test_nearest_earlier_fingerprints():
-    fps = np.array([random.Random(3).getrandbits(20) for _ in range(1)] + [x * 37 % 4096 for x in range(300)], np.int64)
-    x, y, bits = simhash._nearest(fps, 3, 4)
-    want = {i: sorted(int(fps[i] ^ fps[j]).bit_count() for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 3)[:4] for i in range(len(fps))}
-    got = {i: sorted(bits[x == i].tolist()) for i in range(len(fps))}
-    assert got == want and (y < x).all()
+@pytest.mark.parametrize("most", [1, 4, 1000])
+def test_candidates_name_each_pair_once(most):
+    r = random.Random(most)
+    fps = [(r.getrandbits(64), r.getrandbits(64)) for _ in range(3)]
+    fps = np.array([[f[h] ^ sum(1 << b for b in r.sample(range(64), r.randrange(9))) for h in (0, 1)] for f in fps for _ in range(60)], np.uint64).view(np.int64)
+    comp = np.arange(180) % 7
+    rows = sorted(((int(f1) >> lo) & mask | at << 32, int(f1), int(f2), n, int(comp[n]), 10, 10) for n, (f1, f2) in enumerate(fps) for at, lo, mask in simhash._places(5))
+    batch = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + 999], strict=True)], names=["key", "f1", "f2", "node", "comp", "size", "shared"]) for at in range(0, len(rows), 999)]
+    got = [x for b in simhash._candidates(30, most, 5, True, False)(iter(batch)) for x in b.to_pylist()]
+    pairs = [tuple(sorted((x["a"], x["b"]))) for x in got if x["key"] is None]
+    u = fps.view(np.uint64).tolist()
+    near = lambda i, j: (u[i][0] ^ u[j][0]).bit_count() + (u[i][1] ^ u[j][1]).bit_count() <= 30 and any(((u[i][0] ^ u[j][0]) >> lo & mask) == 0 for _, lo, mask in simhash._places(5))
+    want = {(i, j) for j in range(180) for i in range(j) if comp[i] != comp[j] and near(i, j)}
+    assert len(pairs) == len(set(pairs)) and set(pairs) <= want
+    assert set(pairs) == want if most == 1000 else any(x["key"] is not None for x in got)
+
+
+def test_large_groups_of_near_copies_are_joined_whole(spark):
+    r = random.Random(12)
+    base = [f"w{r.randrange(900)}" for _ in range(150)]
+    far = [f"v{r.randrange(900)}" for _ in range(30)]
+    texts = []
+    for i in range(300):  # two groups with a similarity below 0.8 to each other: most candidates of a node fail
+        w = base[:120] + far if i % 2 else list(base)
+        w[r.randrange(len(w))] = f"x{i}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for most, bound in ((1, 20_000), (2, 40)):
+        got = {x.doc_id: x.component_id for x in simhash.similar_groups(df, most=most, bucket_bound=bound).collect()}
+        assert got == {i: i % 2 for i in range(300)}
 
 
 def test_components_of_chains_and_stars(spark):
@@ -430,13 +541,49 @@ def test_chain_learns_in_order_and_generalises(spark):
     assert toxicity.score(docs.limit(0), chain).count() == 0
 
 
-def test_toxicity_query_finds_held_out_labels(spark):
+def test_toxicity_query_finds_labels(spark):
     got = {r.doc_id: r.toxic for r in queries.op9_toxicity(spark, "/root/testdata/sf0.1").collect()}
     held = [r for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()]
     flagged = [r for r in held if got[r.doc_id]]
     assert sum(r.toxic for r in flagged) / len(flagged) > 0.98 and sum(r.toxic for r in flagged) / sum(r.toxic for r in held) > 0.95
 
 
+def test_toxicity_finds_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumn("p_toxic", F.lit("clash")).withColumn("ids", F.lit(0))
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    chain = toxicity.train(docs, labels.filter("doc_id % 2 = 0"), queries.CATEGORIES)
+    held = labels.filter("doc_id % 2 = 1")
+    got = {r.doc_id: r.is_toxic for r in toxicity.score(docs.join(held.select("doc_id"), "doc_id", "left_semi"), chain).collect()}
+    held = held.collect()
+    flagged = [r for r in held if got[r.doc_id]]
+    assert sum(r.toxic for r in flagged) / len(flagged) > 0.95 and sum(r.toxic for r in flagged) / sum(r.toxic for r in held) > 0.95
+
+
+def test_chain_probabilities_equal_plain_loops(spark):
+    texts = ["rude one, two.", "kind words here", "", "rude rude! two", "kind (two)", "one here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([(i, int("rude" in t), int("two" in t)) for i, t in enumerate(texts)] * 3, "doc_id long, a int, b int")
+    chain = toxicity.train(docs, known, {"a": "a = 1", "b": "b = 1"})
+    for r in toxicity.score(docs, chain).collect():
+        words = {w for w in texts[r.doc_id].lower().split()}
+        keys = set()
+        for w in words:
+            core = w.strip(toxicity.EDGE.decode())
+            keys |= {f"w{core}"} | {f"p{core[:n]}" for n in toxicity.PREFIXES if n < len(core)} if core else set()
+            keys |= {f"e{w[len(w.rstrip(toxicity.EDGE.decode())):][:4]}"} if w != w.rstrip(toxicity.EDGE.decode()) else set()
+        ids, before = {zlib.crc32(k.encode()) >> 12 for k in keys}, []
+        for m in chain.models:
+            z = sum(float(m.weights[i]) for i in ids) + sum(float(w) * p for w, p in zip(m.earlier, before, strict=True)) + m.bias
+            before.append(1 / (1 + math.exp(-z)))
+        assert [r.p_a, r.p_b] == [pytest.approx(p, abs=1e-9) for p in before]
+
+
+def test_chain_reads_one_text_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, a int")
+    assert toxicity.train(docs, known, {"a": "a = 1"}).models[0].bias == toxicity.train(docs.filter("text IN ('text 0', 'other')"), known, {"a": "a = 1"}).models[0].bias
+
+
 # Language model
 
 
@@ -457,29 +604,131 @@ def test_maxent_counts_equal_brute_force_and_beat_the_base(spark):
     assert sum(r.score for r in held) > 0.98 * sum(r.base_score for r in held)
 
 
-def test_maxent_is_a_distribution():
-    keys = np.array([maxent.END_KEY, *(maxent.token_key(w) for w in (b"aa", b"ab", b"ba"))])
-    counts, slots, order = np.array([2, 5, 1, 3]), np.array([32, 33, -1, 34]), np.argsort(keys)
-    mass = np.full(maxent.MEMBERS, 0.5)
-    mass[maxent.rare_slot(b"ab")] += 1.5
-    v = maxent.Vocabulary(keys[order], counts[order], slots[order], mass, 11, 4)
+def small_vocabulary(texts, known):
+    c = Counter(w for t in texts for w in [*t.lower().split(), None])
+    key = lambda w: maxent.END_KEY if w is None else maxent.token_key(w)
+    side, types = maxent.Shape.of(len(c)).side, len(c)
+    top = sorted((w for w in c if w is not None), key=lambda w: (-c[w], key(w)))[:known]
+    own = top[: side * side - side - 1]
+    mass = np.full(side, 0.5)
+    for w in c:
+        if w is not None and w not in own:
+            mass[maxent.rare_slot(np.array([key(w)]), side)[0]] += c[w] + 0.5
+    slots = {None: side} | {w: side + 1 + i for i, w in enumerate(own)}
+    rows = sorted((key(w), c[w], slots.get(w, -1)) for w in [None, *top])
+    return maxent.Vocabulary(*(np.array(x) for x in zip(*rows, strict=True)), mass, sum(c.values()), types), c
+
+
+def trained(v, texts):
     t = maxent.Trainer(v)
-    for text in (b"aa ba aa", b"aa ba zz", b""):
-        t.add(text)
-    t.step()
-    s = maxent.Scorer(v, t.model)
-    every = np.array([*range(maxent.MEMBERS), 32, 33, 34])
-    total = 0.0
-    for slot in every:
-        rows = maxent.contexts(np.array([33, slot]))
-        total += 10 ** float(s.slot_logs(rows[0][:, 1:], rows[1][:, 1:], np.array([slot]))[0])
+    for _ in range(5):
+        t.add(pa.array(texts))
+    return t.model
+
+
+def plain_logs(v, m, text, c):
+    """log10 probability of each token of a text, by plain loops in whole numbers and doubles."""
+    mod, side, shape = 1 << 64, v.shape.side, v.shape
+    mix = [int(x) for x in maxent.MIX]
+    key = lambda w: maxent.END_KEY if w is None else maxent.token_key(w)
+    of = {int(k): (int(s), int(n)) for k, s, n in zip(v.keys, v.slots, v.counts, strict=True)}
+
+    def folded(k):
+        k = k % mod * mix[0] % mod
+        return k ^ (k >> 29)
+
+    def row(h, rows):
+        return h % mod >> (64 - rows.bit_length() + 1)
+
+    def softmax(z):
+        top = max(z)
+        return [math.exp(x - top) / sum(math.exp(y - top) for y in z) for x in z]
+
+    mass = [float(x) for x in v.rare_mass] + [0.0] * (side * side - side)
+    for slot, n in of.values():
+        if slot >= 0:
+            mass[slot] = n + 0.5
+    sums, log = [sum(mass[g * side : (g + 1) * side]) for g in range(side)], lambda x: math.log(x) if x else -1e4
+    words, out = [maxent.BEGIN_KEY] * 3 + [key(w) for w in [*text.lower().split(), None]], []
+    for i in range(3, len(words)):
+        slot = of.get(words[i], (-1, 0))[0]
+        slot = slot if slot >= 0 else (words[i] >> 20) % side
+        k1, k2, k3 = (folded(words[i - b]) for b in (1, 2, 3))
+        pair = (k1 * mix[1] + k2) * mix[2] % mod
+        word, pairs, member = m.tables
+        z = []
+        for s in range(side):
+            parts = [word[row(k * mix[2], shape.word_rows)][b * side + s] for b, k in enumerate((k1, k2, k3))]
+            z.append(sum(map(float, parts)) + float(pairs[row(pair * mix[1], shape.pair_rows)][s]) + log(sums[s] / sum(sums)))
+        p = math.log10(softmax(z)[slot // side])
+        cls = slot // side * mix[3]
+        rows = [row((k ^ cls % mod) * x, shape.member_rows) for k, x in ((k1, mix[1]), (pair, mix[2]), (k2, mix[4]), (k3, mix[5]))]
+        z = [sum(float(member[r][s]) for r in rows) + log(mass[slot // side * side + s] / sums[slot // side]) for s in range(side)]
+        p += math.log10(softmax(z)[slot % side])
+        n = of[words[i]][1] if words[i] in of else 0
+        out.append(p + (math.log10(n + 0.5) - math.log10(v.rare_mass[slot]) if slot < side else 0.0))
+    return out
+
+
+def test_maxent_scores_equal_plain_loops():
+    r = random.Random(5)
+    texts = [" ".join(r.choice(("a", "b", "c", "dd", "Ee", f"w{r.randrange(90)}")) for _ in range(r.randrange(60))) for _ in range(40)]
+    v, c = small_vocabulary([t.encode() for t in texts], 95)
+    m = trained(v, texts)
+    some = [*texts[:6], "never seen a", ""]
+    tokens, known, base, model, keys, times = maxent.Scorer(v, m).batch(pa.array([*some, None]))
+    for i, t in enumerate([*some, ""]):
+        want = plain_logs(v, m, t.encode(), c)
+        assert tokens[i] == len(want) and known[i] == sum(w in c for w in [*t.encode().lower().split(), None]) - sum(times[i][keys[i].index(k)] for k in keys[i] if k in {maxent.token_key(w) for w in c if w})
+        assert model[i] + sum(times[i]) * math.log10(0.5) == pytest.approx(sum(want), abs=1e-3)
+
+
+def test_maxent_is_a_distribution():
+    texts = ["aa ba aa", "aa ba zz", ""]
+    v, c = small_vocabulary([t.encode() for t in texts], 2)
+    m, side = trained(v, texts), v.shape.side
+    s, total = maxent.Scorer(v, m), 0.0
+    own = {int(x): int(k) for k, x in zip(v.keys, v.slots, strict=True) if x >= 0}
+    for slot in [*range(side), *own]:  # the chance of every slot after one and the same word
+        stream = maxent.stream_of(v, [(0, True)], pa.array(["aa"]))
+        stream.slot[stream.places[-1]] = slot
+        total += 10 ** float(s.slot_logs(stream)[-1])
     assert total == pytest.approx(1.0, abs=1e-4)
 
 
-def test_maxent_contexts_reach_three_slots_back():
-    for of in zip(maxent.contexts(np.array([40, 50, 60, 70])), maxent.contexts(np.array([41, 50, 60, 70])), strict=True):
-        assert of[0].shape == (maxent.FEATURES, 4) == (4, 4)
-        assert (of[0][:, 3] != of[1][:, 3]).tolist() == [False, False, False, True]
+def test_maxent_contexts_reach_three_words_back():
+    shape, key = maxent.Shape.of(10_000), np.array([maxent.BEGIN_KEY] * 3 + [40, 50, 60, 70, 80])
+    places, cls, other = np.arange(3, 8), np.zeros(5, np.int64), key.copy()
+    other[3] = 41
+    a, b = maxent.features(shape, key, places, cls), maxent.features(shape, other, places, cls)
+    assert ((a[2] != b[2]).any(0)).tolist() == [False, True, True, True, False]
+    assert (a[2][:, 3] != b[2][:, 3]).tolist() == [False, False, False, True]  # w3
+    assert a[0].shape == (8,) and a[1].shape == (5,) and a[2].shape == (4, 5)
+
+
+def test_maxent_long_texts_are_coded_in_pieces():
+    r = random.Random(2)
+    texts = [" ".join(f"w{r.randrange(30)}" for _ in range(n)) for n in (5, 300, 0, 40)] + [None]
+    v, _ = small_vocabulary([(t or "").encode() for t in texts], 20)
+    s = maxent.Scorer(v, trained(v, texts))
+    whole = s.batch(pa.array(texts))
+    old = maxent.pieces.__defaults__
+    maxent.pieces.__defaults__ = (50,)
+    try:
+        cut = s.batch(pa.array(texts))
+    finally:
+        maxent.pieces.__defaults__ = old
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all() and np.allclose(whole[2], cut[2]) and np.allclose(whole[3], cut[3], atol=1e-3)
+    assert [sorted(Counter(dict(zip(k, t))).items()) for k, t in zip(whole[4], whole[5])] == [sorted(sum((Counter({a: b}) for a, b in zip(k, t)), Counter()).items()) for k, t in zip(cut[4], cut[5])]
+
+
+def test_maxent_grows_and_hardly_depends_on_the_deal_of_rows(spark):
+    assert maxent.Shape.of(10**8).side > maxent.Shape.of(10**6).side and maxent.Shape.of(10**8).member_rows > maxent.Shape.of(10**6).member_rows
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    one, other = ({r.doc_id: r for r in maxent.score(docs.repartition(n)).collect()} for n in (1, 6))
+    held = [i for i, r in one.items() if r.held_out]
+    a, b = (sum(x[i].score for i in held) / sum(x[i].n_tokens for i in held) for x in (one, other))
+    assert abs(a - b) < 0.02 * abs(a)
 
 
 def test_maxent_edges(spark, odd, none):
@@ -509,8 +758,7 @@ def test_pipeline_stages(spark):
     texts = [(r.text or "").translate({i: i + 32 for i in range(65, 91)}) for r in once.collect()]
     assert len(set(texts)) == len(texts) == len({(r.text or "").translate({i: i + 32 for i in range(65, 91)}) for r in clean.collect()})
     near = cp.drop_near_copies(spark, once, SF).cache()
-    fps = [simhash.fingerprint(simhash.shingle_hashes((r.text or "").encode(), 3)) & (1 << 64) - 1 for r in once.collect()]
-    assert near.count() == len(set(brute_components(fps, 2)))
+    assert near.count() == len(set(similar_components([(r.text or "").encode() for r in once.collect()])))
     mixed = cp.mix(spark, near, SF).cache()
     assert mixed.columns == docs.columns and max(r["count"] for r in mixed.groupBy("doc_id").count().collect()) <= 2
     packed = cp.pack(spark, mixed, SF)
