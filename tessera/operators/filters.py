@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def valid_pattern(pattern: str) -> bool:
     jvm = SparkSession.active().sparkContext._jvm
     try:
         jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):
         return False
     return True
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 EXTENSIONS = r"(?i)\.(docx?|xlsx?|pdf|txt|md|html?)$"
@@ -75,7 +76,7 @@ def longest_common(a: str, b: str) -> int:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _common_share(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([longest_common(x, y) / max(1, min(len(x), len(y))) for x, y in zip(a, b, strict=True)])
 

@@ -48,7 +48,7 @@ def clm3_fill_slots(spark, sf):
     return claims.fill_slots(slots, ev)
 
 
-@query("SELECT p_partkey AS answer_id, CASE WHEN p_partkey % 3 = 0 THEN 5 WHEN p_partkey % 3 = 1 THEN 21 ELSE 4 END AS n_cited, array_to_string(list_filter([CASE WHEN p_size > 20 THEN CAST(p_size AS VARCHAR) END, CASE p_partkey % 3 WHEN 0 THEN '99999999999999999999' WHEN 1 THEN '1-2000000000' END], lambda c: c IS NOT NULL), ',') AS out_of_range, CASE WHEN p_partkey % 3 = 2 THEN 2 ELSE 0 END AS n_named FROM part WHERE p_size > 20")
+@query("SELECT p_partkey AS answer_id, CASE WHEN p_partkey % 3 = 0 THEN 5 WHEN p_partkey % 3 = 1 THEN 22 ELSE 4 END AS n_cited, array_to_string(list_filter([CASE WHEN p_size > 20 THEN CAST(p_size AS VARCHAR) END, CASE p_partkey % 3 WHEN 0 THEN '99999999999999999999' WHEN 1 THEN '1-2000000000' END], lambda c: c IS NOT NULL), ',') AS out_of_range, CASE WHEN p_partkey % 3 = 2 THEN 2 ELSE 0 END AS n_named FROM part WHERE p_size > 20")
 def ver3_citations(spark, sf):
     """Numbers too long to be one and ranges of billions end no query: they are out of range as written."""
     more = F.when(F.col("p_partkey") % 3 == 0, "[99999999999999999999]").when(F.col("p_partkey") % 3 == 1, "[1-2000000000]").otherwise("(来源: a) (引用：b c )")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions import rules
-from tessera.operators import filters, joins, links, tables
-from tessera.plans import planner, routing
+from tessera.operators import joins, links, tables
+from tessera.plans import planner
 from tessera.plans.catalog import BM25, CHUNKS, WORDS, bm25, chunks, query
 from tessera.sources import store
 from tessera.sources.tables import read
@@ -46,7 +45,6 @@ def flt14_allowed(spark, sf):
     return chunks(spark, sf).join(read(spark, sf, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").select("chunk_id")
 
 
-
 # Retrieval -----------------------------------------------------------------------------------------------------------
 
 
@@ -91,8 +89,6 @@ def cfl3_scope_overlap(spark, sf):
     return joins.overlapping_scopes(read(spark, sf, "documents"), "doc_id", "source")
 
 
-
-
 @query("SELECT l_orderkey, l_linenumber FROM lineitem c WHERE NOT EXISTS (SELECT 1 FROM lineitem e WHERE e.l_orderkey = c.l_orderkey AND abs(CAST(e.l_discount AS DOUBLE) - CAST(c.l_tax AS DOUBLE)) <= 0.01)")
 def ver1_numbers(spark, sf):
     li = read(spark, sf, "lineitem")
@@ -100,7 +96,6 @@ def ver1_numbers(spark, sf):
     return joins.unmatched_numbers(c, li.select("l_orderkey", F.col("l_discount").cast("double").alias("value")), "l_orderkey").select("claim_id.*")
 
 
-
 # Tables --------------------------------------------------------------------------------------------------------------
 
 
@@ -210,10 +205,6 @@ def suf1_coverage(spark, sf):
     return d.groupBy(F.col("source").alias("bundle_id")).agg(F.round(F.avg("quality"), 6).alias("coverage"), F.round(F.coalesce(need, F.lit(1.0)), 6).alias("required_coverage"))
 
 
-
-
-
-
 @query("SELECT conv_id, turn, role, text LIKE '%?%?%' AS several, len(list_filter(string_split(text, '?'), lambda p: trim(p) <> '')) AS n_parts FROM conversations")
 def qu9_decompose(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("text").like("%?%?%").alias("several"), F.size(F.filter(F.split("text", r"\?"), lambda p: F.trim(p) != "")).cast("long").alias("n_parts"))
@@ -230,7 +221,6 @@ def rte1_routes(spark, sf):
 # Plans, branches, folds ----------------------------------------------------------------------------------------------
 
 
-
 @query("SELECT user_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS tier, max(value) AS score FROM events GROUP BY 1, 2")
 def spc1_branches(spark, sf):
     tier = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).otherwise(2)
@@ -260,5 +250,3 @@ def str3_idempotent(spark, sf):
 def str9_spans(spark, sf):
     log = read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return folds.span_tree(log.select(F.col("l_orderkey").alias("span_id"), F.col("o_custkey").alias("parent_id"), F.when(F.col("l_returnflag") == "R", "ERROR").otherwise("INFO").alias("level")))
-
-

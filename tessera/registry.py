@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import more, questions, wider
+from tessera.plans import built, more, questions, wider
 from tessera.plans.catalog import CATALOG, flagship
 
-__all__ = ["flagship", "more", "oracle_sql", "queries", "questions", "wider"]
+__all__ = ["built", "flagship", "more", "oracle_sql", "queries", "questions", "wider"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

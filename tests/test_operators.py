@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import parse_date, tokens
-from tessera.operators import evidence, filters, measures, retrieval
+from tessera.operators import answers, evidence, facts, filters, graph, measures, names, retrieval, states
 from tessera.plans import routing
 from tessera.sources import tables
 from tessera.streaming import events
@@ -54,7 +54,8 @@ def test_contained_contents_go_but_equal_ones_stay(spark):
 
 def test_parents_keep_the_first_best_hit(spark):
     h = spark.createDataFrame([(1, 5, 100, 0.5), (2, 5, 101, 0.5), (3, None, 102, 0.2)], "idx int, parent_id long, chunk_id long, score double")
-    assert rows(evidence.parents(h), "chunk_id", "n_children") == [(100, 2), (102, 1)]
+    assert rows(evidence.parents(h).withColumn("n_children", F.size("children")), "chunk_id", "n_children") == [(100, 2), (102, 1)]
+    assert [r.chunk_id for r in evidence.by_score(evidence.parents(h)).collect()] == [100, 102]
 
 
 def test_relax_takes_the_first_level_with_rows(spark):
@@ -85,10 +86,10 @@ def test_plan_costs_by_hand(spark):
 def test_layers_and_cycles(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("a", "a"), ("b", "zz")], "node string, needs string")
-    assert rows(routing.layers(edges, nodes), "node", "layer") == [("a", 0), ("b", 1), ("c", 2)]
+    assert rows(graph.layers(edges, nodes), "node", "layer") == [("a", 0), ("b", 1), ("c", 2)]
     ring = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "node string, needs string")
     with pytest.raises(ValueError):
-        routing.layers(ring, nodes, most=5)
+        graph.layers(ring, nodes)
 
 
 def test_rate_window_and_session_edges(spark):
@@ -114,3 +115,39 @@ def test_streams_run_to_the_end(spark, tmp_path):
     q = events.stream_sessions(stream).writeStream.format("memory").queryName("sess").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n_events for r in spark.sql("SELECT * FROM sess").collect()) == [1, 2]
+
+
+def test_a_move_that_is_not_legal_changes_nothing(spark):
+    log = spark.createDataFrame([("a", 1, "NORMALIZED"), ("a", 2, "ROUTED"), ("a", 3, "CONTEXT_RESOLVED"), ("b", 1, "FAILED"), (None, 1, "NORMALIZED")], "k string, n int, state string")
+    got = {(r.k, r.n): (r.after, r.accepted) for r in states.replay(log, "k", "n").collect()}
+    assert got == {("a", 1): ("NORMALIZED", True), ("a", 2): ("NORMALIZED", False), ("a", 3): ("CONTEXT_RESOLVED", True), ("b", 1): ("RECEIVED", False)}
+
+
+def test_cancelling_ends_on_cycles(spark):
+    tasks = spark.createDataFrame([("a", "failed"), ("b", "pending"), ("c", "ready"), ("d", "completed"), ("e", "pending")], "node string, status string")
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("b", "c"), ("d", "a"), ("e", "d")], "node string, needs string")
+    assert rows(graph.cancelled(tasks, edges), "node") == [("b",), ("c",)]
+    assert rows(graph.cancelled(tasks.limit(0), edges), "node") == []
+
+
+def test_facts_skip_years_and_texts_without_metric():
+    assert facts.facts_in("资本充足率不得低于8.5%，自2024年起") == [("资本充足率", "8.5%", 8.5)]
+    assert facts.facts_in("8%") == [] and facts.facts_in(None) == [] and facts.facts_in("8%", " CAR ") == [("car", "8%", 8.0)]
+
+
+def test_bad_patterns_match_nothing(spark):
+    d = spark.createDataFrame([("a(b",), (None,)], "v string")
+    assert rows(d.filter(filters.predicate("v", "regex", "a(")), "v") == []
+    found = filters.exact_match(d.select(F.lit(1).alias("chunk_id"), F.col("v").alias("content")), "a(", "regex")
+    assert all(r.match_pos == -1 for r in found.collect())
+
+
+def test_names_of_tables_by_common_parts(spark):
+    asked = spark.createDataFrame([(1, "2023年资本表"), (2, "资本构成明细"), (3, "无关")], "ask_id int, text string")
+    known = spark.createDataFrame([("2024年资本表",), ("资本构成明细表",)], "name string")
+    assert rows(names.resolve_tables(asked, known), "ask_id", "name", "level") == [(2, "资本构成明细表", 3)]
+
+
+def test_citations_of_nothing(spark):
+    d = spark.createDataFrame([(None, None, None, None)], "kind string, doc string, metadata map<string,string>, told string")
+    assert d.select(answers.citation(F.col("kind"), F.col("doc"), F.col("metadata"), F.col("told")).alias("c")).first().c == "《相关法规》"
