@@ -9,7 +9,8 @@ Links are kept as stars inside a bucket, as only reachability is asked for: a bu
 n - 1 edges, and no list of all pairs is ever made.
 
 similar_groups links texts by the Jaccard similarity of their shingle sets and takes fingerprints for its candidates only:
-s segments with one wildcard find all pairs up to 2s - 1 bits apart, and most of those further apart.
+s segments of each half of 128 bits, with one wildcard, find all pairs up to 4s - 1 bits apart, and most of those further
+apart.
 """
 
 from __future__ import annotations
@@ -255,11 +256,16 @@ def _places(segments: int) -> list[tuple[int, int, int]]:
     return [(at, lo, (1 << hi - lo) - 1 & ~(1 << at - lo)) for lo, hi in zip(ends, ends[1:], strict=False) for at in range(lo, hi)]
 
 
+def halves(nodes: DataFrame) -> DataFrame:
+    """Each node twice, with the half that is cut into segments as f1: the first 64 bits (half 0), then the last (half 1)."""
+    return nodes.withColumn("half", F.lit(0)).unionByName(nodes.withColumns({"f1": F.col("f2"), "f2": F.col("f1"), "half": F.lit(1)}))
+
+
 def segment_rows(nodes: DataFrame, segments: int) -> DataFrame:
-    """64 rows (key, f1, f2, node and what else is given) for each node: the segments of its first 64 bits, each without one of its bits."""
+    """128 rows (key, f1, f2, node and what else is given) for each node: the segments of its halves, each without one of its bits."""
     w = F.explode(F.array(*(F.struct(F.lit(a).alias("at"), F.lit(lo).alias("lo"), F.lit(m).cast("long").alias("mask")) for a, lo, m in _places(segments))))
-    key = "(shiftrightunsigned(f1, w.lo) & w.mask) | shiftleft(cast(w.at AS long), 32) AS key"
-    return nodes.select("*", w.alias("w")).selectExpr(key, *nodes.columns)
+    key = "(shiftrightunsigned(f1, w.lo) & w.mask) | shiftleft(cast(half * 64 + w.at AS long), 32) AS key"
+    return halves(nodes).select("*", w.alias("w")).selectExpr(key, *nodes.columns)
 
 
 def _first_place(diff: np.ndarray, places: list[tuple[int, int, int]]) -> np.ndarray:
@@ -309,7 +315,7 @@ def _candidates(distance: int, most: int, segments: int, known: bool, dealt: boo
                 diff = (f1[row] ^ f1[earlier]).view(np.uint64)
                 bits = np.bitwise_count(diff).astype(np.int32) + np.bitwise_count((f2[row] ^ f2[earlier]).view(np.uint64))
                 mine = (bits <= distance) & (nodes[row] != nodes[earlier])
-                mine[mine] = _first_place(diff[mine], places) == home[row[mine]] >> 32
+                mine[mine] = _first_place(diff[mine], places) == home[row[mine]] >> 32 & 63
                 if mine.any():
                     found.append((row[mine], earlier[mine], bits[mine]))
             if not found:
@@ -328,9 +334,9 @@ def _candidates(distance: int, most: int, segments: int, known: bool, dealt: boo
 
 
 def candidate_pairs(nodes: DataFrame, segments: int, distance: int, most: int, only: DataFrame | None = None, bucket_bound: int = 20_000, least: float = 0.8) -> DataFrame:
-    """Pairs (a, b, bits) of nodes (f1, f2, node[, comp, size, shared]) whose first fingerprints agree, but for one bit, in a segment and whose 128 bits differ in at most `distance`.
+    """Pairs (a, b, bits) of nodes (f1, f2, node[, comp, size, shared]) whose fingerprints agree, but for one bit, in a segment of one half and whose 128 bits differ in at most `distance`.
 
-    A pair is named by the first bucket that it shares, and there a node meets its `most` nearest earlier ones only; the
+    A pair is named by the first bucket of each half that it shares, and there a node meets its `most` nearest earlier ones only; the
     ends of the pairs beyond are returned with the bucket's key (key and a set), so that the caller may look there again.
     `only` restricts to such keys. Buckets that may hold over bucket_bound nodes are counted first and dealt over tasks in
     which every two of their parts meet.
@@ -339,8 +345,8 @@ def candidate_pairs(nodes: DataFrame, segments: int, distance: int, most: int, o
     if only is not None:
         rows = rows.join(only, "key", "left_semi")
     ends = [round(i * BITS / segments) for i in range(segments + 1)]
-    seg = F.explode(F.array(*(F.struct(F.lit(lo).alias("lo"), F.expr(f"shiftrightunsigned(f1, {lo}) & {(1 << hi - lo) - 1}L").alias("seg")) for lo, hi in zip(ends, ends[1:], strict=False))))
-    crowded = stash(nodes.select(seg.alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_bound / 2).select("s.lo", "s.seg"), "crowded")
+    seg = F.explode(F.array(*(F.struct("half", F.lit(lo).alias("lo"), F.expr(f"shiftrightunsigned(f1, {lo}) & {(1 << hi - lo) - 1}L").alias("seg")) for lo, hi in zip(ends, ends[1:], strict=False))))
+    crowded = stash(halves(nodes).select(seg.alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_bound / 2).select("s.half", "s.lo", "s.seg"), "crowded")
 
     def look(rows: DataFrame, dealt: bool) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key", "f1", "f2", "node").mapInArrow(_candidates(distance, most, segments, known, dealt, least), shape)
@@ -348,7 +354,7 @@ def candidate_pairs(nodes: DataFrame, segments: int, distance: int, most: int, o
     if crowded.isEmpty():
         return stash(look(rows, False), "candidates")
     places = rows.sparkSession.createDataFrame(_places(segments), "at int, lo int, mask long")  # 64 rows
-    keys = crowded.join(F.broadcast(places), "lo").selectExpr("(seg & mask) | shiftleft(cast(at AS long), 32) AS key").distinct()
+    keys = crowded.join(F.broadcast(places), "lo").selectExpr("(seg & mask) | shiftleft(cast(half * 64 + at AS long), 32) AS key").distinct()
     large = rows.join(keys, "key", "left_semi")
     parts = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 2 / bucket_bound).cast("int").alias("g"))
     dealt = large.join(parts, "key").withColumn("p", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
@@ -378,7 +384,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, segments
     """One row per input row: id, component_id (the least id reachable over pairs of shingle similarity >= least, itself included).
 
     A text has a fingerprint of 128 bits over its set of shingles. Candidates agree, but for one bit, in one of `segments`
-    segments of the first 64 bits and differ in at most `distance` of all 128; each pair between different components is
+    segments of the first 64 bits or the last, and differ in at most `distance` of all 128; each pair between different components is
     verified by the true Jaccard similarity of the sets. A node's nearest candidate is verified first, as pairs within a
     component found so need no second look. In a bucket a node meets its `most` nearest first; rounds over the buckets
     where one has more look at eight times as many of other components, until none has more. There a node's shingles that
