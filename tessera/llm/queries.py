@@ -1,11 +1,11 @@
-"""The ten operators as queries with production parameters over whole tables, and their SQL where SQL can say it."""
+"""The operators as queries with production parameters over whole tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact, html, maxent, mixing, packing, sharding, simhash, toxicity, warc
+from . import alignment, ann, exact, html, maxent, mixing, packing, sharding, simhash, toxicity, warc
 from .common import table
 
 #: Categories that the labels tell, in the order of the chain. They have one of toxicity only; quality is the one before it.
@@ -74,5 +74,10 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_ann, op4_simhash, op5_html, op6_mixing, op7_sharding, op8_exact, op9_toxicity, op10_maxent)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of all documents under two tokenizers; null, empty or not reproduced: zeros; ties: all best; repeated rows: each."""
+    return alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_ann, op4_simhash, op5_html, op6_mixing, op7_sharding, op8_exact, op9_toxicity, op10_maxent, op11_alignment)}
 ORACLE_SQL = {"op2_warc": warc.ORACLE, "op8_exact": exact.ORACLE}
