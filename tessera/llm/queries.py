@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, exact, html, maxent, mixing, packing, sharding, simhash, toxicity, warc
+from . import alignment, ann, decontamination, divergence, exact, html, maxent, mixing, packing, sharding, simhash, toxicity, warc
 from .common import table
 
 #: Categories that the labels tell, in the order of the chain. They have one of toxicity only; quality is the one before it.
@@ -79,5 +79,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_ann, op4_simhash, op5_html, op6_mixing, op7_sharding, op8_exact, op9_toxicity, op10_maxent, op11_alignment)}
-ORACLE_SQL = {"op2_warc": warc.ORACLE, "op8_exact": exact.ORACLE}
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sources and terms of all documents by divergence; nulls: empty strings; ties: by item; repeated rows: each counts."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside windows of benchmark items; null text: no words; ties: all items count; repeated rows: each."""
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_ann, op4_simhash, op5_html, op6_mixing, op7_sharding, op8_exact, op9_toxicity, op10_maxent, op11_alignment, op12_divergence, op13_decontamination)}
+ORACLE_SQL = {"op2_warc": warc.ORACLE, "op8_exact": exact.ORACLE, "op12_divergence": divergence.ORACLE, "op13_decontamination": decontamination.ORACLE}
