@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import shipped
+
 LEVELS = ("L0", "L1", "L2", "L3", "L4")
 # Fixed values: (level, risk) to path; the higher of the two decides.
 PATHS = ("P0", "P1", "P2", "P3", "P4")
@@ -89,3 +91,40 @@ def cited_beyond(text: Column, n: Column) -> Column:
 def cited_names(text: Column) -> Column:
     """Sources named as (来源: x) or (引用: x)."""
     return F.transform(F.coalesce(F.regexp_extract_all(text, F.lit(r"\((?:来源|引用)[：:]\s*([^)]+)\)"), F.lit(1)), F.array().cast("array<string>")), lambda s: F.trim(s))
+
+
+def intent_of(text: Column, rules: tuple[tuple[str, str, float], ...] = shipped.INTENTS) -> Column:
+    """struct(intent, confidence, rules) of the trimmed text: the shipped intents, or others of the same form, without regard to case.
+
+    The highest confidence wins, the earlier rule among equals; hits of several intents lower it to 0.85 of it. rules are the
+    winner's patterns that hit, highest confidence first. No hit: unknown with 0.3; a null or blank text: unknown with 0.
+    """
+    whole = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    met = [F.when(whole.rlike(f"(?Ui){rx}"), F.struct(F.lit(-c).alias("down"), F.lit(i).alias("nth"), F.lit(name).alias("intent"), F.lit(rx).alias("rule"))) for i, (name, rx, c) in enumerate(rules)]
+    hits = F.array_sort(F.array_compact(F.array(*met)))
+    best = F.get(hits, F.lit(0))
+    several = F.size(F.array_distinct(F.transform(hits, lambda h: h["intent"]))) > 1
+    sure = F.round(-best["down"] * F.when(several, 0.85).otherwise(1.0), 4)
+    own = F.transform(F.filter(hits, lambda h: h["intent"] == best["intent"]), lambda h: h["rule"])
+    none = F.array().cast("array<string>")
+    confidence = F.when(F.coalesce(whole, F.lit("")) == "", 0.0).otherwise(F.coalesce(sure, F.lit(0.3)))
+    return F.struct(F.coalesce(best["intent"], F.lit("unknown")).alias("intent"), confidence.alias("confidence"), F.coalesce(own, none).alias("rules"))
+
+
+def constraints_of(text: Column) -> Column:
+    """struct(time_range, version_status, applicable_scope, normative_level) by the shipped words: the first of each that occurs, of states each once."""
+    first = lambda words: F.get(F.array_compact(F.array(*(F.when(F.contains(text, F.lit(w)), F.lit(v)) for w, v in words))), F.lit(0))
+    times = F.get(F.filter(F.array(*(F.regexp_extract(text, f"(?U){rx}", 1) for rx in shipped.TIMES)), lambda t: t != ""), F.lit(0))
+    states = F.array_distinct(F.array_compact(F.array(*(F.when(F.contains(text, F.lit(w)), F.lit(v)) for w, v in shipped.STATES))))
+    return F.struct(times.alias("time_range"), states.alias("version_status"), first(shipped.SCOPES).alias("applicable_scope"), first(shipped.NORMS).alias("normative_level"))
+
+
+def patterned(text: Column) -> Column:
+    """array of (kind, value, confidence): what the shipped patterns and terms find, repeats included."""
+    form = "array<struct<kind:string,value:string,confidence:double>>"
+    made = lambda kind, values, sure: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(sure).alias("confidence")))
+    found = [made(kind, F.regexp_extract_all(text, F.lit(f"(?U){rx}"), F.lit(group)), sure) for kind, rx, group, sure in shipped.PATTERNS]
+    for rx, sure in shipped.TERMS:
+        terms = F.transform(F.regexp_extract_all(text, F.lit(f"(?U){rx}"), F.lit(1)), lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", ""))
+        found.append(made("term", F.filter(terms, lambda v: (v != "") & (F.length(v) <= shipped.LONGEST_TERM)), sure))
+    return F.coalesce(F.concat(*found), F.array().cast(form))

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def substrings(text: Column, least: int = 1) -> Column:
-    """All distinct substrings of a short text (a name, a scope) of at least `least` characters."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    cut = lambda i: F.transform(F.sequence(F.lit(least), F.greatest(F.length(text) - i + 1, F.lit(least))), lambda n: F.substr(text, i, n))
-    return F.array_distinct(F.flatten(F.transform(starts, cut)))
+from tessera.operators import gazetteer
 
 
 def overlapping_scopes(rows: DataFrame, doc: str, scope: str) -> DataFrame:
@@ -20,10 +15,9 @@ def overlapping_scopes(rows: DataFrame, doc: str, scope: str) -> DataFrame:
     Rows of a class are counted, not paired: any two documents of an overlapping pair of classes conflict. A class
     overlaps itself if it has at least two documents. Null and empty scopes take no part.
     """
-    classes = rows.filter(F.col(scope) != "").groupBy(F.col(scope).alias("scope")).agg(F.count_distinct(doc).alias("n_docs"))
-    inner = classes.select(F.col("scope").alias("inside"), F.col("n_docs").alias("n_inside"))
-    pieces = classes.select("scope", "n_docs", F.explode(substrings(F.lower("scope"))).alias("piece"))
-    met = pieces.join(inner, F.col("piece") == F.lower("inside"))
+    classes = rows.filter(F.col(scope) != "").groupBy(F.col(scope).alias("scope")).agg(F.count_distinct(doc).alias("n_docs")).withColumn("low", F.lower("scope"))
+    inner = classes.select(F.col("scope").alias("inside"), F.col("n_docs").alias("n_inside"), F.col("low").alias("name"))
+    met = gazetteer.occurrences(classes, ["scope", "n_docs"], "low", classes, "low").join(inner, "name")
     return met.filter((F.col("scope") != F.col("inside")) | (F.col("n_docs") > 1)).select("scope", "inside", "n_docs", "n_inside")
 
 
@@ -36,9 +30,9 @@ def resolve_names(asked: DataFrame, names: DataFrame, least: int = 3) -> DataFra
     a = asked.select("ask_id", F.trim("text").alias("text")).withColumn("low", F.lower("text"))
     n = names.select("name_id", "name", F.lower("name").alias("name_low"))
     same = a.join(n, F.col("low") == F.col("name_low")).select("ask_id", "name_id", F.when(F.col("text") == F.col("name"), 1).otherwise(2).alias("level"))
-    outer = n.select("name_id", F.explode(substrings(F.col("name_low"), least)).alias("piece"))
-    within = a.filter(F.length("low") >= least).join(outer, F.col("low") == F.col("piece")).select("ask_id", "name_id", F.lit(3).alias("level"))
-    around = a.select("ask_id", F.explode(substrings(F.col("low"), least)).alias("piece")).join(n.filter(F.length("name_low") >= least), F.col("piece") == F.col("name_low")).select("ask_id", "name_id", F.lit(4).alias("level"))
+    asks, known = a.filter(F.length("low") >= least), n.filter(F.length("name_low") >= least)
+    within = gazetteer.occurrences(n, ["name_id"], "name_low", asks, "low").join(asks, F.col("name") == F.col("low")).select("ask_id", "name_id", F.lit(3).alias("level"))
+    around = gazetteer.occurrences(a, ["ask_id"], "low", known, "name_low").join(known.drop("name"), F.col("name") == F.col("name_low")).select("ask_id", "name_id", F.lit(4).alias("level"))
     best = same.unionByName(within).unionByName(around).groupBy("ask_id").agg(F.min(F.struct("level", "name_id")).alias("b"))
     return best.select("ask_id", "b.name_id", "b.level")
 

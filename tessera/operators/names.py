@@ -86,21 +86,30 @@ def resolve_tables(asked: DataFrame, tables: DataFrame, accept: float = 0.4, sur
 
     1 the same text; 2 the same after normalisation; 3 one contains the other, scored by the shorter one's share of the
     longer; 4, where that is below `sure`, the longest common substring's share of the shorter one, unless both name years
-    and the text one that the table does not. The best score over `accept` wins, then the smaller name. Names meet through
-    common pairs of characters (single ones where a name is that short), which each accepted pair has.
+    and the text one that the table does not. The best score over `accept` wins, then the smaller name.
+
+    An accepted pair shares more than `accept` of the shorter name, so also a piece of the largest power of two within
+    that length. The shorter name is cut into pieces of its own such length, the longer one into pieces of every power, and
+    they meet on equal pieces.
     """
     a = asked.select("ask_id", "text", table_name(F.col("text")).alias("low")).filter("low <> ''")
     t = tables.select("name", table_name(F.col("name")).alias("own")).filter("own <> ''").distinct()
 
-    def grams(c: str) -> Column:
-        size = F.when(F.length(c) < 3, 1).otherwise(2)
-        cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, n))
-        return F.explode(F.array_distinct(F.when(size == 1, cut(F.lit(1))).otherwise(F.concat(cut(F.lit(1)), cut(F.lit(2))))))
+    def cut(c: str, size: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substr(F.col(c), i, size))
+
+    def own_pieces(c: str) -> Column:
+        needed = F.floor(F.length(c) * accept) + 1
+        return F.explode(F.array_distinct(cut(c, F.pow(F.lit(2), F.floor(F.log2(needed))).cast("int"))))
+
+    def all_pieces(c: str) -> Column:
+        powers = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.length(c))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+        return F.explode(F.array_distinct(F.flatten(F.transform(powers, lambda p: cut(c, p)))))
 
-    left = a.withColumn("g", grams("low"))
-    right = t.withColumn("g", grams("own"))
-    short = F.when(F.length("low") < F.length("own"), F.length("low")).otherwise(F.length("own"))
-    met = left.join(right, "g").filter(F.length("g") == F.when(short < 3, 1).otherwise(2)).select("ask_id", "text", "low", "name", "own").distinct()
+    shorter = F.length("low") <= F.length("own")
+    met = a.withColumn("g", own_pieces("low")).join(t.withColumn("g", all_pieces("own")), "g").filter(shorter)
+    met = met.unionByName(a.withColumn("g", all_pieces("low")).join(t.withColumn("g", own_pieces("own")), "g").filter(~shorter))
+    met = met.select("ask_id", "text", "low", "name", "own").distinct()
     ratio = F.when(F.contains("own", "low"), F.length("low") / F.length("own")).when(F.contains("low", "own"), F.length("own") / F.length("low"))
     years = lambda c: F.regexp_extract_all(c, F.lit(r"(\d{4})年"), F.lit(1))
     apart = (F.size(years("low")) > 0) & (F.size(years("own")) > 0) & (F.size(F.array_except(years("low"), years("own"))) > 0)
