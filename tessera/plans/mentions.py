@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import rules, shipped
-from tessera.operators import gazetteer, names
+from tessera.operators import asof, gazetteer, names
 from tessera.plans.catalog import query
 from tessera.sources.tables import read
 
@@ -110,3 +110,30 @@ def jn13_types(spark, sf):
     begun = F.trim(F.left("p_type", F.ceil(F.length("p_type") * 0.7).cast("int")))
     text = F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).when(F.col("p_partkey") % 3 == 1, F.lower("p_type")).otherwise(begun)
     return names.resolve_tables(part.select(F.col("p_partkey").alias("ask_id"), text.alias("text")), part.select(F.col("p_type").alias("name")))
+
+
+@query("""WITH v AS (SELECT user_id, ts, max(event_id) AS version_id FROM events WHERE event_type = 'signup' GROUP BY ALL), u AS (SELECT v.*, v.ts + to_hours(CAST(floor(e.value) AS BIGINT)) AS until FROM v JOIN events e ON e.event_id = v.version_id)
+ SELECT e.event_id, u.version_id, CASE WHEN u.version_id IS NULL THEN 'not_yet_effective' WHEN e.ts >= u.until THEN 'superseded' ELSE 'active' END AS state
+ FROM (SELECT * FROM events WHERE event_type <> 'signup') e ASOF LEFT JOIN u ON e.user_id = u.user_id AND e.ts >= u.ts""")
+def jn16_versions(spark, sf):
+    """Each event by the signup of its user that was in force: the last before it, unless its value in hours has passed."""
+    e = read(spark, sf, "events")
+    v = e.filter("event_type = 'signup'").select("user_id", F.col("ts").alias("since"), F.col("event_id").alias("version_id"), (F.col("ts") + F.expr("make_dt_interval(0, CAST(floor(value) AS INT))")).alias("until"))
+    asks = e.filter("event_type <> 'signup'").select("event_id", "user_id", "ts")
+    found = asof.as_of(asks, v, ["user_id"], "ts", "since", "until", tie="version_id")
+    return found.select("event_id", F.col("version.version_id").alias("version_id"), "state")
+
+
+@query("""WITH t AS (SELECT o_orderkey, ['active', 'In_Force', 'superseded', '废止', 'draft', ''][o_orderkey % 6 + 1] AS status, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS begun, o_orderdate AS d,
+ CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 400 DAY END AS until FROM orders)
+ SELECT o_orderkey, CASE WHEN until <= DATE '1997-01-01' THEN 'superseded_before_query' WHEN d >= DATE '1997-01-02' THEN 'not_yet_effective' WHEN status = '废止' THEN 'repealed' WHEN status = 'superseded' THEN 'superseded' WHEN status = 'draft' THEN 'unknown_status' END AS issue,
+ CASE WHEN until <= DATE '1997-01-01' OR d >= DATE '1997-01-02' OR status = '废止' THEN 'error' WHEN status IN ('superseded', 'draft') THEN 'warning' ELSE 'ok' END AS verdict FROM t""")
+def ver2_states(spark, sf):
+    """Orders as versions told in words: states, dates in several forms, and dates that only the content has."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+    status = F.element_at(F.array(*map(F.lit, ("active", "In_Force", "superseded", "废止", "draft", ""))), (key % 6 + 1).cast("int"))
+    begun = F.when(key % 4 != 0, F.date_format(day, "yyyy年M月d日"))
+    until = F.when(key % 3 == 0, F.date_format(day + F.expr("INTERVAL 400 DAYS"), "yyyy.M.d"))
+    content = F.concat(F.lit("自"), F.date_format(day, "yyyy/M/d"), F.lit("起施行, 2099-01-01"))
+    found = asof.version_issue(status, begun, until, content, F.lit("1997年1月1日"))
+    return read(spark, sf, "orders").select("o_orderkey", found["issue"].alias("issue"), found["verdict"].alias("verdict"))
