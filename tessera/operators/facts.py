@@ -125,20 +125,21 @@ def all_conflicts(evidence: DataFrame) -> DataFrame:
     """(priority, kind, subject, n, advice) of evidence(doc, metric, value, level, status, effective, scope, content): all five kinds, in the order to show.
 
     authority: a metric with several values under several levels; version: a document both active and superseded, with several contents;
-    temporal: a metric with several days of coming into force; scope: an overlap of the scopes of two documents; numeric: a
+    temporal: a document with several days of coming into force; scope: an overlap of the scopes of two documents; numeric: a
     metric with several values. n is how many values, contents, days or documents disagree. Each is found by counting groups,
     never by pairing rows.
     """
-    m = evidence.filter(F.col("metric").isNotNull()).groupBy(F.col("metric").alias("subject")).agg(*(F.count_distinct(c).alias(c) for c in ("value", "level", "effective")))
-    kinds = {"authority": ((F.col("value") >= 2) & (F.col("level") >= 2), "level"), "temporal": (F.col("effective") >= 2, "effective"), "numeric": (F.col("value") >= 2, "value")}
+    m = evidence.filter(F.col("metric").isNotNull()).groupBy(F.col("metric").alias("subject")).agg(*(F.count_distinct(c).alias(c) for c in ("value", "level")))
+    kinds = {"authority": ((F.col("value") >= 2) & (F.col("level") >= 2), "level"), "numeric": (F.col("value") >= 2, "value")}
     cells = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(k).alias("kind"), F.col(n).alias("n"))) for k, (c, n) in kinds.items())))
     by_metric = m.select("subject", F.explode(cells).alias("c")).select("c.kind", "subject", "c.n")
-    states = evidence.groupBy(F.col("doc").cast("string").alias("subject")).agg(F.max((F.col("status") == "active").cast("int")).alias("a"), F.max((F.col("status") == "superseded").cast("int")).alias("s"), F.count_distinct("content").alias("n"))
+    states = evidence.groupBy(F.col("doc").cast("string").alias("subject")).agg(F.max((F.col("status") == "active").cast("int")).alias("a"), F.max((F.col("status") == "superseded").cast("int")).alias("s"), F.count_distinct("content").alias("n"), F.count_distinct("effective").alias("days"))
+    temporal = states.filter("days >= 2").select(F.lit("temporal").alias("kind"), "subject", F.col("days").alias("n"))
     version = states.filter("a = 1 AND s = 1 AND n > 1").select(F.lit("version").alias("kind"), "subject", "n")
     over = overlapping_scopes(evidence, "doc", "scope")
     own = F.col("scope") == F.col("inside")
     scope = over.select(F.lit("scope").alias("kind"), F.when(own, F.col("scope")).otherwise(F.concat_ws(" > ", "scope", "inside")).alias("subject"), F.when(own, F.col("n_docs")).otherwise(F.col("n_docs") + F.col("n_inside")).alias("n"))
-    return ordered(by_metric.unionByName(version).unionByName(scope))
+    return ordered(by_metric.unionByName(version).unionByName(temporal).unionByName(scope))
 
 
 def ordered(conflicts: DataFrame, priority: dict[str, int] = PRIORITY, advice: dict[str, str] = ADVICE) -> DataFrame:

@@ -13,7 +13,7 @@ from tessera.functions.scalars import count_of, number
 
 #: Fields that eq compares by substring, regardless of case.
 SUBSTRING_FIELDS = ("doc_name", "doc_title")
-#: A list of words: eq is one of them, whatever its case.
+#: A list of words, compared as one text.
 WORD_LISTS = ("keywords",)
 
 
@@ -30,12 +30,15 @@ def valid_pattern(pattern: str) -> bool:
 def predicate(field: str, op: str, value: object, substring_fields: tuple[str, ...] = SUBSTRING_FIELDS) -> Column:
     """One condition. Operators: eq, in, contains, regex, prefix, suffix, gt, gte, lt, lte; a null field never matches, nor does a pattern that is none.
 
-    eq on one of substring_fields is a substring, on `keywords` (an array) a word of it, both regardless of case.
+    eq on one of substring_fields is a substring regardless of case. On `keywords` (an array or a text) eq and contains ask
+    for a substring of its words joined by spaces, in the same case; contains takes a list for any of several.
     """
     c = F.col(field)
     text = F.lower(c.cast("string"))
     if op in ("eq", "contains") and field in WORD_LISTS:
-        out = F.exists(c, lambda w: F.lower(w) == str(value).lower())
+        wanted = value if op == "contains" and isinstance(value, (list, tuple)) else (value,)
+        joined = F.when(c.isNotNull(), F.concat_ws(" ", c))
+        out = reduce(lambda a, b: a | b, (F.contains(joined, F.lit(str(v))) for v in wanted), F.lit(False))
     elif op == "eq":
         out = text.contains(str(value).lower()) if field in substring_fields else c.cast("string") == str(value)
     elif op == "in":

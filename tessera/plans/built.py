@@ -96,9 +96,9 @@ def ver4_scope(spark, sf):
 CONFLICTED = """e AS (SELECT l_suppkey AS doc, CAST(l_partkey AS VARCHAR) AS metric, CAST(l_discount AS DOUBLE) AS value, l_returnflag AS level, CASE WHEN l_linestatus = 'F' THEN 'superseded' ELSE 'active' END AS status, CAST(l_shipdate AS DATE) AS effective, l_returnflag AS scope, CAST(l_orderkey AS VARCHAR) AS content FROM lineitem)"""
 
 
-@query(f"""WITH {CONFLICTED}, g AS (SELECT metric AS subject, count(DISTINCT level) AS a, count(DISTINCT effective) AS t, count(DISTINCT value) AS n FROM e GROUP BY 1), v AS (SELECT CAST(doc AS VARCHAR) AS subject, count(DISTINCT content) AS n FROM e GROUP BY 1 HAVING count(DISTINCT status) = 2 AND count(DISTINCT content) > 1),
+@query(f"""WITH {CONFLICTED}, g AS (SELECT metric AS subject, count(DISTINCT level) AS a, count(DISTINCT value) AS n FROM e GROUP BY 1), t AS (SELECT CAST(doc AS VARCHAR) AS subject, count(DISTINCT effective) AS n FROM e GROUP BY 1 HAVING count(DISTINCT effective) >= 2), v AS (SELECT CAST(doc AS VARCHAR) AS subject, count(DISTINCT content) AS n FROM e GROUP BY 1 HAVING count(DISTINCT status) = 2 AND count(DISTINCT content) > 1),
  d AS (SELECT scope, count(DISTINCT doc) AS n FROM e GROUP BY 1), s AS (SELECT CASE WHEN x.scope = y.scope THEN x.scope ELSE x.scope || ' > ' || y.scope END AS subject, CASE WHEN x.scope = y.scope THEN x.n ELSE x.n + y.n END AS n FROM d x JOIN d y ON contains(lower(x.scope), lower(y.scope)) WHERE x.scope <> y.scope OR x.n > 1)
- SELECT 1 AS priority, 'authority' AS kind, subject, a AS n FROM g WHERE a >= 2 AND n >= 2 UNION ALL SELECT 2, 'version', subject, n FROM v UNION ALL SELECT 3, 'temporal', subject, t FROM g WHERE t >= 2 UNION ALL SELECT 4, 'scope', subject, n FROM s UNION ALL SELECT 5, 'numeric', subject, n FROM g WHERE n >= 2""")
+ SELECT 1 AS priority, 'authority' AS kind, subject, a AS n FROM g WHERE a >= 2 AND n >= 2 UNION ALL SELECT 2, 'version', subject, n FROM v UNION ALL SELECT 3, 'temporal', subject, n FROM t UNION ALL SELECT 4, 'scope', subject, n FROM s UNION ALL SELECT 5, 'numeric', subject, n FROM g WHERE n >= 2""")
 def cfl7_all(spark, sf):
     li = read(spark, sf, "lineitem")
     e = li.select(F.col("l_suppkey").alias("doc"), F.col("l_partkey").cast("string").alias("metric"), F.col("l_discount").cast("double").alias("value"), F.col("l_returnflag").alias("level"), F.when(F.col("l_linestatus") == "F", "superseded").otherwise("active").alias("status"), F.to_date("l_shipdate").alias("effective"), F.col("l_returnflag").alias("scope"), F.col("l_orderkey").cast("string").alias("content"))

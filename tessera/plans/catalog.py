@@ -113,6 +113,17 @@ _flt("prefix", "source", "SRC2", "starts_with(lower(source), 'src2')")
 _flt("suffix", "source", "5", "ends_with(lower(source), '5')")
 _flt("gt", "n_chars", 1000, "n_chars > 1000")
 _flt("lte", "n_chars", 500, "n_chars <= 500")
+def _flt_keywords(name: str, op: str, value: object, where: str) -> None:
+    @query(f"SELECT doc_id, source FROM (SELECT *, lang || ' ' || source || ' Tag' || doc_id % 3 AS words FROM documents) WHERE {where}", name=f"flt_{name}_keywords")
+    def run(spark, sf):
+        words = F.array("lang", "source", F.concat(F.lit("Tag"), (F.col("doc_id") % 3).cast("string")))
+        return read(spark, sf, "documents").withColumn("keywords", words).filter(filters.predicate("keywords", op, value)).select("doc_id", "source")
+
+
+_flt_keywords("eq", "eq", "n src1", "contains(words, 'n src1')")
+_flt_keywords("in", "in", ["tag0", "Tag1", "de src1"], "contains(words, 'Tag1') OR contains(words, 'de src1')")
+_flt_keywords("contains", "contains", ["c3 Tag2", "es", "TAG"], "contains(words, 'c3 Tag2') OR contains(words, 'es')")
+_flt("lt", "n_chars", 300, "n_chars < 300")
 _flt("gte", "source", 1, "TRY_CAST(source AS DOUBLE) >= 1")
 
 
