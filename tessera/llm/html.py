@@ -11,10 +11,11 @@ tree whose nodes are the elements that pages have, those of classes with one occ
 article is the slot that holds most of the text that is neither a link nor the template's own: from the root the tree is
 followed down as long as one slot has most of it. Within the article, texts that are tokens of a valid class on nearly
 every page are the site's own and go, and so do slots of links. Both are decided over all pages of a host, whatever their
-number, with the same paths on all other hosts as prior evidence of a few pages.
+number; for hosts of a few pages the same paths on all other hosts are prior evidence.
 
-Names of elements, classes and roles come second: they weigh a slot up or down, and inside the article they take out
-parts that are the smaller side of it. Only what an element rules out by itself (scripts, <nav>, hidden ones) never counts.
+A slot that a name, class or role gives to the site or the readers (comments, sidebars, forms, notices) is no article while
+any other slot has text, and its text, however long, neither counts for the slots around it nor stays in the article. What
+an element rules out by itself (scripts, <nav>, hidden ones) never counts.
 """
 
 from __future__ import annotations
@@ -207,6 +208,7 @@ def parse(page: str) -> tuple[list[Block], dict[int, Node]]:
             stack.append((tag, own))
             link_depth = link_depth or tag == "a"
     flush()
+    _keep_only_article(nodes)
     for b in blocks:
         if not b.node.hard:
             for n in b.node.chain():
@@ -215,6 +217,14 @@ def parse(page: str) -> tuple[list[Block], dict[int, Node]]:
     return blocks, nodes
 
 
+def _keep_only_article(nodes: dict[int, Node]) -> None:
+    """A page's one <article> or <main> is no part of what a name around it says; of several, those outside such parts are meant."""
+    found = [n for n in nodes.values() if n.tag in ARTICLE and not n.label]
+    if len(found) == 1:
+        for n in found[0].chain():
+            n.label = 0 if n.label == SOFT else n.label
+
+
 def text_token(block: Block) -> int:
     return xxhash.xxh3_64_intdigest(block.text, seed=block.node.path)
 
@@ -304,11 +314,12 @@ def host_tokens(vectors: DataFrame, least_share: float = 0.5) -> DataFrame:
 class Slot:
     """A node of the template: an element, whether each page has it once, and the text it holds."""
 
-    __slots__ = ("inside", "label", "links", "once", "parent", "path", "tag", "text", "varying")
+    __slots__ = ("inside", "label", "links", "once", "parent", "path", "tag", "text", "varying", "whole")
 
     def __init__(self, path: int, parent: int, tag: str, label: int, once: bool, text: float, links: float, own: float):
         self.path, self.parent, self.tag, self.label, self.once = path, parent, tag, label, once
         self.text, self.links, self.varying = max(text - links, 0.0), links, own  # own: of the host's pages alone
+        self.whole = self.text
         self.inside: list[Slot] = []
 
 
@@ -320,6 +331,22 @@ def nest(slots: dict[int, Slot]) -> Slot:
     return slots[0]
 
 
+def set_apart(root: Slot) -> None:
+    """Take the text of labelled slots out of themselves and all around them, if that leaves any; else labels count for nothing."""
+    order, todo = [], [root]
+    while todo:
+        order.append(todo.pop())
+        todo.extend(order[-1].inside)
+    for measure in ("text", "varying"):
+        lost = {}
+        for s in reversed(order):
+            own = max(getattr(s, measure), 0.0)
+            lost[s.path] = own if s.label and s.path else min(sum(lost[k.path] for k in s.inside), own)
+        if max(getattr(root, measure), 0.0) - lost[root.path] > 1e-9:
+            for s in order:
+                setattr(s, measure, max(getattr(s, measure) - lost[s.path], 0.0))
+
+
 def article_slot(root: Slot, measure: str, most: float = 0.5) -> Slot:
     """From the root down, as long as one slot holds at least `most` of the measure; names weigh slots up or down.
 
@@ -341,8 +368,8 @@ def article_slot(root: Slot, measure: str, most: float = 0.5) -> Slot:
         at = best
     while above:
         outer = above.pop()
-        beside = [s for s in outer.inside if s is not at and s.label < HARD]
-        if outer.tag in ARTICLE or beside and at.tag not in ARTICLE and all(s.tag in CONTENT and not s.label for s in beside):
+        beside = [s for s in outer.inside if s is not at and not s.label]
+        if outer.tag in ARTICLE or beside and at.tag not in ARTICLE and all(s.tag in CONTENT for s in beside):
             at = outer
         else:
             break
@@ -355,7 +382,8 @@ class Template:
     texts maps the text tokens of valid classes to (mean place among a page's texts, whether nearly each page has it once).
     """
 
-    def __init__(self, pages: int, tokens: list[dict], nearly: float = 0.9, prior: float = 4.0):
+    def __init__(self, pages: int, tokens: list[dict], nearly: float = 0.9, prior: float = 4.0, few: int = 10):
+        prior = prior if pages < few else 0.0
         groups = defaultdict(list)
         slots: dict[int, Slot] = {}
         for t in tokens:
@@ -374,9 +402,10 @@ class Template:
                         while at in slots:
                             slots[at].varying -= max(t["chars"] - t["links"], 0)
                             at = slots[at].parent if at else None
+        set_apart(root)
         self.at = _unsigned(article_slot(root, "text").path)
         self.varying = _unsigned(article_slot(root, "varying").path) if root.varying > 0 and pages > 1 else self.at
-        self.links = {_unsigned(s.path) for s in slots.values() if s.once and s.path and s.links > 4 * s.text and s.label < HARD}
+        self.links = {_unsigned(s.path) for s in slots.values() if s.once and s.path and s.links > 4 * s.whole and s.label < HARD}
 
     @classmethod
     def packed(cls, at: int, varying: int, links: list[int], texts: list[dict]) -> Template:
@@ -433,19 +462,22 @@ def own_template(nodes: dict[int, Node]) -> Template:
 def main_text(blocks: list[Block], template: Template | None) -> str:
     """Texts of the article's slot, in page order.
 
-    A page that lacks the template's slot, or has no text there, is decided by its own elements alone. Parts of the slot
-    that a name gives to the site or the readers, slots of links, and the site's own texts go, each only while it is the
-    smaller part of what is left, as what is most of an article is no label (pages that are copies share their articles).
-    Where no element marks the article and the slot is the one that varies, texts on nearly every page go whatever their part.
-    What varies over the pages is the page's own, too, where it is outside the slot that holds most of the text.
+    A page that lacks the template's slot, or has no text of its own there, is decided by its own elements alone. Parts that a
+    name gives to the site or the readers go, whatever their length, unless nothing else is left. Slots of links and the
+    site's own texts go only while they are the smaller part of what is left, as what is most of an article is no label
+    (pages that are copies share their articles). Where no element marks the article and the slot is the one that varies,
+    texts on nearly every page go whatever their part. What varies over the pages is the page's own, too, where it is
+    outside the slot that holds most of the text.
     """
     open_blocks = [b for b in blocks if not b.node.hard]
     if not open_blocks:
         return ""
     nodes = {n.path: n for b in open_blocks for n in b.node.chain()}
-    if template is None or template.at not in nodes:
+    clear = [b for b in open_blocks if not any(n.label for n in b.node.chain())]
+    named = not clear  # the whole page is in labelled parts: labels tell nothing
+    if template is None or not any(n.path == template.at for b in clear or open_blocks for n in b.node.chain()):
         template = own_template(nodes)
-    article = [b for b in open_blocks if any(n.path == template.at for n in b.node.chain())]
+    article = [b for b in (open_blocks if named else clear) if any(n.path == template.at for n in b.node.chain())]
     below = {p for p in {n.path for b in article for n in b.node.chain()} if p != template.at and any(n.path == template.at for n in nodes[p].chain())}
     rest = article
     for gone in ({p for p in below if nodes[p].label}, template.links & below):
@@ -460,7 +492,7 @@ def main_text(blocks: list[Block], template: Template | None) -> str:
             rest = part
         if template.varying != template.at and template.varying in nodes:
             taken = {id(b) for b in rest}
-            out = [b for b in open_blocks if not b.node.label and any(n.path == template.varying for n in b.node.chain()) and text_token(b) not in template.texts]
+            out = [b for b in clear if any(n.path == template.varying for n in b.node.chain()) and text_token(b) not in template.texts]
             taken |= {id(b) for b in out}
             rest = [b for b in open_blocks if id(b) in taken]
         elif template.varying == template.at:
