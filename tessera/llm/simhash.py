@@ -8,9 +8,9 @@ whose wildcard is that bit, so no link is lost.
 Links are kept as stars inside a bucket, as only reachability is asked for: a bucket of n fingerprints yields at most
 n - 1 edges, and no list of all pairs is ever made.
 
-similar_groups links texts by the Jaccard similarity of their shingle sets and takes fingerprints for its candidates only:
-s segments of each half of 128 bits, with one wildcard, find all pairs up to 4s - 1 bits apart, and most of those further
-apart.
+similar_groups links texts by the Jaccard similarity of their shingle sets. At a similarity of 0.8 fingerprints differ in a
+sixth of their bits, so segments short enough to agree are shared by a fixed part of all pairs. There candidates are
+gathered by bands of minimum hashes, whose keys texts share only if they share shingles; fingerprints rank them.
 """
 
 from __future__ import annotations
@@ -23,11 +23,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import scoped, stash, worker_cache
 from .components import components
 
 BITS, SEGMENT, SEED = 64, 32, 42
+#: Bands of so many minimum hashes each: a pair with a similarity of 0.8 shares one with a probability of 0.999, one of 0.4 with 0.05.
+BANDS, ROWS = 30, 7
+#: Sets of up to SHORT shingles have a minimum for each of as many hash functions, those of LONG or more one for each of as many bins; those between have both.
+LONG, SHORT = 1024, 1280
 GAP = re.compile(rb"[ \t-\r]")
 
 
@@ -227,10 +232,37 @@ def _second(hashes: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def _odd(n: int) -> np.ndarray:
+    """n fixed odd multipliers."""
+    z = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (z ^ (z >> np.uint64(27))) | np.uint64(1)
+
+
+TIMES = _odd(BANDS * ROWS)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """The bands of a sorted set of shingle hashes; two sets share a key only if all minima of a band agree."""
+    kinds, n = [], len(TIMES)
+    if 0 < len(shingles) <= SHORT:
+        kinds.append((0, (shingles[None, :] * TIMES[:, None]).min(axis=1)))
+    if len(shingles) >= LONG:
+        at = np.searchsorted(shingles, np.arange(n, dtype=np.uint64) * np.uint64((1 << 64) // n))
+        least = shingles[np.minimum(at, len(shingles) - 1)]
+        least[at == np.append(at[1:], len(shingles))] = np.uint64((1 << 64) - 1)  # an empty bin
+        kinds.append((BANDS, least))
+    return [_signed(xxhash.xxh3_64_intdigest(x[i * ROWS : (i + 1) * ROWS].tobytes(), seed=seed + i)) for seed, x in kinds for i in range(BANDS)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def shingle_sets(docs: DataFrame, words: int, id_col: str, text_col: str, with_sets: bool) -> DataFrame:
-    """(id, f1, f2, node) for each row: 128 bits of fingerprint over the set of shingles, and the set's hash; with_sets: the set itself as sorted 8-byte hashes, too."""
+    """(id, f1, f2, node) for each row: 128 bits of fingerprint over the set of shingles, and the set's hash; then the keys of its bands, or with_sets the set itself as sorted 8-byte hashes."""
     schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("f1", "long").add("f2", "long").add("node", "long")
-    schema = schema.add("shingles", "binary") if with_sets else schema
+    schema = schema.add("shingles", "binary") if with_sets else schema.add("bands", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("none", dict)  # other operators' caches are of no use here
@@ -240,40 +272,19 @@ def shingle_sets(docs: DataFrame, words: int, id_col: str, text_col: str, with_s
                 parts = [np.unique(np.array(p, np.uint64)) for p in shingle_blocks(t.as_py() or b"", words)]
                 own = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint64)
                 raw = own.tobytes()
-                row = (majority(bit_counts(own), len(own)), majority(bit_counts(_second(own)), len(own)), xxhash.xxh3_64_intdigest(raw), raw)
+                row = (majority(bit_counts(own), len(own)), majority(bit_counts(_second(own)), len(own)), xxhash.xxh3_64_intdigest(raw), raw if with_sets else band_keys(own))
                 for held, x in zip(out, row, strict=True):
                     held.append(x)
             cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(np.array(out[2], np.uint64).view(np.int64))]
-            cols += [pa.array(out[3], pa.binary())] if with_sets else []
+            cols.append(pa.array(out[3], pa.binary() if with_sets else pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=schema.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _places(segments: int) -> list[tuple[int, int, int]]:
-    """(bit, shift, mask) of the variants: a segment's bits but one."""
-    ends = [round(i * BITS / segments) for i in range(segments + 1)]
-    return [(at, lo, (1 << hi - lo) - 1 & ~(1 << at - lo)) for lo, hi in zip(ends, ends[1:], strict=False) for at in range(lo, hi)]
-
-
-def halves(nodes: DataFrame) -> DataFrame:
-    """Each node twice, with the half that is cut into segments as f1: the first 64 bits (half 0), then the last (half 1)."""
-    return nodes.withColumn("half", F.lit(0)).unionByName(nodes.withColumns({"f1": F.col("f2"), "f2": F.col("f1"), "half": F.lit(1)}))
-
-
-def segment_rows(nodes: DataFrame, segments: int) -> DataFrame:
-    """128 rows (key, f1, f2, node and what else is given) for each node: the segments of its halves, each without one of its bits."""
-    w = F.explode(F.array(*(F.struct(F.lit(a).alias("at"), F.lit(lo).alias("lo"), F.lit(m).cast("long").alias("mask")) for a, lo, m in _places(segments))))
-    key = "(shiftrightunsigned(f1, w.lo) & w.mask) | shiftleft(cast(half * 64 + w.at AS long), 32) AS key"
-    return halves(nodes).select("*", w.alias("w")).selectExpr(key, *nodes.columns)
-
-
-def _first_place(diff: np.ndarray, places: list[tuple[int, int, int]]) -> np.ndarray:
-    """The first variant that two fingerprints with these differing bits share; -1 if none. Only its bucket names the pair."""
-    out = np.full(len(diff), -1, np.int64)
-    for at, lo, mask in reversed(places):
-        out[(diff >> np.uint64(lo)) & np.uint64(mask) == 0] = at
-    return out
+def band_rows(nodes: DataFrame) -> DataFrame:
+    """A row (key, f1, f2, node and what else is given) for each band of each node."""
+    return nodes.select(F.explode("bands").alias("key"), *(c for c in nodes.columns if c != "bands"))
 
 
 def _near_rows(f1: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most_bits: int, small: int = 64, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -294,12 +305,12 @@ def _near_rows(f1: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most_bits:
             yield at + i + row, at + earlier
 
 
-def _candidates(distance: int, most: int, segments: int, known: bool, dealt: bool, least: float = 0.8):
+def _candidates(distance: int, most: int, known: bool, dealt: bool, least: float = 0.8):
     """Reads (key, f1, f2, node[, comp, size, shared][, home]) sorted by key; yields pairs (a, b, bits) with key null, and (key, a) for the ends of pairs beyond a node's `most` in the bucket (home).
 
     known: pairs within a component do not count, nor those whose shared shingles are too few for a similarity of `least`.
     """
-    places, apart = _places(segments), min(distance, 24)  # two texts 24 of 64 bits apart are alike by 0.3 at most
+    apart = min(distance, 26)  # of 64 bits; texts that are alike by 0.8 differ in about ten
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, f1, f2, nodes, *more in complete_buckets(batches):
@@ -312,10 +323,8 @@ def _candidates(distance: int, most: int, segments: int, known: bool, dealt: boo
                     both = np.minimum(shared[row], shared[earlier])
                     open_ = (comp[row] != comp[earlier]) & (both >= least * (size[row] + size[earlier] - both))
                     row, earlier = row[open_], earlier[open_]
-                diff = (f1[row] ^ f1[earlier]).view(np.uint64)
-                bits = np.bitwise_count(diff).astype(np.int32) + np.bitwise_count((f2[row] ^ f2[earlier]).view(np.uint64))
+                bits = np.bitwise_count((f1[row] ^ f1[earlier]).view(np.uint64)).astype(np.int32) + np.bitwise_count((f2[row] ^ f2[earlier]).view(np.uint64))
                 mine = (bits <= distance) & (nodes[row] != nodes[earlier])
-                mine[mine] = _first_place(diff[mine], places) == home[row[mine]] >> 32 & 63
                 if mine.any():
                     found.append((row[mine], earlier[mine], bits[mine]))
             if not found:
@@ -333,33 +342,28 @@ def _candidates(distance: int, most: int, segments: int, known: bool, dealt: boo
     return run
 
 
-def candidate_pairs(nodes: DataFrame, segments: int, distance: int, most: int, only: DataFrame | None = None, bucket_bound: int = 20_000, least: float = 0.8) -> DataFrame:
-    """Pairs (a, b, bits) of nodes (f1, f2, node[, comp, size, shared]) whose fingerprints agree, but for one bit, in a segment of one half and whose 128 bits differ in at most `distance`.
+def candidate_pairs(nodes: DataFrame, distance: int, most: int, only: DataFrame | None = None, bucket_bound: int = 20_000, least: float = 0.8) -> DataFrame:
+    """Pairs (a, b, bits) of nodes (bands, f1, f2, node[, comp, size, shared]) that share a band and whose 128 bits differ in at most `distance`.
 
-    A pair is named by the first bucket of each half that it shares, and there a node meets its `most` nearest earlier ones only; the
-    ends of the pairs beyond are returned with the bucket's key (key and a set), so that the caller may look there again.
-    `only` restricts to such keys. Buckets that may hold over bucket_bound nodes are counted first and dealt over tasks in
-    which every two of their parts meet.
+    In a band's bucket a node meets its `most` nearest earlier ones only; the ends of the pairs beyond are returned with
+    the bucket's key (key and a set), so that the caller may look there again; a pair may be named by several buckets.
+    `only` restricts to such keys. Buckets of more than bucket_bound nodes are dealt over tasks in which every two of
+    their parts meet.
     """
-    rows, known, shape = segment_rows(nodes, segments), "comp" in nodes.columns, "key long, a long, b long, bits int"
+    rows, known, shape = band_rows(nodes), "comp" in nodes.columns, "key long, a long, b long, bits int"
     if only is not None:
         rows = rows.join(only, "key", "left_semi")
-    ends = [round(i * BITS / segments) for i in range(segments + 1)]
-    seg = F.explode(F.array(*(F.struct("half", F.lit(lo).alias("lo"), F.expr(f"shiftrightunsigned(f1, {lo}) & {(1 << hi - lo) - 1}L").alias("seg")) for lo, hi in zip(ends, ends[1:], strict=False))))
-    crowded = stash(halves(nodes).select(seg.alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_bound / 2).select("s.half", "s.lo", "s.seg"), "crowded")
 
     def look(rows: DataFrame, dealt: bool) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key", "f1", "f2", "node").mapInArrow(_candidates(distance, most, segments, known, dealt, least), shape)
+        return rows.repartition("key").sortWithinPartitions("key", "f1", "f2", "node").mapInArrow(_candidates(distance, most, known, dealt, least), shape)
 
+    crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_bound)
+    crowded = stash(crowded.select("key", F.ceil(F.col("n") * 2 / bucket_bound).cast("int").alias("g")), "crowded")
     if crowded.isEmpty():
         return stash(look(rows, False), "candidates")
-    places = rows.sparkSession.createDataFrame(_places(segments), "at int, lo int, mask long")  # 64 rows
-    keys = crowded.join(F.broadcast(places), "lo").selectExpr("(seg & mask) | shiftleft(cast(half * 64 + at AS long), 32) AS key").distinct()
-    large = rows.join(keys, "key", "left_semi")
-    parts = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 2 / bucket_bound).cast("int").alias("g"))
-    dealt = large.join(parts, "key").withColumn("p", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = dealt.withColumn("home", F.col("key")).withColumn("key", F.xxhash64("home", F.least("p", "q"), F.greatest("p", "q"))).select(*rows.columns, "home")
-    return stash(look(rows.join(keys, "key", "left_anti"), False).union(look(dealt, True)), "candidates")
+    dealt = rows.join(crowded, "key").withColumn("p", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.withColumn("home", F.col("key")).withColumn("key", F.xxhash64("home", F.least("p", "q"), F.greatest("p", "q"))).select(*(c for c in rows.columns), "home")
+    return stash(look(rows.join(crowded, "key", "left_anti"), False).union(look(dealt, True)), "candidates")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -380,12 +384,11 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 @scoped
-def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, segments: int = 5, distance: int = 30, most: int = 1, id_col: str = "doc_id", text_col: str = "text", bucket_bound: int = 20_000) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, distance: int = 36, most: int = 1, id_col: str = "doc_id", text_col: str = "text", bucket_bound: int = 20_000) -> DataFrame:
     """One row per input row: id, component_id (the least id reachable over pairs of shingle similarity >= least, itself included).
 
-    A text has a fingerprint of 128 bits over its set of shingles. Candidates agree, but for one bit, in one of `segments`
-    segments of the first 64 bits or the last, and differ in at most `distance` of all 128; each pair between different components is
-    verified by the true Jaccard similarity of the sets. A node's nearest candidate is verified first, as pairs within a
+    A text has a fingerprint of 128 bits over its set of shingles, and bands of minimum hashes. Candidates share a band and
+    differ in at most `distance` of all 128 bits; each pair between different components is verified by the true Jaccard similarity of the sets. A node's nearest candidate is verified first, as pairs within a
     component found so need no second look. In a bucket a node meets its `most` nearest first; rounds over the buckets
     where one has more look at eight times as many of other components, until none has more. There a node's shingles that
     no other such node has bound its similarity, which rules pairs out without naming them. So no candidate between two
@@ -396,8 +399,8 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, segments
     * very long texts: shingled in blocks; what grows with a text is the set of its hashes, 8 bytes each.
     """
     rows = stash(shingle_sets(docs, words, id_col, text_col, False), "fingerprints")
-    nodes = stash(rows.groupBy("node").agg(F.min("f1").alias("f1"), F.min("f2").alias("f2"), F.min("doc_id").alias("least")), "nodes")
-    found = candidate_pairs(nodes.select("f1", "f2", "node"), segments, distance, most, bucket_bound=bucket_bound)
+    nodes = stash(rows.groupBy("node").agg(F.min("f1").alias("f1"), F.min("f2").alias("f2"), F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "nodes")
+    found = candidate_pairs(nodes.select("bands", "f1", "f2", "node"), distance, most, bucket_bound=bucket_bound)
     ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
     pairs = stash(_once(found), "pairs")
     sets = _sets(docs, nodes.join(ends(pairs), "node", "left_semi"), words, id_col, text_col)
@@ -412,8 +415,8 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, segments
         if facts is None:  # later rounds are about some of the same nodes
             sets = sets.union(_sets(docs, hard.join(sets.select("node"), "node", "left_anti"), words, id_col, text_col))
             facts = stash(_shared(sets.join(hard.select("node"), "node", "left_semi")), "facts")
-        at = hard.join(label, "node", "left").join(facts, "node").select("f1", "f2", "node", F.coalesce("component", "node").alias("comp"), "size", "shared")
-        found = candidate_pairs(at, segments, distance, most, left.select("key").distinct(), bucket_bound, least)
+        at = hard.join(label, "node", "left").join(facts, "node").select("bands", "f1", "f2", "node", F.coalesce("component", "node").alias("comp"), "size", "shared")
+        found = candidate_pairs(at, distance, most, left.select("key").distinct(), bucket_bound, least)
         fresh = stash(_once(found).select("a", "b").join(seen, ["a", "b"], "left_anti"), "pairs")
         if not fresh.isEmpty():
             seen, sure = seen.union(fresh), sure.union(stash(_alike(fresh, sets, least), "sure"))

@@ -339,20 +339,35 @@ def test_similar_groups_equal_brute_force(spark, odd, none):
 
 
 @pytest.mark.parametrize("most", [1, 4, 1000])
-def test_candidates_name_each_pair_once(most):
+def test_buckets_name_their_pairs(most):
     r = random.Random(most)
     fps = [(r.getrandbits(64), r.getrandbits(64)) for _ in range(3)]
     fps = np.array([[f[h] ^ sum(1 << b for b in r.sample(range(64), r.randrange(9))) for h in (0, 1)] for f in fps for _ in range(60)], np.uint64).view(np.int64)
-    comp = np.arange(180) % 7
-    rows = sorted(((int(f1) >> lo) & mask | at << 32, int(f1), int(f2), n, int(comp[n]), 10, 10) for n, (f1, f2) in enumerate(fps) for at, lo, mask in simhash._places(5))
-    batch = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + 999], strict=True)], names=["key", "f1", "f2", "node", "comp", "size", "shared"]) for at in range(0, len(rows), 999)]
-    got = [x for b in simhash._candidates(30, most, 5, True, False)(iter(batch)) for x in b.to_pylist()]
-    pairs = [tuple(sorted((x["a"], x["b"]))) for x in got if x["key"] is None]
+    comp, keys = np.arange(180) % 7, [[n % 5, 10 + n % 3, 20 + n % 2] for n in range(180)]
+    rows = sorted((k, int(f1), int(f2), n, int(comp[n]), 10, 10) for n, (f1, f2) in enumerate(fps) for k in keys[n])
+    batch = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + 99], strict=True)], names=["key", "f1", "f2", "node", "comp", "size", "shared"]) for at in range(0, len(rows), 99)]
+    got = [x for b in simhash._candidates(30, most, True, False)(iter(batch)) for x in b.to_pylist()]
+    pairs = {tuple(sorted((x["a"], x["b"]))) for x in got if x["key"] is None}
     u = fps.view(np.uint64).tolist()
-    near = lambda i, j: (u[i][0] ^ u[j][0]).bit_count() + (u[i][1] ^ u[j][1]).bit_count() <= 30 and any(((u[i][0] ^ u[j][0]) >> lo & mask) == 0 for _, lo, mask in simhash._places(5))
+    near = lambda i, j: (u[i][0] ^ u[j][0]).bit_count() + (u[i][1] ^ u[j][1]).bit_count() <= 30 and set(keys[i]) & set(keys[j])
     want = {(i, j) for j in range(180) for i in range(j) if comp[i] != comp[j] and near(i, j)}
-    assert len(pairs) == len(set(pairs)) and set(pairs) <= want
-    assert set(pairs) == want if most == 1000 else any(x["key"] is not None for x in got)
+    assert pairs <= want and (pairs == want if most == 1000 else any(x["key"] is not None for x in got))
+
+
+def test_bands_compare_few_pairs_and_find_similar_ones():
+    """Of unlike texts hardly any two share a bucket, at any number of them; of texts with a similarity of 0.8 nearly all do, whatever their length."""
+    r = np.random.default_rng(4)
+    for n in (500, 1000, 2000):
+        buckets = Counter(k for _ in range(n) for k in simhash.band_keys(np.unique(r.integers(0, 1 << 63, 60, np.int64).view(np.uint64))))
+        assert sum(c * (c - 1) // 2 for c in buckets.values()) <= n // 100
+    for size in (30, 300, 950, 1024, 1150, 1280, 1400, 6000):
+        hit = 0
+        for _ in range(60):
+            whole = r.integers(0, 1 << 63, size + size // 9, np.int64).view(np.uint64) * np.uint64(2)
+            x, y = np.unique(whole[:size]), np.unique(whole[size // 9 :])
+            assert 0.79 < len(np.intersect1d(x, y)) / len(np.union1d(x, y)) < 0.82
+            hit += bool(set(simhash.band_keys(x)) & set(simhash.band_keys(y)))
+        assert hit >= 58
 
 
 def test_large_groups_of_near_copies_are_joined_whole(spark):
