@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import rules, shipped
 from tessera.operators import asof, gazetteer, names
 from tessera.plans.catalog import query
+from tessera.sources import contracts
 from tessera.sources.tables import read
 
 #: What is asked after each turn of a conversation, so that every rule is met; the first ones are whole questions.
@@ -137,3 +138,30 @@ def ver2_states(spark, sf):
     content = F.concat(F.lit("自"), F.date_format(day, "yyyy/M/d"), F.lit("起施行, 2099-01-01"))
     found = asof.version_issue(status, begun, until, content, F.lit("1997年1月1日"))
     return read(spark, sf, "orders").select("o_orderkey", found["issue"].alias("issue"), found["verdict"].alias("verdict"))
+
+
+#: What an event's text must be.
+EVENT = {
+    "type": "object", "required": ["event_id", "event_type", "user"], "additionalProperties": False,
+    "properties": {
+        "event_id": {"type": "string"}, "event_type": {"type": "string", "enum": ["view", "click", "purchase", "signup"]}, "value": {"type": ["integer", "null"], "minimum": 0, "maximum": 100},
+        "user": {"type": "object", "required": ["id"], "properties": {"id": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}}}},
+    },
+}
+
+
+@query("""WITH e AS (SELECT event_id % 8 AS m, event_type, CAST(floor(value) AS BIGINT) AS v FROM events)
+ SELECT '$.event_type' AS path, 'required' AS rule, count(*) AS n FROM e WHERE m = 1 UNION ALL SELECT '$.event_id', 'type', count(*) FROM e WHERE m = 2 UNION ALL SELECT '$.user.id', 'required', count(*) FROM e WHERE m = 3
+ UNION ALL SELECT '$.user.tags[*]', 'type', count(*) FROM e WHERE m = 3 UNION ALL SELECT '$.value', 'minimum', count(*) FROM e WHERE m = 4 UNION ALL SELECT '$.value', 'maximum', count(*) FROM e WHERE v > 100 AND m NOT IN (4, 6)
+ UNION ALL SELECT '$.x', 'additionalProperties', count(*) FROM e WHERE m = 5 UNION ALL SELECT '$', 'json', count(*) FROM e WHERE m = 6 UNION ALL SELECT '$.user', 'type', count(*) FROM e WHERE m = 7
+ UNION ALL SELECT '$.event_type', 'enum', count(*) FROM e WHERE event_type = 'error' AND m NOT IN (1, 6)""")
+def snk6_contract(spark, sf):
+    """Events as JSON texts with a fault each, by the schema's rules."""
+    m, s = F.col("event_id") % 8, lambda c: F.col(c).cast("string")
+    kind = F.when(m == 1, "").otherwise(F.concat(F.lit('"event_type": "'), "event_type", F.lit('", ')))
+    name = F.when(m == 2, s("event_id")).otherwise(F.concat(F.lit('"'), s("event_id"), F.lit('"')))
+    user = F.when(m == 3, '{"tags": ["t", 1]}').when(m == 7, "null").otherwise(F.concat(F.lit('{"id": '), s("user_id"), F.lit(', "tags": ["t"]}')))
+    value = F.when(m == 4, "-1").otherwise(F.floor("value").cast("long").cast("string"))
+    end = F.when(m == 5, ', "x": 1}').when(m == 6, "").otherwise("}")
+    text = F.concat(F.lit('{"event_id": '), name, F.lit(", "), kind, F.lit('"user": '), user, F.lit(', "value": '), value, end)
+    return contracts.summary(read(spark, sf, "events").select(text.alias("text")), "text", EVENT)
