@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.scalars import tokens
+from tessera.sources.rounds import settle
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -37,30 +39,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def term_statistics(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df, idf, avgdl) of the wanted terms(term) that occur, from one pass over the texts.
-
-    Only wanted terms are counted, each once a text, and combined in each task before the shuffle. A row without a term
-    stands for each text and carries its length.
-    """
-    words = docs.select(tokens(F.col(text)).alias("w"))
-    each = words.select(F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("w"))).alias("term"))
-    wanted = F.broadcast(terms.select("term", F.lit(True).alias("_wanted")))
-    kept = each.join(wanted, "term", "left").filter(F.col("term").isNull() | F.col("_wanted"))
-    n = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("dl").alias("avgdl"))
-    total = n.filter("term IS NULL").select(F.col("df").cast("double").alias("_n"), F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"))
-    found = n.filter("term IS NOT NULL").drop("avgdl").join(F.broadcast(total), F.lit(True))  # one row
-    return found.select("term", "df", F.log((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"), "avgdl")
-
-
-def bm25_search(docs: DataFrame, queries: DataFrame, top_k: int, key: str = "doc_id", text: str = "text", most_sent: int = 1_000_000) -> DataFrame:
+def bm25_search(docs: DataFrame, queries: DataFrame, top_k: int, key: str = "doc_id", text: str = "text", most_sent: int = 1_000_000, block: int = 1024) -> DataFrame:
     """(query_id, key, score, rank) of the top_k documents of each query(query_id, query).
 
     A term that a query repeats counts as often. Scores are rounded to 6 digits; ties go to the smaller key.
 
-    Up to most_sent query terms go to all tasks. A task then scores its documents in blocks, a term at a time, and keeps
-    the top_k of each query, so neither postings nor pairs of queries and documents are shuffled. More query terms join
-    the postings instead, of which only those of a query term are shuffled.
+    Up to most_sent query terms go to all tasks. Texts are then tokenised once, into the query terms they hold, which are
+    written; document frequencies come from there. A task scores blocks of `block` documents against blocks of as many
+    queries, a term at a time, and passes on what may be among the top_k of all, so neither postings nor pairs of queries
+    and documents are shuffled, and memory is bounded by the block. More query terms join the postings instead, of which
+    only those of a query term are shuffled.
     """
     asked = query_terms(queries)
     if asked.count() > most_sent:
@@ -69,54 +57,91 @@ def bm25_search(docs: DataFrame, queries: DataFrame, top_k: int, key: str = "doc
     names = {t: i for i, t in enumerate(sorted(set(pdf["term"])))}
     ids = sorted(set(pdf["query_id"]))
     of = {q: i for i, q in enumerate(ids)}
-    rows = np.array(sorted((names[t], of[q], n) for q, t, n in zip(pdf["query_id"], pdf["term"], pdf["qtf"], strict=True)), np.int64).reshape(-1, 3)
     spark = docs.sparkSession
-    wanted = spark.createDataFrame([(t,) for t in names], "term string")
-    facts = term_statistics(docs, wanted, text).collect()  # a row a query term
-    idf, avgdl = np.zeros(len(names)), facts[0]["avgdl"] if facts else 1.0
-    for r in facts:
-        idf[names[r["term"]]] = r["idf"]
-    starts = np.searchsorted(rows[:, 0], np.arange(len(names) + 1))
-    sent = spark.sparkContext.broadcast((names, ids, idf, rows[:, 1], rows[:, 2].astype(float), starts))
-    id_kind, key_kind = queries.schema["query_id"].dataType, docs.schema[key].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, ids, idf, query, qtf, starts = sent.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                yield _block_scores(b, names, ids, idf, query, qtf, starts, avgdl, top_k, id_type)
-
-    id_type = pa.int64() if id_kind.simpleString() == "bigint" else pa.int32() if id_kind.simpleString() == "int" else pa.string()
-    shape = f"query_id {id_kind.simpleString()}, `{key}` {key_kind.simpleString()}, score double"
-    scored = docs.select(F.col(key), tokens(F.col(text)).alias("w")).mapInArrow(run, shape)
+    known = spark.sparkContext.broadcast(names)
+    key_kind, id_kind = docs.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    words = spread(docs.select(key, text)).select(key, tokens(F.col(text)).alias("w"))
+    held = settle(words.mapInArrow(_held_terms(known), f"`{key}` {key_kind}, dl int, term array<int>, tf array<int>"))
+
+    total = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    idf = np.zeros(len(names))
+    for term, df in held.select(F.explode("term").alias("term")).groupBy("term").count().collect():  # a row a query term
+        idf[term] = np.log((total["n"] - df + 0.5) / (df + 0.5) + 1)
+    rows = np.array([(of[q] // block, names[t], of[q], n) for q, t, n in zip(pdf["query_id"], pdf["term"], pdf["qtf"], strict=True)], np.int64).reshape(-1, 4)
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    sent = spark.sparkContext.broadcast((ids, idf, rows))
+    id_type = pa.int64() if id_kind == "bigint" else pa.int32() if id_kind == "int" else pa.string()
+    scored = held.mapInArrow(_scored(sent, total["avgdl"] or 1.0, top_k, block, id_type), f"query_id {id_kind}, `{key}` {key_kind}, score double")
     return top(scored, top_k, "query_id", key)
 
 
-def _block_scores(b: pa.RecordBatch, names: dict, ids: list, idf: np.ndarray, query: np.ndarray, qtf: np.ndarray, starts: np.ndarray, avgdl: float, top_k: int, id_type: pa.DataType) -> pa.RecordBatch:
-    """The top_k of each query among the documents (key, w) of a block; of equal scores those of the smaller keys."""
-    keys, lists = b.column(0), b.column(1)
-    n = np.diff(lists.offsets.to_numpy())
-    if lists.null_count:
-        n = np.where(lists.is_valid().to_numpy(zero_copy_only=False), n, 0)
-    flat = lists.flatten().dictionary_encode()
-    place = np.array([names.get(t, -1) for t in flat.dictionary.to_pylist()], np.int64)
-    term, doc = place[flat.indices.to_numpy()], np.repeat(np.arange(len(n)), n)
-    kept = term >= 0
-    cell, tf = np.unique(term[kept] * len(n) + doc[kept], return_counts=True)
-    term, doc = np.divmod(cell, max(len(n), 1))
-    gain = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[doc] / avgdl))
-    scores = np.zeros((len(ids), len(n)))
-    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(term)], strict=False):
-        own = slice(starts[term[lo]], starts[term[lo] + 1])
-        scores[np.ix_(query[own], doc[lo:hi])] += qtf[own, None] * gain[lo:hi]
-    order = np.argsort(np.array(keys.to_pylist(), dtype=object if pa.types.is_string(keys.type) else None), kind="stable")
-    rounded = scores[:, order].round(6)
-    best = np.argsort(-rounded, axis=1, kind="stable")[:, :top_k]
-    got = np.take_along_axis(rounded, best, 1)
-    q, c = np.nonzero(got > 0)
-    return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], id_type), keys.take(pa.array(order[best[q, c]])), pa.array(got[q, c])], names=["query_id", b.schema.names[0], "score"])
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where fewer partitions hold them, as one small file does; larger inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def _held_terms(known):
+    """Of each row (key, w) the number of words, and the known terms among them with their frequencies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = known.value
+        for b in batches:
+            lists = b.column(1)
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            flat = lists.flatten().dictionary_encode()
+            place = np.array([names.get(t, -1) for t in flat.dictionary.to_pylist()], np.int64)
+            term, doc = place[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64), np.repeat(np.arange(len(n)), n)
+            cell, tf = np.unique(doc[term >= 0] * max(len(names), 1) + term[term >= 0], return_counts=True)
+            limits = pa.array(np.searchsorted(cell, np.arange(len(n) + 1) * max(len(names), 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(limits, pa.array(x.astype(np.int32))) for x in (cell % max(len(names), 1), tf)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32)), *lists], names=[b.schema.names[0], "dl", "term", "tf"])
+
+    return run
+
+
+def _best(scores: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest positive scores, of equal ones the earlier columns, if not below the row's floor."""
+    if scores.shape[1] > k:
+        floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
+    r, c = np.nonzero((scores > 0) & (scores >= floor[:, None]))
+    order = np.lexsort((c, -scores[r, c], r))
+    r, c = r[order], c[order]
+    nth = np.arange(len(r)) - np.searchsorted(r, r)
+    return r[nth < k], c[nth < k]
+
+
+def _scored(sent, avgdl: float, top_k: int, block: int, id_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, idf, asked = sent.value
+        chunks = np.searchsorted(asked[:, 0], np.arange(-(-len(ids) // block) + 1))
+        kept = np.zeros((len(ids), top_k))  # each query's best scores of the task so far, the least of them first
+        for b in (whole.slice(at, block) for whole in batches for at in range(0, whole.num_rows, block)):
+            b = b.take(pc.sort_indices(b.column(0)))
+            term, tf, n = b.column("term").flatten().to_numpy(), b.column("tf").flatten().to_numpy(), b.column("dl").to_numpy()
+            doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("term")).to_numpy())
+            order = np.argsort(term, kind="stable")
+            term, tf, doc = term[order], tf[order], doc[order]
+            gain = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[doc] / avgdl))
+            for chunk in range(len(chunks) - 1):
+                own = asked[chunks[chunk] : chunks[chunk + 1]]
+                base, size = chunk * block, min(block, len(ids) - chunk * block)
+                scores = np.zeros((size, b.num_rows))
+                terms = np.unique(own[:, 1])
+                spans = zip(*(np.searchsorted(x, terms, side) for x in (own[:, 1], term) for side in ("left", "right")), strict=True)
+                for q0, q1, d0, d1 in spans:
+                    if d1 > d0:
+                        scores[np.ix_(own[q0:q1, 2] - base, doc[d0:d1])] += own[q0:q1, 3, None] * gain[d0:d1]
+                scores = scores.round(6)
+                best = kept[base : base + size]
+                r, c = _best(scores, top_k, best[:, 0])
+                if len(r):
+                    more = np.zeros((size, top_k))
+                    more[r, np.arange(len(r)) - np.searchsorted(r, r)] = scores[r, c]
+                    kept[base : base + size] = np.sort(np.concatenate((best, more), axis=1), axis=1)[:, -top_k:]
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[base + i] for i in r.tolist()], id_type), b.column(0).take(pa.array(c)), pa.array(scores[r, c])], names=["query_id", b.schema.names[0], "score"])
+
+    return run
 
 
 def _joined_scores(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
@@ -138,12 +163,12 @@ def top(hits: DataFrame, k: int, by: str, key: str) -> DataFrame:
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, top_k: int, least: float = 0.0, block: int = 1024) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, top_k: int, least: float = 0.0, block: int = 1024, piece: int = 20_000) -> DataFrame:
     """(query_id, vec_id, score, rank): exact nearest rows by inner product; scores to 6 digits, ties to the smaller vec_id.
 
     queries(query_id, embedding) of any number are put into blocks of `block`, a row each, by a range of their ids; every
-    block meets every part of the vectors in one task, which keeps its top_k a query before the shuffle. Nothing is
-    collected: the vectors are read once and repeated for the blocks, the query set being a stated one.
+    block meets every part of the vectors, some `piece` rows at most, in one task, which keeps its top_k a query before the
+    shuffle. Nothing is collected: the vectors are read once and repeated for the blocks, the query set being a stated one.
     """
     n = max(1, -(-queries.count() // block))
     if n == 1:
@@ -151,7 +176,7 @@ def knn(vectors: DataFrame, queries: DataFrame, top_k: int, least: float = 0.0,
     else:
         blocks = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("block"), "query_id", "embedding")
     packed = blocks.groupBy("block").agg(F.collect_list("query_id").alias("ids"), F.flatten(F.collect_list(F.col("embedding").cast("array<double>"))).alias("q"))
-    parts = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
+    parts = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // piece))
     held = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -163,10 +188,8 @@ def knn(vectors: DataFrame, queries: DataFrame, top_k: int, least: float = 0.0,
         x, names, out = x[order], names[order], []
         for at in range(0, len(ids), 256):
             s = (q[at : at + 256] @ x.T).round(6)
-            best = np.argsort(-s, axis=1, kind="stable")[:, :top_k]
-            got = np.take_along_axis(s, best, 1)
-            r, c = np.nonzero(got > least)
-            out.append(pd.DataFrame({"query_id": ids[at : at + 256][r], "vec_id": names[best[r, c]], "score": got[r, c]}))
+            r, c = _best(np.where(s > least, s - least, 0.0), top_k, np.zeros(len(s)))
+            out.append(pd.DataFrame({"query_id": ids[at : at + 256][r], "vec_id": names[c], "score": s[r, c]}))
         return pd.concat(out)
 
     left = held.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

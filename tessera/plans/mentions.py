@@ -1,13 +1,13 @@
-"""Queries on what texts mention: the shipped rules over questions made from conversations, gazetteers over documents."""
+"""Queries of gazetteers and shipped rules, as-of joins, contracts, merges and stored links."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tessera.functions import rules, shipped
-from tessera.operators import asof, gazetteer, names
-from tessera.plans.catalog import query
-from tessera.sources import contracts
+from tessera.operators import asof, gazetteer, links, names
+from tessera.plans.catalog import CHUNKS, chunks, query
+from tessera.sources import contracts, merge
 from tessera.sources.tables import read
 
 #: What is asked after each turn of a conversation, so that every rule is met; the first ones are whole questions.
@@ -165,3 +165,54 @@ def snk6_contract(spark, sf):
     end = F.when(m == 5, ', "x": 1}').when(m == 6, "").otherwise("}")
     text = F.concat(F.lit('{"event_id": '), name, F.lit(", "), kind, F.lit('"user": '), user, F.lit(', "value": '), value, end)
     return contracts.summary(read(spark, sf, "events").select(text.alias("text")), "text", EVENT)
+
+
+@query("""WITH o AS (SELECT c_custkey AS k, c_custkey + 1000 AS id, '2020' AS created, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_custkey % 2 = 0),
+ n AS (SELECT c_custkey AS k, '2024' AS created, upper(c_name) AS name, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE lower(c_mktsegment) END AS segment FROM customer WHERE c_custkey % 3 = 0)
+ SELECT k, id, created, coalesce(n.name, o.name) AS name, CASE WHEN n.segment <> '' THEN n.segment ELSE o.segment END AS segment FROM (SELECT k, id, created, name, segment FROM o) o LEFT JOIN (SELECT k, name, segment FROM n) n USING (k) UNION ALL
+ SELECT k, (SELECT max(id) FROM o) + row_number() OVER (ORDER BY k), created, name, segment FROM n WHERE k NOT IN (SELECT k FROM o)""")
+def src7_merge(spark, sf):
+    """Customers merged with later rows: ids and creation times of those that are there stay, empty segments keep the old one, new rows are numbered on."""
+    c = read(spark, sf, "customer")
+    old = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") + 1000).alias("id"), F.lit("2020").alias("created"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    new = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.lit("2024").alias("created"), F.upper("c_name").alias("name"), F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.lower("c_mktsegment")).alias("segment"))
+    return merge.merge(old, new, "k", rules={"created": "old", "segment": "filled"}, number="id")
+
+
+@query(f"""WITH {CHUNKS}, g AS (SELECT doc_id FROM labels WHERE quality = 0) SELECT 'document' AS kind, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM g)
+ UNION ALL SELECT 'chunk', chunk_id FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM g)""")
+def src10_both(spark, sf):
+    """Documents and their chunks without those that tombstones name."""
+    left = merge.without({"document": read(spark, sf, "documents"), "chunk": chunks(spark, sf)}, read(spark, sf, "labels").filter("quality = 0"), "doc_id")
+    ids = [left[kind].select(F.lit(kind).alias("kind"), F.col(c).alias("id")) for kind, c in (("document", "doc_id"), ("chunk", "chunk_id"))]
+    return ids[0].unionByName(ids[1])
+
+
+LINKED = f"""{CHUNKS}, l AS (SELECT *, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id, CASE WHEN pos % 4 <> 0 THEN doc_id * 100000 + pos - pos % 4 END AS up FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ k AS (SELECT l.*, p.chunk_id AS parent_id FROM l LEFT JOIN chunks p ON p.chunk_id = l.up)"""
+
+
+def linked(spark, sf):
+    """Chunks with stored links: every fourth line of a document is the parent of those up to the next; a blank one leaves roots."""
+    c = links.auto_link(chunks(spark, sf)).withColumn("up", F.when(F.col("pos") % 4 != 0, F.col("chunk_id") - F.col("pos") % 4))
+    known = c.select(F.col("chunk_id").alias("parent_id"))
+    return c.join(known, c["up"] == known["parent_id"], "left")
+
+
+@query(f"""WITH {LINKED} SELECT chunk_id, 0 AS distance, chunk_id AS near_id FROM k UNION ALL SELECT chunk_id, -1, prev_id FROM k WHERE prev_id IS NOT NULL UNION ALL SELECT chunk_id, 1, next_id FROM k WHERE next_id IS NOT NULL
+ UNION ALL SELECT k.chunk_id, -2, p.prev_id FROM k JOIN k p ON p.chunk_id = k.prev_id WHERE p.prev_id IS NOT NULL UNION ALL SELECT k.chunk_id, 2, p.next_id FROM k JOIN k p ON p.chunk_id = k.next_id WHERE p.next_id IS NOT NULL""")
+def jn6_walk(spark, sf):
+    """The neighbours of every chunk along its stored links, two steps to each side."""
+    c = linked(spark, sf)
+    return links.walk(c, c)
+
+
+@query(f"""WITH {LINKED}, s AS (SELECT doc_id, parent_id, list(chunk_id ORDER BY chunk_id) AS kin FROM k GROUP BY ALL)
+ SELECT k.chunk_id, md5(k.content) AS chunk, md5(p.content) AS parent, md5(a.content) AS prev, md5(b.content) AS next, coalesce(array_to_string(c.kin, ','), '') AS children, array_to_string(s.kin, ',') AS siblings
+ FROM k LEFT JOIN k p ON p.chunk_id = k.parent_id LEFT JOIN k a ON a.chunk_id = k.prev_id LEFT JOIN k b ON b.chunk_id = k.next_id LEFT JOIN s c ON c.parent_id = k.chunk_id
+ LEFT JOIN s ON s.doc_id = k.doc_id AND s.parent_id IS NOT DISTINCT FROM k.parent_id""")
+def jn7_bundles(spark, sf):
+    """Every chunk with its parent, neighbours, children and siblings by the stored links; a root's siblings are its document's roots."""
+    c = linked(spark, sf)
+    texts = [F.md5(x).alias(x) for x in ("chunk", "parent", "prev", "next")]
+    return links.bundles(c, c).select("chunk_id", *texts, F.array_join("children", ",").alias("children"), F.array_join("siblings", ",").alias("siblings"))
