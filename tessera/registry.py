@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import built, mentions, more, questions, wider
+from tessera.plans import built, mentions, more, questions, search, wider
 from tessera.plans.catalog import CATALOG, flagship
 
-__all__ = ["built", "flagship", "mentions", "more", "oracle_sql", "queries", "questions", "wider"]
+__all__ = ["built", "flagship", "mentions", "more", "oracle_sql", "queries", "questions", "search", "wider"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
