@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators import containment
+
 # Weights of norm levels, version states, and the parts of the sufficiency score.
 AUTHORITY = {"law": 1.0, "regulation": 0.9, "department_rule": 0.75, "normative_document": 0.6, "other": 0.4}
 VERSION = {"active": 1.0, "superseded": 0.3, "other": 0.5}
@@ -30,30 +32,9 @@ def dedup_contents(hits: DataFrame) -> DataFrame:
     return first_by(hits, F.md5(F.trim("content")), [F.desc("score"), F.col("idx")])
 
 
-def dedup_contained(hits: DataFrame, shortest: int = 10, grams: tuple[int, ...] = (10,)) -> DataFrame:
-    """Drop contents that a longer content contains strictly (both of at least `shortest` characters).
-
-    A contained text's beginning occurs in its container, so candidates meet by an equality join on its hash, as long as
-    the longest of `grams` that fits, and are verified on the texts. Contents are joined once, whatever their copies.
-    Where many texts begin alike, add longer grams, such as (10, 40): fewer candidates for about twice the hashes. The
-    shortest gram must not exceed `shortest`.
-    """
-    once = hits.filter(F.length("content") >= shortest).groupBy("content").agg(F.min("idx").alias("sid"))
-    size = F.length("content")
-    fits = F.coalesce(*(F.when(size >= n, F.lit(n)) for n in sorted(grams, reverse=True)))
-    small = once.select("sid", "content", F.xxhash64(fits, F.substr("content", F.lit(1), fits)).alias("g"))
-    outer = once.select(F.col("sid").alias("oid"), F.col("content").alias("outer_content"))
-    room = F.length("outer_content")
-
-    def places(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(room - n + 1, F.lit(1)))
-        return F.when(room > n, F.transform(at, lambda i: F.xxhash64(F.lit(n), F.substr("outer_content", i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
-
-    found = outer.select("oid", F.explode(F.array_distinct(F.concat(*(places(n) for n in grams)))).alias("g"))
-    wanted = found.join(small.select("g").distinct(), "g", "left_semi")
-    pairs = small.join(wanted, "g").filter("sid <> oid").join(outer, "oid")
-    inside = pairs.filter((F.length("outer_content") > F.length("content")) & F.contains("outer_content", "content"))
-    gone = inside.select(F.col("content").alias("_gone")).distinct()
+def dedup_contained(hits: DataFrame) -> DataFrame:
+    """Drop contents that a longer content contains (both of at least ten characters). Contents are joined once, whatever their copies."""
+    gone = containment.contained(hits.select("content")).select(F.col("content").alias("_gone"))
     return hits.join(gone, F.col("content") == F.col("_gone"), "left_anti")
 
 
