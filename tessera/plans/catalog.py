@@ -309,9 +309,8 @@ def agg4_ranking_metrics(spark, sf):
     e = read(spark, sf, "embeddings")
     w = Window.partitionBy("query_id").orderBy("rank")
     hits = knn(spark, sf, 11).filter("vec_id <> query_id").select("query_id", F.col("vec_id").alias("item"), F.row_number().over(w).alias("rank"))
-    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    rel = asked.join(e.select(F.col("vec_id").alias("item"), "label"), "label").filter("item <> query_id").select("query_id", "item")
-    return measures.ranking_metrics(hits, rel)
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("class"))
+    return measures.class_metrics(hits, e.select(F.col("vec_id").alias("item"), F.col("label").alias("class")), asked)
 
 
 @query("SELECT event_type, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most, max(value) FILTER (WHERE place = floor(n * 0.5)) AS p50, max(value) FILTER (WHERE place = floor(n * 0.95)) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
