@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars
-from tessera.operators import evidence, filters, graph, links, measures, retrieval, states
+from tessera.operators import evidence, filters, graph, links, measures, retrieval, states, tables
 from tessera.plans import routing
 from tessera.sources.tables import lines_as_chunks, read, upsert, wide_vectors
 from tessera.streaming import events as streams
@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, tuple[Query, str]] = {}
 
 CHUNKS = """chunks AS (
-  SELECT doc_id * 100000 + pos AS chunk_id, doc_id, pos, content, source, lang FROM (
+  SELECT doc_id * 4294967296 + pos AS chunk_id, doc_id, pos, content, source, lang FROM (
     SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS content,
            generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) WHERE trim(content) <> '')"""
 WORDS = "list_filter(string_split(trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda t: t <> '')"
@@ -273,10 +273,8 @@ def tab1_markdown(spark, sf):
     row = F.format_string("| %d | %s |", "n_nationkey", "n_name")
     text = read(spark, sf, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("row")))).alias("rows"))
     text = text.select(F.col("n_regionkey").alias("table_id"), F.concat(F.lit("| key | name |\n|---|---|\n"), F.array_join(F.col("rows.row"), "\n")).alias("content"))
-    lines = F.filter(F.split("content", "\n"), lambda x: x.contains("|") & ~x.rlike(r"^[\s|:-]+$"))
-    cells = text.select("table_id", F.posexplode(F.slice(lines, 2, 100_000)).alias("row_index", "line"))
-    parts = F.transform(F.split(F.trim(F.regexp_replace("line", r"^\s*\||\|\s*$", "")), r"\|"), lambda x: F.trim(x))
-    return cells.select("table_id", F.col("row_index").cast("long").alias("row_index"), parts[1].alias("name"), parts[0].alias("key"))
+    parsed = tables.parse(text.withColumn("chunk_id", F.lit(0)))
+    return parsed.select("table_id", F.col("row_index").cast("long").alias("row_index"), F.get("cells", 1).alias("name"), F.get("cells", 0).alias("key"))
 
 
 @query("SELECT s_suppkey FROM supplier WHERE contains(lower(concat_ws(' ', CAST(s_suppkey AS VARCHAR), s_name)), '00')")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import rules, shipped
-from tessera.operators import asof, gazetteer, links, names
+from tessera.operators import asof, gazetteer, links, names, tables
 from tessera.plans.catalog import CHUNKS, chunks, query
 from tessera.sources import contracts, merge
 from tessera.sources.tables import read
@@ -188,7 +188,7 @@ def src10_both(spark, sf):
     return ids[0].unionByName(ids[1])
 
 
-LINKED = f"""{CHUNKS}, l AS (SELECT *, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id, CASE WHEN pos % 4 <> 0 THEN doc_id * 100000 + pos - pos % 4 END AS up FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+LINKED = f"""{CHUNKS}, l AS (SELECT *, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id, CASE WHEN pos % 4 <> 0 THEN doc_id * 4294967296 + pos - pos % 4 END AS up FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
  k AS (SELECT l.*, p.chunk_id AS parent_id FROM l LEFT JOIN chunks p ON p.chunk_id = l.up)"""
 
 
@@ -216,3 +216,15 @@ def jn7_bundles(spark, sf):
     c = linked(spark, sf)
     texts = [F.md5(x).alias(x) for x in ("chunk", "parent", "prev", "next")]
     return links.bundles(c, c).select("chunk_id", *texts, F.array_join("children", ",").alias("children"), F.array_join("siblings", ",").alias("siblings"))
+
+
+@query("""SELECT p_brand AS table_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row_index, p_name AS name, CASE WHEN p_partkey % 10 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS size, CAST(p_partkey AS VARCHAR) AS key FROM part""")
+def tab1_parts(spark, sf):
+    """Each brand's parts as Markdown tables of two chunks under one header, the second's own one being dropped; some rows lack their last cell."""
+    part = read(spark, sf, "part")
+    half = (F.col("p_partkey") > F.lit(part.agg(F.max("p_partkey")).first()[0] / 2)).cast("int")
+    row = F.concat(F.lit("| "), F.col("p_partkey").cast("string"), F.lit(" | "), "p_name", F.when(F.col("p_partkey") % 10 == 0, " |").otherwise(F.concat(F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |"))))
+    text = part.groupBy(F.col("p_brand").alias("table_id"), half.alias("chunk_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))).alias("rows"))
+    text = text.withColumn("content", F.concat(F.lit("Parts\n| key | name | size |\n|---|:-:|---|\n"), F.array_join("rows.row", "\n")))
+    parsed = tables.parse(text)
+    return parsed.select("table_id", F.col("row_index").cast("long").alias("row_index"), F.get("cells", 1).alias("name"), F.get("cells", 2).alias("size"), F.get("cells", 0).alias("key"))

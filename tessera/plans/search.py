@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from tessera.operators import dispatch, retrieval
 from tessera.plans.built import _engine
 from tessera.plans.catalog import CHUNKS, WORDS, query
-from tessera.sources.tables import read
+from tessera.sources.tables import LINES, read
 
 SCORED = f"""w AS (SELECT chunk_id, {WORDS.format("content")} AS ws FROM chunks), st AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM w),
  p AS (SELECT chunk_id, term, dl, count(*) AS tf FROM (SELECT chunk_id, len(ws) AS dl, unnest(ws) AS term FROM w) GROUP BY ALL), t AS (SELECT term, count(*) AS df FROM p GROUP BY term),
  q AS (SELECT name, term, count(*) AS qtf FROM (SELECT 'asked' AS name, unnest({WORDS.format("text")}) AS term FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark) UNION ALL SELECT 'pattern', unnest(['licensed', 'under'])) GROUP BY ALL),
  s AS (SELECT name, chunk_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN t USING (term) JOIN p USING (term) CROSS JOIN st GROUP BY ALL),
  bm AS (SELECT name, chunk_id, score, row_number() OVER (PARTITION BY name ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 50),
- e AS (SELECT vec_id * 100000 AS chunk_id, embedding::DOUBLE[] AS x FROM embeddings), d AS (SELECT chunk_id, round(list_inner_product(x, (SELECT x FROM e WHERE chunk_id = 0)), 6) AS score FROM e),
+ e AS (SELECT vec_id * 4294967296 AS chunk_id, embedding::DOUBLE[] AS x FROM embeddings), d AS (SELECT chunk_id, round(list_inner_product(x, (SELECT x FROM e WHERE chunk_id = 0)), 6) AS score FROM e),
  dn AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM d WHERE score > 0 QUALIFY rank <= 20),
  hy AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (SELECT chunk_id, round(sum(1.0 / (rank + 60)), 6) AS score FROM (SELECT chunk_id, rank FROM bm WHERE name = 'asked' AND rank <= 20 UNION ALL SELECT chunk_id, rank FROM dn) GROUP BY chunk_id) QUALIFY rank <= 40),
  x AS (SELECT chunk_id, least((length(content) - length(replace(lower(content), 'license', ''))) // 7, 10) / 10.0 AS score, instr(lower(content), 'license') AS place FROM chunks WHERE contains(lower(content), 'license')),
@@ -30,7 +30,7 @@ SCORED = f"""w AS (SELECT chunk_id, {WORDS.format("content")} AS ws FROM chunks)
 @query(f"WITH {CHUNKS}, {SCORED} SELECT strategy, chunk_id, CAST(nth AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY rank, chunk_id) AS nth FROM hits) WHERE nth <= 20")
 def ret11_strategies(spark, sf):
     """All seven strategies. bm25's and dense's filters pass nothing with their doc_name and fall back to the others, or none; no table row has the pattern, so fused hits of its document stand in."""
-    e = read(spark, sf, "embeddings").select((F.col("vec_id") * 100_000).alias("chunk_id"), "embedding")
+    e = read(spark, sf, "embeddings").select((F.col("vec_id") * LINES).alias("chunk_id"), "embedding")
     engine = _engine(spark, sf)
     engine = dispatch.Engine(engine.chunks.withColumn("doc_name", F.col("source")), e, engine.cells)
     asked = read(spark, sf, "benchmark").agg(F.min_by("text", "item_id")).first()[0]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 CHUNK_FIELDS = "chunk_id string, chunk_type string, content string, hierarchy_path string, source_file string, doc_id string, doc_name string, doc_title string, metadata map<string,string>"
 SKIPPED_TYPES = ("cell_fact", "formula")
+#: Chunk ids are a document's id times this, plus the line: more lines than an array can hold, so no two chunks share one.
+LINES = 1 << 32
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +34,9 @@ def read_chunk_documents(spark: SparkSession, path: str, skip: tuple[str, ...] =
 
 
 def lines_as_chunks(docs: DataFrame) -> DataFrame:
-    """Non-blank lines of documents as chunks (chunk_id, doc_id, pos, content, source, lang)."""
+    """Non-blank lines of documents as chunks (chunk_id, doc_id, pos, content, source, lang). Document ids from 2^31 on are an error, not a wrong id."""
     lines = docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
-    return lines.filter(F.trim("content") != "").select((F.col("doc_id") * 100_000 + F.col("pos")).alias("chunk_id"), "doc_id", "pos", "content", "source", "lang")
+    return lines.filter(F.trim("content") != "").select((F.col("doc_id").cast("long") * LINES + F.col("pos")).alias("chunk_id"), "doc_id", "pos", "content", "source", "lang")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
