@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from .common import scoped, stash, worker_cache
-from .components import components
+from .components import components, joined
 
 BITS, SEGMENT, SEED = 64, 32, 42
 #: Bands of so many minimum hashes each: a pair with a similarity of 0.8 shares one with a probability of 0.999, one of 0.4 with 0.05.
@@ -342,17 +342,15 @@ def _candidates(distance: int, most: int, known: bool, dealt: bool, least: float
     return run
 
 
-def candidate_pairs(nodes: DataFrame, distance: int, most: int, only: DataFrame | None = None, bucket_bound: int = 20_000, least: float = 0.8) -> DataFrame:
-    """Pairs (a, b, bits) of nodes (bands, f1, f2, node[, comp, size, shared]) that share a band and whose 128 bits differ in at most `distance`.
+def candidate_pairs(rows: DataFrame, distance: int, most: int, bucket_bound: int = 20_000, least: float = 0.8) -> DataFrame:
+    """Pairs (a, b, bits) of rows (key, f1, f2, node[, comp, size, shared]) that share a key and whose 128 bits differ in at most `distance`.
 
-    In a band's bucket a node meets its `most` nearest earlier ones only; the ends of the pairs beyond are returned with
-    the bucket's key (key and a set), so that the caller may look there again; a pair may be named by several buckets.
-    `only` restricts to such keys. Buckets of more than bucket_bound nodes are dealt over tasks in which every two of
+    In a key's bucket a node meets its `most` nearest earlier ones only; the ends of the pairs beyond are returned with
+    the bucket's key (key and a set), so that the caller may look there again, at these rows alone; a pair may be named by
+    several buckets. Buckets of more than bucket_bound nodes are dealt over tasks in which every two of
     their parts meet.
     """
-    rows, known, shape = band_rows(nodes), "comp" in nodes.columns, "key long, a long, b long, bits int"
-    if only is not None:
-        rows = rows.join(only, "key", "left_semi")
+    known, shape = "comp" in rows.columns, "key long, a long, b long, bits int"
 
     def look(rows: DataFrame, dealt: bool) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key", "f1", "f2", "node").mapInArrow(_candidates(distance, most, known, dealt, least), shape)
@@ -400,27 +398,26 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, distance
     """
     rows = stash(shingle_sets(docs, words, id_col, text_col, False), "fingerprints")
     nodes = stash(rows.groupBy("node").agg(F.min("f1").alias("f1"), F.min("f2").alias("f2"), F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "nodes")
-    found = candidate_pairs(nodes.select("bands", "f1", "f2", "node"), distance, most, bucket_bound=bucket_bound)
+    found = candidate_pairs(band_rows(nodes.select("bands", "f1", "f2", "node")), distance, most, bucket_bound=bucket_bound)
     ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
     pairs = stash(_once(found), "pairs")
     sets = _sets(docs, nodes.join(ends(pairs), "node", "left_semi"), words, id_col, text_col)
     nearest = pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("n")).select("n.a", "b")
-    sure = stash(_alike(nearest, sets, least), "sure")
-    label = components(sure)
-    sure = sure.union(stash(_alike(_across(pairs.join(nearest, ["a", "b"], "left_anti"), label), sets, least), "sure"))
-    label, seen, facts = stash(components(sure), "label"), pairs.select("a", "b"), None
+    label = components(_alike(nearest, sets, least))
+    label = joined(label, stash(_alike(_across(pairs.join(nearest, ["a", "b"], "left_anti"), label), sets, least), "sure"))
+    seen, facts = pairs.select("a", "b"), None
     while not (left := stash(found.filter("key IS NOT NULL").select("key", F.col("a").alias("node")).distinct(), "left")).isEmpty():
         most *= 8
         hard = nodes.join(left.select("node").distinct(), "node", "left_semi")
         if facts is None:  # later rounds are about some of the same nodes
             sets = sets.union(_sets(docs, hard.join(sets.select("node"), "node", "left_anti"), words, id_col, text_col))
             facts = stash(_shared(sets.join(hard.select("node"), "node", "left_semi")), "facts")
-        at = hard.join(label, "node", "left").join(facts, "node").select("bands", "f1", "f2", "node", F.coalesce("component", "node").alias("comp"), "size", "shared")
-        found = candidate_pairs(at, distance, most, left.select("key").distinct(), bucket_bound, least)
+        at = hard.join(label, "node", "left").join(facts, "node").select("f1", "f2", "node", F.coalesce("component", "node").alias("comp"), "size", "shared")
+        rows_left = left.join(at, "node").select("key", *at.columns)
+        found = candidate_pairs(rows_left, distance, most, bucket_bound, least)
         fresh = stash(_once(found).select("a", "b").join(seen, ["a", "b"], "left_anti"), "pairs")
         if not fresh.isEmpty():
-            seen, sure = seen.union(fresh), sure.union(stash(_alike(fresh, sets, least), "sure"))
-            label = stash(components(sure), "label")
+            seen, label = seen.union(fresh), joined(label, stash(_alike(fresh, sets, least), "sure"))
     named = stash(nodes.join(label, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "labels")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "node").join(named.join(ids, "component").select("node", "component_id"), "node").select(F.col("doc_id").alias(id_col), "component_id")

@@ -391,6 +391,18 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
 
 
+def test_components_join_as_edges_come(spark):
+    r = random.Random(5)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)]
+    kind, label, got = "a long, b long", None, {}
+    for at in range(0, 150, 50):
+        some = spark.createDataFrame(edges[at : at + 50], kind)
+        label = components.components(some) if label is None else components.joined(label, some)
+        want = {x.node: x.component for x in components.components(spark.createDataFrame(edges[: at + 50], kind)).collect()}
+        got = {x.node: x.component for x in label.collect()}
+        assert got == want and label.count() == len(got)
+
+
 # HTML
 
 
