@@ -8,22 +8,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-EXTENSIONS = r"(?i)\.(docx?|xlsx?|pdf|txt|md|html?)$"
-NUMBERED = r"^\d+[._、\-]\s*"
+# What file names end in, a document's number, an attachment's name, and who issues documents.
+EXTENSIONS = r"(?i)\.(pdf|docx|xlsx|xls|doc|pptx)$"
+NUMBERED = r"^\d{3}_"
+ATTACHMENT = r"附件\s*([一二三四五六七八九十\d]+)\s*[：:]\s*(.+)"
+ISSUERS = ("中国银保监会", "中国银保监会办公厅", "银保监会", "银保监会办公厅", "国家金融监督管理总局", "金融监管总局", "财政部", "财政部办公厅", "中国人民银行", "人民银行")
+ISSUED = r"(?:办公厅)?(?:关于)?(?:印发)?_?"
 
 
 def normal(name: Column) -> Column:
     """A name without file extension, full-width signs and spaces."""
-    bare = F.regexp_replace(F.trim(name), EXTENSIONS, "")
-    return F.replace(F.translate(bare, "：（）", ":()"), F.lit(" "), F.lit(""))
+    bare = F.regexp_replace(name, EXTENSIONS, "")
+    return F.trim(F.replace(F.translate(bare, "：（）", ":()"), F.lit(" "), F.lit("")))
 
 
 def aliases(name: Column) -> Column:
-    """Other names of a document: as it is, normalised, without its number, and its last part after an underscore."""
+    """Other names of a document: as it is and normalised; without its number; without its issuer, too; its last part after an
+    underscore; and of an attachment its number and title, and the title alone."""
     plain = normal(name)
     bare = F.regexp_replace(plain, NUMBERED, "")
-    last = F.element_at(F.split(bare, "_"), -1)
-    return F.filter(F.array_distinct(F.array(name, plain, bare, last)), lambda a: a != "")
+    issuer = f"^(?:{'|'.join(ISSUERS)}){ISSUED}"
+    number, title = (F.regexp_extract(name, f"(?U){ATTACHMENT}", i) for i in (1, 2))
+    attached = F.when(number != "", F.concat(F.lit("附件"), number, F.lit("："), title)).otherwise("")
+    return F.filter(F.array_distinct(F.array(name, plain, bare, F.regexp_replace(bare, issuer, ""), F.element_at(F.split(bare, "_"), -1), attached, title)), lambda a: a != "")
 
 
 def resolve_documents(asked: DataFrame, names: DataFrame, least: int = 2, extra: DataFrame | None = None) -> DataFrame:
