@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 from tessera.functions import rules, shipped
+from tessera.operators.retrieval import spread
 
 #: Characters of the names that go to every task at once.
 BLOCK_CHARS = 4_000_000
@@ -82,7 +83,7 @@ def occurrences(texts: DataFrame, ids: list[str], text: str, names: DataFrame, n
     chars = own.agg(F.sum(F.length("name"))).first()[0] or 0
     blocks = -(-chars // block_chars)
     schema = StructType(list(texts.select(*ids).schema.fields)).add("name", StringType()).add("first", IntegerType()).add("n", LongType())
-    read, out = texts.select(*ids, F.col(text).alias("_text")), None
+    read, out = spread(texts.select(*ids, F.col(text).alias("_text"))), None
     for i in range(blocks):
         block = own.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == i) if blocks > 1 else own
         sent = spark.sparkContext.broadcast([r[0] for r in block.collect()])
