@@ -39,23 +39,29 @@ def resolve_documents(asked: DataFrame, names: DataFrame, least: int = 2, extra:
     Levels: 1 the same text; 2 an alias; 3 the name contains the text (a fourth level, the name's end, is part of it); 5 all
     of the text's keywords, two or more, are in the name. The lowest level wins, then the smaller name_id.
 
-    Names meet through pieces as long as some text, so only lengths that occur are cut; a keyword join counts hits instead of
-    pairing all.
+    Equal texts are asked once and equal names stand for their smallest name_id, as copies share a result. Names meet through
+    pieces as long as some text, so only lengths that occur are cut, and a piece keeps its smallest name_id before it is
+    joined. Keywords meet on that of a text which fewest names hold, and the others are looked up in the name.
     """
-    a = asked.filter(F.coalesce("text", F.lit("")) != "").select("ask_id", "text", normal(F.col("text")).alias("plain")).filter("plain <> ''")
-    n = names.select("name_id", "name", normal(F.col("name")).alias("full"))
+    texts = asked.filter(F.coalesce("text", F.lit("")) != "").select("text").distinct()
+    a = texts.withColumn("plain", normal(F.col("text"))).filter("plain <> ''")
+    n = names.groupBy("name").agg(F.min("name_id").alias("name_id")).withColumn("full", normal(F.col("name")))
     own = n.select("name_id", F.explode(aliases(F.col("name"))).alias("alias"))
     own = own if extra is None else own.unionByName(extra.select("name_id", normal(F.col("alias")).alias("alias")))
-    same = a.join(n, F.col("text") == F.col("name")).select("ask_id", "name_id", F.lit(1).alias("level"))
-    known = a.join(own, F.col("plain") == normal(F.col("alias"))).select("ask_id", "name_id", F.lit(2).alias("level"))
-    inside = pieces(n, "full", a.select(F.length("plain").alias("size")).filter(F.col("size") >= least)).join(a, F.col("piece") == F.col("plain"))
-    inside = inside.select("ask_id", "name_id", F.lit(3).alias("level"))
-    words = a.select("ask_id", F.explode(F.filter(F.array_distinct(F.split("text", r"[\s_\-:：()（）]+")), lambda w: F.length(w) >= 2)).alias("word"))
-    wanted = words.groupBy("ask_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    hits = pieces(n, "full", words.select(F.length("word").alias("size"))).select("name_id", "piece").distinct().join(words, F.col("piece") == F.col("word"))
-    all_in = hits.groupBy("ask_id", "name_id").agg(F.count(F.lit(1)).alias("n")).join(wanted, ["ask_id", "n"]).select("ask_id", "name_id", F.lit(5).alias("level"))
-    best = same.unionByName(known).unionByName(inside).unionByName(all_in).groupBy("ask_id").agg(F.min(F.struct("level", "name_id")).alias("b"))
-    return best.select("ask_id", "b.name_id", "b.level")
+    own = own.groupBy(normal(F.col("alias")).alias("alias")).agg(F.min("name_id").alias("name_id"))
+    same = a.join(n, F.col("text") == F.col("name")).select("text", "name_id", F.lit(1).alias("level"))
+    known = a.join(own, F.col("plain") == F.col("alias")).select("text", "name_id", F.lit(2).alias("level"))
+    inside = pieces(n, "full", a.select(F.length("plain").alias("size")).filter(F.col("size") >= least)).groupBy("piece").agg(F.min("name_id").alias("name_id"))
+    inside = inside.join(a, F.col("piece") == F.col("plain")).select("text", "name_id", F.lit(3).alias("level"))
+    sets = a.select("text", F.filter(F.array_distinct(F.split("text", r"[\s_\-:：()（）]+")), lambda w: F.length(w) >= 2).alias("words")).filter(F.size("words") >= 2)
+    words = sets.select("text", "words", F.explode("words").alias("word"))
+    held = pieces(n, "full", words.select(F.length("word").alias("size"))).select("name_id", "full", "piece").join(words.select(F.col("word").alias("piece")).distinct(), "piece", "left_semi")
+    often = held.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = words.join(often, F.col("word") == F.col("piece"), "left").groupBy("text", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r"))
+    met = rarest.filter("r.n > 0").select("text", "words", F.col("r.word").alias("piece")).join(held, "piece")
+    all_in = met.filter(F.forall("words", lambda w: F.contains(F.col("full"), w))).select("text", "name_id", F.lit(5).alias("level"))
+    best = same.unionByName(known).unionByName(inside).unionByName(all_in).groupBy("text").agg(F.min(F.struct("level", "name_id")).alias("b"))
+    return asked.select("ask_id", "text").join(best, "text").groupBy("ask_id").agg(F.min("b").alias("b")).select("ask_id", "b.name_id", "b.level")
 
 
 def pieces(names: DataFrame, column: str, sizes: DataFrame) -> DataFrame:
