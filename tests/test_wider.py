@@ -1,6 +1,7 @@
 """Names, numbers, tables, folds, stores, planner and tools on small cases with results worked out by hand."""
 
 import json
+import re
 from collections import defaultdict
 
 import pytest
@@ -86,6 +87,17 @@ def test_tables_take_the_header_before_the_last_separator(spark):
     assert [r["row"] for r in tables.as_maps(t).orderBy("row_index").collect()] == [{"a": "1", "b": "2"}, {"a": "3", "b": ""}]
 
 
+def test_tables_of_many_chunks_are_never_whole_in_a_task(spark):
+    c = spark.range(400).select((F.col("id") % 3).alias("table_id"), F.floor(F.col("id") / 3).alias("chunk_id"), F.concat(F.lit("| k |\n|---|\n"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("id") % 5), lambda i: F.concat(F.lit("| "), (F.col("id") * 10 + i).cast("string"), F.lit(" |"))), "\n")).alias("content"))
+    t = tables.parse(c)
+    for table in range(3):
+        told = sorted((r.row_index, r.cells[0]) for r in t.filter(F.col("table_id") == table).collect())
+        assert told == list(enumerate(str(i * 10 + k) for i in range(table, 400, 3) for k in range(i % 5 + 1)))
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate posexplode\(body#\d+\), \[\d+\]", plan), "the lines of a chunk go along with each of its rows"
+    assert not re.search(r"Window \[row_number\(\) windowspecdefinition\(table_id#\d+, chunk_id#\d+ ASC", plan), "a table's rows are numbered in one task"
+
+
 def test_checkpoints_fall_back_to_readable_versions(spark):
     c = spark.createDataFrame([("s", 1, "{}"), ("s", 2, "{}"), ("s", 3, "{x"), ("t", 1, "{x"), ("u", 9, None)], "s string, v int, p string")
     assert rows(folds.latest_readable(c, "s", "v", "p"), "s", "v", "fell_back") == [("s", 2, True)]
