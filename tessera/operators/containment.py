@@ -1,8 +1,10 @@
 """Which texts occur inside longer ones: an equality join on minimizers, verified on the texts.
 
 Of every window of consecutive grams a text keeps the least by hash. A window inside a contained text is a window of its
-container, too, so all that a text keeps its containers keep. A text looks for its containers by the one it keeps that
-fewest texts have; long texts keep fewer and longer grams, so that common beginnings do not bring them together.
+container, too, so all that a text keeps its containers keep. A text asks for its containers by one that it keeps, that
+which fewest texts of its length keep; long texts keep fewer and longer grams, so that common beginnings do not bring them
+together. What is asked for goes to all tasks as bits of a table of bounded size, so that of all that containers keep
+little more than what some text asks for is shuffled.
 """
 
 from __future__ import annotations
@@ -11,15 +13,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.retrieval import spread
 from tessera.sources.rounds import settle
 
-#: (characters of a gram, grams of a window): a text uses the last one that fits into it, as a container all that fit.
-SCALES = ((6, 5), (20, 21), (60, 61))
+#: (characters of a gram, grams of a window): a text asks by the last one that fits into it, as a container it keeps all that fit.
+SCALES = ((10, 1), (12, 2), (15, 3), (20, 5), (26, 9), (36, 21), (60, 41), (100, 81))
 SHORTEST = sum(SCALES[0]) - 1
+#: The table of what is asked for has 2 to the power of so many bits at most, 32 MB; with more texts more is shuffled for nothing.
+MOST_BITS = 28
+TIMES = 0x9E3779B97F4A7C15
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _grams(letters: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each run of `gram` letters, by doubling."""
+    out, done, part, size = None, 0, letters + np.uint64(1), 1
+    while True:
+        if gram & size:
+            out = part if out is None else out[: len(letters) - done - size + 1] * np.uint64(pow(TIMES, size, 1 << 64)) + part[done:]
+            done += size
+        if done == gram:
+            return _mixed(out)
+        part = part[: len(part) - size] * np.uint64(pow(TIMES, size, 1 << 64)) + part[size:]
+        size *= 2
 
 
 def _least_of(x: np.ndarray, width: int) -> np.ndarray:
@@ -32,49 +56,106 @@ def _least_of(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def minimizers(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(scale, owner, hash) of what each text keeps, at every scale that fits into it."""
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' letters, one text after another, with each one's text and the end of that text."""
     size = np.array([len(t) for t in texts], np.int64)
     letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    owner, end = np.repeat(np.arange(len(texts)), size), np.repeat(np.cumsum(size), size)
-    for scale, (gram, window) in enumerate(SCALES):
-        span = gram + window - 1
-        if len(letters) < span:
-            return
-        h = np.zeros(len(letters) - gram + 1, np.uint64)
-        for j in range(gram):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + letters[j : len(letters) - gram + 1 + j] + np.uint64(1)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        least = _least_of(h, window)
-        inside = np.arange(len(least)) + span <= end[: len(least)]
-        value, of = least[inside], owner[: len(least)][inside]
-        fresh = np.r_[True, (value[1:] != value[:-1]) | (of[1:] != of[:-1])] if len(value) else np.zeros(0, bool)
-        yield scale, of[fresh], value[fresh]
-
-
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return letters, np.repeat(np.arange(len(texts)), size), np.repeat(np.cumsum(size), size)
+
+
+def minimizers(letters: np.ndarray, owner: np.ndarray, end: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, key) of what each text keeps at a scale; the same key may come again."""
+    gram, window = SCALES[scale]
+    span = gram + window - 1
+    if len(letters) < span:
+        return owner[:0], np.zeros(0, np.uint64)
+    least = _least_of(_grams(letters, gram), window)
+    inside = np.arange(len(least)) + span <= end[: len(least)]
+    value, of = least[inside], owner[: len(least)][inside]
+    if len(value):
+        fresh = np.r_[True, (value[1:] != value[:-1]) | (of[1:] != of[:-1])]
+        value, of = value[fresh], of[fresh]
+    return of, _mixed(value + np.uint64(scale * TIMES % (1 << 64)))  # the least of hashes are no evenly spread keys
+
+
+def _scale_of(size: np.ndarray) -> np.ndarray:
+    return np.sum([size >= g + w - 1 for g, w in SCALES], axis=0) - 1
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str], np.ndarray]]:
+    """(ids, texts, sizes) of some rows at a time, a few million letters or one text."""
     for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            b = whole.slice(at, 2000)
-            texts = b.column(1).to_pylist()
-            size = np.array([len(t) for t in texts], np.int32)
-            fits = np.sum([size >= g + w - 1 for g, w in SCALES], axis=0) - 1
-            for scale, of, value in minimizers(texts):
-                ids = b.column(0).take(pa.array(of))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size[of]), pa.array(value.view(np.int64) ^ scale), pa.array(fits[of] == scale)], names=["id", "size", "g", "own"])
+        size, at = pc.utf8_length(whole.column(1)).to_numpy(), 0
+        ends = np.cumsum(size)
+        while at < whole.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
+            yield whole.column(0).slice(at, stop - at), whole.column(1).slice(at, stop - at).to_pylist(), size[at:stop].astype(np.int32)
+            at = stop
+
+
+def _out(ids: pa.Array, size: np.ndarray, of: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """(id, size, g) of owners and keys, each once."""
+    order = np.lexsort((key, of))
+    of, key = of[order], key[order]
+    once = np.r_[True, (of[1:] != of[:-1]) | (key[1:] != key[:-1])][: len(of)]
+    of, key = of[once], key[once]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(size[of], pa.int32()), pa.array(key.view(np.int64))], names=["id", "size", "g"])
+
+
+def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each text keeps at its own scale."""
+    for ids, texts, size in _pieces(batches):
+        own = _scale_of(size)
+        for scale in np.unique(own).tolist():
+            mine = np.flatnonzero(own == scale)
+            of, key = minimizers(*_letters([texts[i] for i in mine.tolist()]), scale)
+            yield _out(ids, size, mine[of], key)
+
+
+def _answers(sent, bits: int):
+    """What each text keeps at all scales, if the table has a bit for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for ids, texts, size in _pieces(batches):
+            letters, owners, found = *_letters(texts)[:2], []
+            end = np.cumsum(size)[owners]
+            for scale in range(int(_scale_of(size).max()) + 1):
+                of, key = minimizers(letters, owners, end, scale)
+                slot = key >> np.uint64(64 - bits)
+                known = (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                found.append((of[known], key[known]))
+            yield _out(ids, size, *(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    return run
+
+
+def _table(asked: DataFrame, most_bits: int) -> tuple[np.ndarray, int]:
+    """Bits that are set where a g begins with their place, and how many bits of g that are: some 64 places for each g, up to 2 ** most_bits."""
+    bits = max(10, min(most_bits, (64 * asked.count()).bit_length()))
+    slot = F.shiftrightunsigned("g", 64 - bits)
+    words = asked.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(g, {64 - bits}) & 63 AS int))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return table, bits
 
 
-def contained(texts: DataFrame, text: str = "content") -> DataFrame:
+def contained(texts: DataFrame, text: str = "content", most_bits: int = MOST_BITS) -> DataFrame:
     """The distinct texts that occur inside a longer one (column `text`); texts under SHORTEST characters take no part, nor do null ones."""
+    spark = texts.sparkSession
     distinct = spread(texts.select(F.col(text).alias("t")).filter(F.length("t") >= SHORTEST)).distinct()
     once = settle(distinct.select(F.monotonically_increasing_id().alias("id"), "t"))
-    kept = settle(spread(once).mapInArrow(_kept, "id long, size int, g long, own boolean").distinct())
-    counts = kept.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("asked")).filter("asked")
-    own = kept.filter("own").join(counts.select("g", "n"), "g")
-    rarest = own.groupBy("id", "size").agg(F.min(F.struct("n", "g")).alias("r")).filter("r.n > 1").select("id", "size", F.col("r.g").alias("g"))
-    outer = kept.select(F.col("id").alias("oid"), F.col("size").alias("outer_size"), "g")
-    pairs = rarest.join(outer, "g").filter("outer_size > size").select("id", "oid")
+    shape = "id long, size int, g long"
+    own = settle(spread(once).mapInArrow(_asks, shape))
+    rare = own.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "size")).alias("of"))  # one shuffle serves the texts that keep a key alone
+    alone = settle(rare.filter("n = 1").groupBy("of").agg(F.min("g").alias("g")).select("of.id", "of.size", "g"))
+    left = own.join(alone, "id", "left_anti")
+    counts = left.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    asked = alone.unionByName(left.join(counts, "g").groupBy("id", "size").agg(F.min(F.struct("n", "g")).alias("r")).select("id", "size", F.col("r.g").alias("g")))
+    asked = settle(asked)
+    table, bits = _table(asked, most_bits)
+    outer = spread(once).mapInArrow(_answers(spark.sparkContext.broadcast(table), bits), shape).select(F.col("id").alias("oid"), F.col("size").alias("outer_size"), "g")
+    pairs = asked.join(outer, "g").filter("outer_size > size").select("id", "oid")
     small, large = once, once.select(F.col("id").alias("oid"), F.col("t").alias("outer"))
     inside = pairs.join(small, "id").join(large, "oid").filter(F.contains("outer", "t"))
     return inside.select(F.col("t").alias(text)).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators import containment
+from tessera.sources.rounds import settle
 
 # Weights of norm levels, version states, and the parts of the sufficiency score.
 AUTHORITY = {"law": 1.0, "regulation": 0.9, "department_rule": 0.75, "normative_document": 0.6, "other": 0.4}
@@ -33,7 +34,8 @@ def dedup_contents(hits: DataFrame) -> DataFrame:
 
 
 def dedup_contained(hits: DataFrame) -> DataFrame:
-    """Drop contents that a longer content contains (both of at least ten characters). Contents are joined once, whatever their copies."""
+    """Drop contents that a longer content contains (both of at least ten characters). Contents are joined once, whatever their copies; the hits are written, as they are read twice."""
+    hits = settle(hits)
     gone = containment.contained(hits.select("content")).select(F.col("content").alias("_gone"))
     return hits.join(gone, F.col("content") == F.col("_gone"), "left_anti")
 

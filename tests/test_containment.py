@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from tessera.operators import containment, evidence
 
 
@@ -16,9 +18,26 @@ def test_contained_equals_all_pairs(spark):
     some = {t for t in texts if t and len(t) >= 10}
     want = sorted(t for t in some if any(len(o) > len(t) and t in o for o in some))
     assert sorted(x.content for x in containment.contained(df).collect()) == want and len(want) > 50
+    assert sorted(x.content for x in containment.contained(df, most_bits=10).collect()) == want  # a table that is full hides nothing
     assert containment.contained(df.limit(0)).count() == 0
 
 
+def test_only_what_is_asked_for_is_shuffled(spark):
+    """Texts of which none is in another: what they keep at all scales is never shuffled, only a key a text and what meets it by chance."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(r.choice([20, 100, 400, 1500]))) for _ in range(400)]
+    assert containment.contained(spark.createDataFrame([(t,) for t in texts], "content string")).count() == 0
+    table, bits = containment._table(spark.createDataFrame([(1, 1, i << 50) for i in range(400)], "id long, size int, g long"), containment.MOST_BITS)
+    assert len(table) == 1 << (bits - 6)
+
+    class Sent:
+        value = table
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], names=["id", "t"])
+    passed = sum(b.num_rows for b in containment._answers(Sent, bits)(iter([batch])))
+    assert passed < sum(map(len, texts)) / 20
+
+
 def test_copies_stay_or_go_together(spark):
     h = spark.createDataFrame([(1, "0123456789 and more"), (2, "0123456789"), (3, "0123456789"), (4, "short"), (5, None)], "idx long, content string")
     assert sorted(x.idx for x in evidence.dedup_contained(h).collect()) == [1, 4, 5]
