@@ -53,7 +53,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that of the least id, of each component of five-word shingle similarity >= 0.8, among candidates that share a band of minimum hashes, ranked by SimHash.
+    """One row, that of the least id, of each component of five-word shingle similarity >= 0.8, among candidates of SimHash: deletion variants up to two bits, beyond them shared bands of minimum hashes ranked by fingerprints.
 
     Rows are named by id and text, which the stage before made unique; of rows that repeat both, all or none stay. Null
     and empty texts are alike; very long texts are shingled whole; null ids come before all others; empty table: no rows.

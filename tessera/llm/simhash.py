@@ -8,8 +8,9 @@ whose wildcard is that bit, so no link is lost.
 Links are kept as stars inside a bucket, as only reachability is asked for: a bucket of n fingerprints yields at most
 n - 1 edges, and no list of all pairs is ever made.
 
-similar_groups links texts by the Jaccard similarity of their shingle sets. At a similarity of 0.8 fingerprints differ in a
-sixth of their bits, so segments short enough to agree are shared by a fixed part of all pairs. There candidates are
+similar_groups links texts by the Jaccard similarity of their shingle sets. Nearly equal texts are gathered by the same
+deletion variants of their fingerprints and verified. At a similarity of 0.8 fingerprints differ in a sixth of their
+bits, so segments short enough to agree are shared by a fixed part of all pairs. Beyond two bits candidates are therefore
 gathered by bands of minimum hashes, whose keys texts share only if they share shingles; fingerprints rank them.
 """
 
@@ -127,7 +128,7 @@ def complete_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndar
     """Columns of whole buckets, many at a time, from batches sorted by their first column (the key)."""
     held = None
     for batch in batches:
-        rows = [c.to_numpy() for c in batch.columns]
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not len(rows[0]):
             continue
         if held is not None:
@@ -364,6 +365,73 @@ def candidate_pairs(rows: DataFrame, distance: int, most: int, bucket_bound: int
     return stash(look(rows.join(crowded, "key", "left_anti"), False).union(look(dealt, True)), "candidates")
 
 
+def _common(flat: np.ndarray, of: np.ndarray, n: int):
+    """A function that counts, for a row's shingles, how many of them each of the n rows has; (flat, of) are all rows' shingles with their row, sorted by shingle."""
+
+    def count(own: np.ndarray) -> np.ndarray:
+        first, last = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        size = last - first
+        at = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        return np.bincount(of[at], minlength=n)
+
+    return count
+
+
+def _star(u1: np.ndarray, u2: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], distance: int, apart: int, least: float) -> list[tuple[int, int]]:
+    """Links of one bucket's rows: of all pairs between different components that differ in few bits and are truly alike, only those that join two components."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    _, label = np.unique(comp, return_inverse=True)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    common, links = _common(flat[order], np.repeat(np.arange(n), size)[order], n), []
+    for i in range(1, n):
+        first = np.bitwise_count(u1[:i] ^ u1[i])
+        near = np.flatnonzero((label[:i] != label[i]) & (first <= apart) & (first.astype(np.int32) + np.bitwise_count(u2[:i] ^ u2[i]) <= distance))
+        if not len(near):
+            continue
+        if len(near) > 8:
+            both = common(sets[i])[near]
+        else:
+            both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in near.tolist()])
+        for j in near[both >= least * (size[i] + size[near] - both)].tolist():
+            if label[i] != label[j]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _joining(distance: int, least: float):
+    """Reads (key, f1, f2, node, comp, shingles) sorted by key; yields (a, b) of a bucket's nodes that are alike and join two components, fewer than the bucket has nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, f1, f2, nodes, comp, raw in complete_buckets(batches):
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            a, b = [], []
+            for at, stop in zip(starts.tolist(), np.r_[starts[1:], len(keys)].tolist(), strict=True):
+                if (comp[at:stop] == comp[at]).all():
+                    continue
+                sets = [np.frombuffer(x, np.uint64) for x in raw[at:stop]]
+                for i, j in _star(f1[at:stop].view(np.uint64), f2[at:stop].view(np.uint64), comp[at:stop], sets, distance, min(distance, 26), least):
+                    a.append(nodes[at + i])
+                    b.append(nodes[at + j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _joined_buckets(rows: DataFrame, distance: int, least: float, bucket_bound: int) -> DataFrame:
+    """Links (a, b) that join the components of all alike rows (key, f1, f2, node, comp, shingles) which share a key. Pairs are verified where a bucket meets, so that no list of them is made.
+
+    Buckets of one component are left out; those of more than bucket_bound nodes are dealt as in candidate_pairs.
+    """
+    names = rows.select("key", "node", "comp")
+    buckets = names.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    buckets = stash(buckets.select("key", F.when(F.col("n") > bucket_bound, F.ceil(F.col("n") * 2 / bucket_bound)).otherwise(1).cast("int").alias("g")), "buckets")
+    dealt = rows.join(buckets, "key").withColumn("p", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.withColumn("key", F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q"))).select("key", "f1", "f2", "node", "comp", "shingles")
+    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_joining(distance, least), "a long, b long")
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least `least`."""
 
@@ -385,12 +453,13 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, distance: int = 36, most: int = 1, id_col: str = "doc_id", text_col: str = "text", bucket_bound: int = 20_000) -> DataFrame:
     """One row per input row: id, component_id (the least id reachable over pairs of shingle similarity >= least, itself included).
 
-    A text has a fingerprint of 128 bits over its set of shingles, and bands of minimum hashes. Candidates share a band and
-    differ in at most `distance` of all 128 bits; each pair between different components is verified by the true Jaccard similarity of the sets. A node's nearest candidate is verified first, as pairs within a
-    component found so need no second look. In a bucket a node meets its `most` nearest first; rounds over the buckets
-    where one has more look at eight times as many of other components, until none has more. There a node's shingles that
-    no other such node has bound its similarity, which rules pairs out without naming them. So no candidate between two
-    components is passed over, and a group of n copies makes no n * n pairs.
+    A text has a fingerprint of 128 bits over its set of shingles, and bands of minimum hashes. First the fingerprints'
+    first 64 bits are linked by deletion variants (fingerprint_edges) up to two bits; those links are verified by the true
+    Jaccard similarity of the sets and joined. Then candidates share a band and differ in at most `distance` of all 128
+    bits; each pair between different components is verified likewise. In a bucket a node meets its `most` nearest first.
+    Where one has more, the bucket is looked at once more, with the sets of these nodes: there all its other candidates of
+    other components are verified in place and only links that join two components are passed on. So no candidate between
+    two components is passed over, and a group of n texts makes no n * n rows, whether they are alike or just not.
 
     * null text and texts without words: the empty set, all alike; equal sets are one node;
     * null ids are compared too; repeated rows: each is returned; empty input: no rows. Other columns are not read;
@@ -398,45 +467,31 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, distance
     """
     rows = stash(shingle_sets(docs, words, id_col, text_col, False), "fingerprints")
     nodes = stash(rows.groupBy("node").agg(F.min("f1").alias("f1"), F.min("f2").alias("f2"), F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "nodes")
-    found = candidate_pairs(band_rows(nodes.select("bands", "f1", "f2", "node")), distance, most, bucket_bound=bucket_bound)
     ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
+    first = stash(_variant_pairs(nodes, bucket_bound), "pairs")
+    found = candidate_pairs(band_rows(nodes.select("bands", "f1", "f2", "node")), distance, most, bucket_bound=bucket_bound)
     pairs = stash(_once(found), "pairs")
-    sets = _sets(docs, nodes.join(ends(pairs), "node", "left_semi"), words, id_col, text_col)
+    left = stash(found.filter("key IS NOT NULL").select("key", F.col("a").alias("node")).distinct(), "left")
+    sets = _sets(docs, nodes.join(ends(pairs.select("a", "b").union(first)).union(left.select("node")).distinct(), "node", "left_semi"), words, id_col, text_col)
+    label = components(_alike(first, sets, least))
     nearest = pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("n")).select("n.a", "b")
-    label = components(_alike(nearest, sets, least))
+    label = joined(label, stash(_alike(_across(nearest, label), sets, least), "sure"))
     label = joined(label, stash(_alike(_across(pairs.join(nearest, ["a", "b"], "left_anti"), label), sets, least), "sure"))
-    seen, facts = pairs.select("a", "b"), None
-    while not (left := stash(found.filter("key IS NOT NULL").select("key", F.col("a").alias("node")).distinct(), "left")).isEmpty():
-        most *= 8
-        hard = nodes.join(left.select("node").distinct(), "node", "left_semi")
-        if facts is None:  # later rounds are about some of the same nodes
-            sets = sets.union(_sets(docs, hard.join(sets.select("node"), "node", "left_anti"), words, id_col, text_col))
-            facts = stash(_shared(sets.join(hard.select("node"), "node", "left_semi")), "facts")
-        at = hard.join(label, "node", "left").join(facts, "node").select("f1", "f2", "node", F.coalesce("component", "node").alias("comp"), "size", "shared")
-        rows_left = left.join(at, "node").select("key", *at.columns)
-        found = candidate_pairs(rows_left, distance, most, bucket_bound, least)
-        fresh = stash(_once(found).select("a", "b").join(seen, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            seen, label = seen.union(fresh), joined(label, stash(_alike(fresh, sets, least), "sure"))
+    if not left.isEmpty():
+        hard = nodes.select("node", "f1", "f2").join(sets, "node").join(label, "node", "left").select("f1", "f2", "node", F.coalesce("component", "node").alias("comp"), "shingles")
+        label = joined(label, stash(_joined_buckets(left.join(hard, "node"), distance, least, min(bucket_bound, 5_000)).distinct(), "sure"))
     named = stash(nodes.join(label, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "labels")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "node").join(named.join(ids, "component").select("node", "component_id"), "node").select(F.col("doc_id").alias(id_col), "component_id")
 
 
-def _shared(sets: DataFrame) -> DataFrame:
-    """(node, size, shared): how many shingles a node has, and how many of these another of the nodes has, too. No pair has more than the lesser of its nodes' shared ones in common."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                parts = [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)[at : at + 256]]
-                nodes = np.repeat(b.column(0)[at : at + 256].to_numpy(), [len(p) for p in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(nodes)], names=["shingle", "node"])
-
-    each = sets.select("node", "shingles").mapInArrow(run, "shingle long, node long")
-    lone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
-    size = (F.octet_length("shingles") / 8).cast("long")
-    return sets.select("node", size.alias("size")).join(lone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("shared"))
+def _variant_pairs(nodes: DataFrame, bucket_bound: int) -> DataFrame:
+    """(a, b): nodes whose fingerprints' first 64 bits are linked by deletion variants, as stars: a node for each fingerprint, with which others of the same bits are paired, too."""
+    fps = stash(nodes.groupBy(F.col("f1").alias("fp")).agg(F.min("node").alias("node")), "fps")
+    edges = fingerprint_edges(fps.select("fp"), bucket_bound=bucket_bound)
+    linked = edges.join(fps.toDF("a", "na"), "a").join(fps.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    same = nodes.join(fps.toDF("f1", "a"), "f1").select("a", F.col("node").alias("b")).filter("a <> b")
+    return linked.union(same)
 
 
 def _once(found: DataFrame) -> DataFrame:

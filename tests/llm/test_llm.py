@@ -385,6 +385,33 @@ def test_large_groups_of_near_copies_are_joined_whole(spark):
         assert got == {i: i % 2 for i in range(300)}
 
 
+def test_groups_of_nearly_similar_texts_make_no_pairs():
+    """300 texts of which no two are alike by 0.8, all in one bucket: all 44,850 pairs are looked at in place, none is passed on; with one more that is like two of them, two links."""
+    r = np.random.default_rng(5)
+    core = r.integers(0, 1 << 63, 100, np.int64)
+    sets = [np.unique(np.concatenate([core, r.integers(0, 1 << 63, 30, np.int64)]).view(np.uint64)) for _ in range(300)]
+
+    def links(sets):
+        bits = [(simhash.majority(simhash.bit_counts(x), len(x)), simhash.majority(simhash.bit_counts(simhash._second(x)), len(x))) for x in sets]
+        cols = [[7] * len(sets), *map(list, zip(*bits, strict=True)), list(range(len(sets))), list(range(len(sets)))]
+        batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([x.tobytes() for x in sets])], names=["key", "f1", "f2", "node", "comp", "shingles"])
+        return sorted((x["a"], x["b"]) for b in simhash._joining(36, 0.8)(iter([batch])) for x in b.to_pylist())
+
+    assert links(sets) == []
+    both = np.unique(np.concatenate([core.view(np.uint64), np.setdiff1d(sets[3], core.view(np.uint64))[:22], np.setdiff1d(sets[8], core.view(np.uint64))[:22]]))
+    assert links([*sets, both]) == [(300, 3), (300, 8)]
+
+
+def test_deletion_variants_come_first(spark, monkeypatch):
+    """Nearly equal long texts are linked by deletion variants alone; bands are for what differs in more than two bits."""
+    r = random.Random(2)
+    words = [f"w{r.randrange(9000)}" for _ in range(4000)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(r.sample(words, len(words)))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "band_keys", lambda own: [])
+    assert {x.doc_id: x.component_id for x in simhash.similar_groups(df).collect()} == {0: 0, 1: 0, 2: 2}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
