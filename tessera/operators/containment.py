@@ -122,19 +122,21 @@ def _answers(sent, bits: int):
             end = np.cumsum(size)[owners]
             for scale in range(int(_scale_of(size).max()) + 1):
                 of, key = minimizers(letters, owners, end, scale)
-                slot = key >> np.uint64(64 - bits)
-                known = (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-                found.append((of[known], key[known]))
+                for slot in (lambda k: k >> np.uint64(64 - bits), lambda k: k & np.uint64((1 << bits) - 1)):
+                    at = slot(key)
+                    known = (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                    of, key = of[known], key[known]
+                found.append((of, key))
             yield _out(ids, size, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
     return run
 
 
 def _table(asked: DataFrame, most_bits: int) -> tuple[np.ndarray, int]:
-    """Bits that are set where a g begins with their place, and how many bits of g that are: some 64 places for each g, up to 2 ** most_bits."""
+    """Bits that are set at two places of each g, told by its first and its last bits, and how many of these: some 64 places for each g, up to 2 ** most_bits."""
     bits = max(10, min(most_bits, (64 * asked.count()).bit_length()))
-    slot = F.shiftrightunsigned("g", 64 - bits)
-    words = asked.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(g, {64 - bits}) & 63 AS int))")).alias("bits")).toArrow()
+    slots = asked.select(F.explode(F.array(F.shiftrightunsigned("g", 64 - bits), F.col("g").bitwiseAND(F.lit((1 << bits) - 1)))).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits")).toArrow()
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return table, bits
