@@ -29,12 +29,12 @@ def worker_cache(name: str, make):
     if name not in _CACHE:
         if _CACHE:
             _CACHE.clear()
-            _give_back()
+            give_back()
         _CACHE[name] = make()
     return _CACHE[name]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system, as a worker shares its executor's limit with others."""
     import ctypes
 

@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import give_back, worker_cache
 
-CACHED_WORDS = 200_000
+CACHED_WORDS = 120_000
+MOST_HELD = 2 << 20  # bytes of ids a batch of results may hold, in the worker and again in the executor that reads it
 TRAILING = ".,;:!?|%&$*#"
 PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?|%&$*#]*)").fullmatch
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch  # a composed Latin-1 letter: one code point, one lower case
@@ -61,6 +62,7 @@ class WordTokens(dict):
 
         super().__init__()
         whole = Tokenizer.from_file(path)
+        give_back()  # what parsing the file took
         self.encode, self.word, self.most, self.old = whole.encode_batch_fast, whole.model.tokenize, most, {}
         self.shown = {b: c for b, c in byte_letters().items() if b >= 128}
 
@@ -96,18 +98,8 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: id, start, length, tokens, doc_tokens, sequence_id, offset.
-
-    tokens is binary: the ids as little-endian unsigned 32-bit numbers. length names the bucket; sequence_id is unique,
-    and offset is 0, as each piece is a whole sequence. start is the number of the document's ids before the piece.
-
-    * null or empty text: the end id alone, one piece of length 1;
-    * long texts: as many pieces as needed, nothing is cut off; repeated rows and null ids: packed like any other row;
-    * empty input: no rows. Other columns are not read. There is no shuffle.
-    """
-    decompose(1, most)
-    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("start", "long").add("length", "long").add("tokens", "binary").add("doc_tokens", "long")
+def _cut(tokenizer_path: str, end_id: int, most: int):
+    """The pieces of rows (id, text), in batches that hold MOST_HELD bytes of ids and one document more at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = worker_cache(f"tokens {tokenizer_path}", lambda: WordTokens(tokenizer_path)), np.array([end_id], "<u4").tobytes()
@@ -129,11 +121,27 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most:
                     total.append(n)
                     at += k
                 held += 4 * n
-                if held > 16 << 20:  # so that a batch of long documents stays small
+                if held > MOST_HELD:
                     yield out()
                     doc, start, length, tokens, total, held = [], [], [], [], [], 0
             if doc:
                 yield out()
 
-    pieces = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return run
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: id, start, length, tokens, doc_tokens, sequence_id, offset.
+
+    tokens is binary: the ids as little-endian unsigned 32-bit numbers. length names the bucket; sequence_id is unique,
+    and offset is 0, as each piece is a whole sequence. start is the number of the document's ids before the piece.
+
+    * null or empty text: the end id alone, one piece of length 1;
+    * long texts: as many pieces as needed, nothing is cut off; repeated rows and null ids: packed like any other row;
+    * empty input: no rows. Other columns are not read. There is no shuffle.
+    """
+    decompose(1, most)
+    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("start", "long").add("length", "long").add("tokens", "binary").add("doc_tokens", "long")
+
+    pieces = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cut(tokenizer_path, end_id, most), schema)
     return pieces.select(F.col("doc_id").alias(id_col), "start", "length", "tokens", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

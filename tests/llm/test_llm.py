@@ -71,6 +71,15 @@ def test_packing_is_exact(spark, odd, none):
     assert packing.pack_documents(none, queries.tokenizer_path()).count() == 0
 
 
+def test_packing_holds_no_more_than_its_bound():
+    text = "one two three four five six seven eight nine ten " * 4_000
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": [text] * 60})
+    got = list(packing._cut(queries.tokenizer_path(), 2, 4096)(iter([rows])))
+    held = [sum(b.column("length").to_pylist()) * 4 for b in got]
+    one = held[0] // len(set(got[0].column("doc_id").to_pylist()))
+    assert sum(held) == 60 * one and max(held) <= (2 << 20) + one and len(got) > 3
+
+
 def test_word_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
