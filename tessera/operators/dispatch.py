@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -150,11 +151,12 @@ def table(engine: Engine, request: Request) -> DataFrame:
     return _ranked(both, request.top_k, F.col("part"), F.col("at"), F.col("chunk_id"))
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, top_k: int, lists: int = 100, probes: int = 10, sample: int = 20_000, seed: int = 7) -> DataFrame:
+def ivf_search(vectors: DataFrame, queries: DataFrame, top_k: int, lists: int = 100, probes: int = 10, sample: int = 20_000, seed: int = 7, block: int = 4096, piece: int = 20_000) -> DataFrame:
     """(query_id, vec_id, score, rank) from an inverted file: vectors are dealt to the nearest of `lists` centroids by k-means, and a query looks into the lists of its `probes` nearest ones.
 
     The centroids are fitted on at most `sample` vectors, those with the least hash; all vectors are in the index. Recall
-    is bought with probes; probes = lists is exact. A list is one key of a join that adaptive execution may split.
+    is bought with probes; probes = lists is exact. Some `block` queries of a list meet some `piece` of its vectors in one task,
+    as one product of matrices, and only their top_k go on, so a list may be of any size; pairs are not rows.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -169,6 +171,15 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, top_k: int, lists: int =
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).join(F.broadcast(centres), F.lit(True))  # `lists` rows
     near = F.row_number().over(Window.partitionBy("query_id").orderBy(away, "list"))
     asked = asked.withColumn("near", near).filter(F.col("near") <= probes).select("query_id", "q", "list")
-    dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    scored = asked.join(placed, "list").select("query_id", "vec_id", F.round(dot, 6).alias("score"))
+    sizes = dict(placed.groupBy("list").count().collect())  # `lists` rows
+    least = -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // k)
+    parts = F.get(F.array(*(F.lit(max(least, -(-sizes.get(i, 0) // piece))) for i in range(k))), F.col("list"))
+    blocks = max(1, -(-queries.count() // block))
+    left = placed.select("list", "vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part"))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    packed = asked.groupBy("list", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("query_id").alias("ids"), F.flatten(F.collect_list("q")).alias("q"))
+    right = packed.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
+    keys = ("list", "block", "part")
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(retrieval._nearest(top_k, -math.inf), f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
     return retrieval.top(scored, top_k, "query_id", "vec_id")

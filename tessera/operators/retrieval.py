@@ -100,11 +100,11 @@ def _held_terms(known):
     return run
 
 
-def _best(scores: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's k largest positive scores, of equal ones the earlier columns, if not below the row's floor."""
+def _best(scores: np.ndarray, k: int, floor: np.ndarray, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest scores above least, of equal ones the earlier columns, if not below the row's floor."""
     if scores.shape[1] > k:
         floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
-    r, c = np.nonzero((scores > 0) & (scores >= floor[:, None]))
+    r, c = np.nonzero((scores > least) & (scores >= floor[:, None]))
     order = np.lexsort((c, -scores[r, c], r))
     r, c = r[order], c[order]
     nth = np.arange(len(r)) - np.searchsorted(r, r)
@@ -163,6 +163,25 @@ def top(hits: DataFrame, k: int, by: str, key: str) -> DataFrame:
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _nearest(top_k: int, least: float):
+    """(query_id, vec_id, score) of a block of queries (ids, q: one row) and a part of the vectors (vec_id, embedding): each query's top_k above least."""
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        ids, q = np.array(right["ids"].iloc[0]), np.array(right["q"].iloc[0], float)
+        q, x, names = q.reshape(len(ids), -1), np.array(left["embedding"].tolist(), float), left["vec_id"].to_numpy()
+        order = np.argsort(names, kind="stable")
+        x, names, out = x[order], names[order], []
+        for at in range(0, len(ids), 256):
+            s = (q[at : at + 256] @ x.T).round(6)
+            r, c = _best(s, top_k, np.full(len(s), -np.inf), least)
+            out.append(pd.DataFrame({"query_id": ids[at : at + 256][r], "vec_id": names[c], "score": s[r, c]}))
+        return pd.concat(out)
+
+    return run
+
+
 def knn(vectors: DataFrame, queries: DataFrame, top_k: int, least: float = 0.0, block: int = 1024, piece: int = 20_000) -> DataFrame:
     """(query_id, vec_id, score, rank): exact nearest rows by inner product; scores to 6 digits, ties to the smaller vec_id.
 
@@ -179,23 +198,10 @@ def knn(vectors: DataFrame, queries: DataFrame, top_k: int, least: float = 0.0,
     parts = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // piece))
     held = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, q = np.array(right["ids"].iloc[0]), np.array(right["q"].iloc[0], float)
-        q, x, names = q.reshape(len(ids), -1), np.array(left["embedding"].tolist(), float), left["vec_id"].to_numpy()
-        order = np.argsort(names, kind="stable")
-        x, names, out = x[order], names[order], []
-        for at in range(0, len(ids), 256):
-            s = (q[at : at + 256] @ x.T).round(6)
-            r, c = _best(np.where(s > least, s - least, 0.0), top_k, np.zeros(len(s)))
-            out.append(pd.DataFrame({"query_id": ids[at : at + 256][r], "vec_id": names[c], "score": s[r, c]}))
-        return pd.concat(out)
-
     left = held.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     right = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(run, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(_nearest(top_k, least), f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
     return top(found, top_k, "query_id", "vec_id")
 
 

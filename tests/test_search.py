@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from tessera.operators import retrieval
+from tessera.operators import dispatch, retrieval
 from tessera.plans import search
 
 
@@ -35,3 +35,17 @@ def test_bm25_equals_loops(spark, block, sent):
 def test_recall_of_the_inverted_file(spark):
     some = search.ivf_recall(spark, "/root/testdata/sf0.1", 32, 16)
     assert 0.85 <= some < 1.0 and search.ivf_recall(spark, "/root/testdata/sf0.1", 32, 32) == 1.0
+
+
+def test_lists_are_searched_in_pieces(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = np.concatenate((r.normal(size=(240, 6)).round(2), -np.ones((60, 6))))  # one list holds many copies; scores below zero count
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = v.filter("vec_id % 3 = 0").selectExpr("vec_id AS query_id", "embedding")
+    found = dispatch.ivf_search(v, asked, 7, lists=4, probes=4, block=16, piece=20).collect()
+    s = (x @ x.T).round(6)
+    want = {(i, n + 1): (int(j), s[i, j]) for i in range(0, 300, 3) for n, j in enumerate(np.lexsort((np.arange(300), -s[i]))[:7])}
+    assert {(h.query_id, h.rank): (h.vec_id, h.score) for h in found} == want
+    assert {h.query_id for h in dispatch.ivf_search(v, asked, 300, lists=2, probes=2, block=7).filter("rank = 300").collect()} == set(range(0, 300, 3))
