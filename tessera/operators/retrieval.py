@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.scalars import tokens
+from tessera.functions.scalars import each, tokens
 from tessera.sources.rounds import settle
 
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -21,22 +21,34 @@ K1, B, RRF_K = 1.5, 0.75, 60
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, tf, dl): term frequencies and document lengths. One shuffle, combined in each task."""
     words = docs.select(key, tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
-    return words.select(key, "dl", F.explode("w").alias("term")).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return each(words, F.col("w"), "term", key, "dl").groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Postings, and (term, df, idf, avgdl) with idf = ln((N - df + 0.5) / (df + 0.5) + 1). Texts without words count in N."""
-    post = postings(docs, key, text)
-    total = docs.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    """Postings, and (term, df, idf, avgdl) with idf = ln((N - df + 0.5) / (df + 0.5) + 1). Texts without words count in N.
+
+    Frequencies are counted from each text's distinct words, so no postings are shuffled for them. Only texts that share key
+    and length, whose postings are one, go by postings.
+    """
+    words = docs.select(key, tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
+    sizes = settle(words.select(key, "dl"))
+    total = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = total["n"], total["avgdl"] or 1.0
-    terms = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    again = sizes.groupBy(F.col(key).alias("_key"), F.col("dl").alias("_dl")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    if again.isEmpty():
+        once = each(words, F.array_distinct("w"), "term")
+    else:
+        same = words[key].eqNullSafe(again["_key"]) & words["dl"].eqNullSafe(again["_dl"])
+        many = each(words.join(again, same, "left_semi"), F.col("w"), "term", key, "dl").distinct()
+        once = each(words.join(again, same, "left_anti"), F.array_distinct("w"), "term").unionByName(many.select("term"))
+    post, terms = postings(docs, key, text), once.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     return post, terms.select("term", "df", idf.alias("idf"), F.lit(float(avgdl)).alias("avgdl"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf) of queries(query_id, query)."""
-    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    return each(queries, tokens(F.col("query")), "term", "query_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, top_k: int, key: str = "doc_id", text: str = "text", most_sent: int = 1_000_000, block: int = 1024) -> DataFrame:
@@ -81,12 +93,24 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def _held_terms(known):
-    """Of each row (key, w) the number of words, and the known terms among them with their frequencies."""
+def _pieces(rows: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of rows with `most` elements of a column's lists each, or a single row."""
+    ends, at = np.cumsum(pc.fill_null(pc.list_value_length(rows.column(column)), 0).to_numpy()), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield rows.slice(at, to - at)
+        at = to
+
+
+def _held_terms(known, most_words: int = 200_000):
+    """Of each row (key, w) the number of words, and the known terms among them with their frequencies.
+
+    A batch of many rows is read in slices of most_words words, which bounds what the worker holds besides it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = known.value
-        for b in batches:
+        for b in (p for whole in batches for p in _pieces(whole, 1, most_words)):
             lists = b.column(1)
             n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
             flat = lists.flatten().dictionary_encode()
@@ -148,7 +172,7 @@ def _joined_scores(docs: DataFrame, asked: DataFrame, key: str, text: str) -> Da
     """(query_id, key, score) by joins, for query sets of any size."""
     wanted = asked.select("term").distinct()
     words = docs.select(key, tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
-    post = words.select(key, "dl", F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    post = each(words, F.col("w"), "term", key, "dl").join(wanted, "term", "left_semi").groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     total = words.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total), F.lit(True))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

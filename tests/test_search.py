@@ -49,3 +49,22 @@ def test_lists_are_searched_in_pieces(spark):
     want = {(i, n + 1): (int(j), s[i, j]) for i in range(0, 300, 3) for n, j in enumerate(np.lexsort((np.arange(300), -s[i]))[:7])}
     assert {(h.query_id, h.rank): (h.vec_id, h.score) for h in found} == want
     assert {h.query_id for h in dispatch.ivf_search(v, asked, 300, lists=2, probes=2, block=7).filter("rank = 300").collect()} == set(range(0, 300, 3))
+
+
+def test_words_are_read_in_pieces():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"k": list(range(9)), "w": [["a", "b", "c"]] * 5 + [None, [], ["a"] * 20, ["b"]]})
+    pieces = list(retrieval._pieces(rows, 1, 7))
+    assert pa.Table.from_batches(pieces).equals(pa.Table.from_batches([rows])) and [p.num_rows for p in pieces] == [2, 2, 3, 1, 1]
+    assert list(retrieval._pieces(rows.slice(0, 0), 1, 7)) == []
+
+
+def test_index_of_terms_shuffles_no_postings(spark):
+    rows = [(1, "a b b"), (1, "b c a"), (1, "x"), (2, None), (None, "a d d"), (None, "e a d"), (3, "")]
+    post, terms = retrieval.bm25_index(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = Counter(r.term for r in post.collect())
+    assert {r.term: r.df for r in terms.collect()} == want and want["a"] == 2
+    once = retrieval.bm25_index(spark.createDataFrame([(1, "a b b"), (2, "b c a")], "doc_id long, text string"))[1]
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in plan and plan.count("lower(") == 1 and {r.term: r.df for r in once.collect()} == {"a": 2, "b": 2, "c": 1}
