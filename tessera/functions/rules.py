@@ -125,6 +125,8 @@ def patterned(text: Column) -> Column:
     made = lambda kind, values, sure: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(sure).alias("confidence")))
     found = [made(kind, F.regexp_extract_all(text, F.lit(f"(?U){rx}"), F.lit(group)), sure) for kind, rx, group, sure in shipped.PATTERNS]
     for rx, sure in shipped.TERMS:
-        terms = F.transform(F.regexp_extract_all(text, F.lit(f"(?U){rx}"), F.lit(1)), lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", ""))
+        # what begins with any run of a line is found from the line's begin or the last match on, or nowhere further on in that line
+        begin = r"(?m)(?:\G|^)" if rx.startswith("(.+?)") else ""
+        terms = F.transform(F.regexp_extract_all(text, F.lit(f"(?U){begin}{rx}"), F.lit(1)), lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", ""))
         found.append(made("term", F.filter(terms, lambda v: (v != "") & (F.length(v) <= shipped.LONGEST_TERM)), sure))
     return F.coalesce(F.concat(*found), F.array().cast(form))

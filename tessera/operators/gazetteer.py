@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 from tessera.functions import rules, shipped
+from tessera.functions.scalars import each
 from tessera.operators.retrieval import spread
+from tessera.sources.rounds import settle
 
 #: Characters of the names that go to every task at once.
 BLOCK_CHARS = 4_000_000
@@ -120,7 +122,7 @@ def expand(texts: DataFrame, ids: list[str], text: str, groups: DataFrame, out:
     groups belongs to the last. ids name a text.
     """
     of = groups.groupBy("name").agg(F.max("group_id").alias("group_id"))
-    met = occurrences(texts, ids, text, groups, block_chars=block_chars)
+    met = settle(occurrences(texts, ids, text, groups, block_chars=block_chars))  # read three times
     kept = longest(met, ids, groups, block_chars=block_chars).join(of, "name").select(*ids, "first", "group_id", F.col("name").alias("had"))
     more = kept.join(groups, "group_id").filter("name <> had").groupBy(*ids, "name").agg(F.min(F.struct("first", "nth")).alias("place"))
     lacks = more.join(met.select(*ids, "name"), [more[c].eqNullSafe(met[c]) for c in [*ids, "name"]], "left_anti")
@@ -136,7 +138,7 @@ def entities(texts: DataFrame, ids: list[str], text: str) -> DataFrame:
     Null or blank texts have none. ids name a text; rows that share them are taken together.
     """
     whole = texts.select(*ids, F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("_whole"))
-    said = whole.select(*ids, F.explode(rules.patterned(F.col("_whole"))).alias("e")).select(*ids, "e.kind", "e.value", "e.confidence")
+    said = each(whole, rules.patterned(F.col("_whole")), "e", *ids).select(*ids, "e.kind", "e.value", "e.confidence")
     rows = [(name, kind, sure) for kind, sure, names in shipped.GAZETTEERS for name in names]
     known = texts.sparkSession.createDataFrame(rows, "name string, kind string, confidence double")
     named = occurrences(whole, ids, "_whole", known).join(F.broadcast(known), "name")  # a fixed table

@@ -87,3 +87,24 @@ def test_table_names_equal_all_pairs(spark):
             plain.append((i, t, level, round(-score, 6)))
     got = names.resolve_tables(spark.createDataFrame(asked, "ask_id long, text string"), spark.createDataFrame([(t,) for t in known], "name string"))
     assert sorted((x.ask_id, x.name, x.level, x.score) for x in got.collect()) == sorted(plain)
+
+
+def test_terms_of_long_lines_take_no_time_with_the_square(spark):
+    import re
+
+    from tessera.functions import rules
+
+    odd = ["", "是指", "是指是指", "a是指是指b是指", "x\ny是指\r\n是指z是指", "没有", "a是指\n\n是指 b", "储备是指c\u2028d是指"]
+    long = "字" * 100_000
+    rows = [*odd, f"储备是指{long}", long + "是指"]
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", rules.patterned(F.col("t")).alias("p")).collect()
+    line = lambda t: [x.strip() for part in re.split("[\n\r\x85\u2028\u2029]", t) for x in re.findall("(.+?)是指", part)]
+    for r in got:
+        want = ["储备"] if r.i == len(odd) else [] if r.i > len(odd) else [x for x in line(rows[r.i]) if x]
+        assert [p.value for p in r.p if p.kind == "term"] == want, rows[r.i][:40]
+
+
+def test_found_names_are_read_once(spark):
+    from tessera.plans.mentions import qu2_gazetteer
+
+    assert "MapInArrow run(doc_id" not in qu2_gazetteer(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
