@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import each
+
 FOUND = "array<struct<path:string,rule:string>>"
 ANNOTATIONS = {"$schema", "$id", "$comment", "title", "description", "default", "examples", "format", "definitions", "readOnly", "writeOnly"}
 KINDS = {"object": ("OBJECT",), "array": ("ARRAY",), "string": ("STRING",), "boolean": ("BOOLEAN",), "null": ("VOID",), "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")}
@@ -113,8 +115,8 @@ def _found(v: _Value, schema: dict | bool) -> list[Column]:
     if isinstance(items, list):
         raise ValueError("items may be one schema for all")
     if items is not True and items != {}:
-        each = F.transform(array, lambda x, i: F.concat(F.array().cast(FOUND), *_found(_Value(x, "", F.concat(v.path, F.lit("["), i.cast("string"), F.lit("]"))), items)))
-        out.append(F.when(v.is_a("array"), F.flatten(each)).otherwise(F.array().cast(FOUND)))
+        told = F.transform(array, lambda x, i: F.concat(F.array().cast(FOUND), *_found(_Value(x, "", F.concat(v.path, F.lit("["), i.cast("string"), F.lit("]"))), items)))
+        out.append(F.when(v.is_a("array"), F.flatten(told)).otherwise(F.array().cast(FOUND)))
     return out
 
 
@@ -130,10 +132,11 @@ def check(rows: DataFrame, column: str, schema: dict, out: str = "broken") -> Da
     Keywords: type, enum, const, required, properties, additionalProperties (true, false), items, lengths, sizes and bounds;
     annotations count for nothing, any other keyword is refused. A null text, or one that is no JSON, breaks `json`.
     """
-    return rows.withColumn(out, broken_rules(F.try_parse_json(F.col(column)), schema))
+    parsed = rows.withColumn("_parsed", F.try_parse_json(F.col(column)))  # by itself, as the rules read it dozens of times
+    return parsed.withColumn(out, broken_rules(F.col("_parsed"), schema)).drop("_parsed")
 
 
 def summary(rows: DataFrame, column: str, schema: dict) -> DataFrame:
     """(path, rule, n): how many texts break each rule at each path; places in arrays are told as [*]."""
-    each = check(rows.select(column), column, schema, "_broken").select(F.explode("_broken").alias("b"))
-    return each.select(F.regexp_replace("b.path", r"\[\d+\]", "[*]").alias("path"), "b.rule").groupBy("path", "rule").agg(F.count(F.lit(1)).alias("n"))
+    broken = each(check(rows.select(column), column, schema, "_broken"), F.col("_broken"), "b")
+    return broken.select(F.regexp_replace("b.path", r"\[\d+\]", "[*]").alias("path"), "b.rule").groupBy("path", "rule").agg(F.count(F.lit(1)).alias("n"))

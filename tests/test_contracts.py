@@ -35,3 +35,11 @@ def test_unknown_keywords_are_refused(spark):
         with pytest.raises(ValueError):
             contracts.check(rows, "text", schema)
     assert contracts.summary(rows.limit(0), "text", SCHEMA).count() == 0
+
+
+def test_a_text_is_parsed_once_a_row(spark):
+    from tessera.plans.mentions import EVENT
+
+    rows = spark.createDataFrame([("{}",), ("x",), (None,)], "t string").repartition(1)
+    plan = contracts.summary(rows, "t", EVENT)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") == 1 or plan.count("parseJson") == 1, plan[:3000]
