@@ -108,3 +108,8 @@ def test_found_names_are_read_once(spark):
     from tessera.plans.mentions import qu2_gazetteer
 
     assert "MapInArrow run(doc_id" not in qu2_gazetteer(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_are_made_once_for_bundles(spark):
+    plan = mentions.jn7_bundles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
