@@ -113,3 +113,8 @@ def test_found_names_are_read_once(spark):
 def test_links_are_made_once_for_bundles(spark):
     plan = mentions.jn7_bundles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Window" not in plan
+
+
+def test_links_are_made_once_for_walks(spark):
+    plan = mentions.jn6_walk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
