@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import give_back, worker_cache
 
 BITS = 20
 PREFIXES = (3, 4, 5, 6)
 EDGE = b".,;:!?|'\"()[]{}*#%$&-_"
 CACHED_WORDS = 80_000
+BLOCK = 512  # rows that are looked at together, so that little is held besides the features themselves
 
 
 class WordFeatures(dict):
@@ -44,6 +45,11 @@ def features(text: bytes, words: WordFeatures) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([words[w] for w in set(text.lower().split())]), "<i4"))
 
 
+def blocks(ptr: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows, BLOCK at most."""
+    return ((at, min(at + BLOCK, len(ptr) - 1)) for at in range(0, len(ptr) - 1, BLOCK))
+
+
 @dataclass
 class Linear:
     weights: np.ndarray  # of the hashed features
@@ -51,31 +57,48 @@ class Linear:
     bias: float
 
     def logits(self, ids: np.ndarray, ptr: np.ndarray, before: np.ndarray) -> np.ndarray:
-        total = np.r_[0.0, np.cumsum(self.weights[ids])]
-        return total[ptr[1:]] - total[ptr[:-1]] + before @ self.earlier + self.bias
+        sums, run = np.zeros(len(ptr) - 1), 0.0
+        for a, b in blocks(ptr):  # one running sum through all blocks: the sums do not depend on where these are cut
+            total, at = np.cumsum(np.r_[run, self.weights[ids[ptr[a] : ptr[b]]]]), ptr[a : b + 1] - ptr[a]
+            sums[a:b], run = total[at[1:]] - total[at[:-1]], total[-1]
+        return sums + before @ self.earlier + self.bias
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def telling(ids: np.ndarray, rows: np.ndarray, y: np.ndarray, least_z: float = 4.0, least_rows: int = 3) -> np.ndarray:
-    """Which features the two classes differ in: two-proportion z score of at least least_z, on least_rows rows or more."""
+def telling(ids: np.ndarray, ptr: np.ndarray, y: np.ndarray, least_z: float = 4.0, least_rows: int = 3) -> np.ndarray:
+    """The features the two classes differ in, in order: two-proportion z score of at least least_z, on least_rows rows or more."""
     n1, n0 = max(y.sum(), 1.0), max(len(y) - y.sum(), 1.0)
-    all_, one = np.bincount(ids, minlength=1 << BITS), np.bincount(ids, y[rows], 1 << BITS)
+    all_, one = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
+    for a, b in blocks(ptr):
+        part = ids[ptr[a] : ptr[b]]
+        all_ += np.bincount(part, minlength=1 << BITS)
+        one += np.bincount(part, np.repeat(y[a:b], np.diff(ptr[a : b + 1])), 1 << BITS)
+    names = np.flatnonzero(all_ >= least_rows)
+    all_, one = all_[names], one[names]
     p = all_ / max(len(y), 1)
     z = np.abs(one / n1 - (all_ - one) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    return (z >= least_z) & (all_ >= least_rows)
+    return names[z >= least_z]
+
+
+def cells(ids: np.ndarray, ptr: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in names) of each feature that is among names."""
+    place, rows, cols = np.full(1 << BITS, -1, np.int32), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    place[names] = np.arange(len(names))
+    for a, b in blocks(ptr):
+        col = place[ids[ptr[a] : ptr[b]]]
+        rows.append(np.repeat(np.arange(a, b), np.diff(ptr[a : b + 1]))[col >= 0])
+        cols.append(col[col >= 0].astype(np.int64))
+    return np.concatenate(rows), np.concatenate(cols)
 
 
 def fit_linear(ids: np.ndarray, ptr: np.ndarray, before: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 0.3, l2: float = 1e-5) -> Linear:
     """Logistic regression on the telling features by full-batch AdaGrad; the other weights are 0."""
-    rows = np.repeat(np.arange(len(y)), np.diff(ptr))
     m = Linear(np.zeros(1 << BITS), np.zeros(before.shape[1]), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
-    kept = telling(ids, rows, y)
-    some = kept[ids]
-    rows, names = rows[some], np.flatnonzero(kept)
-    cols = np.searchsorted(names, ids[some])
+    names = telling(ids, ptr, y)
+    rows, cols = cells(ids, ptr, names)
     w, gw, ge, gb = np.zeros(len(names)), np.full(len(names), 1e-8), np.full(before.shape[1], 1e-8), 1e-8
     for _ in range(rounds):
         z = np.bincount(rows, w[cols], len(y)) + before @ m.earlier + m.bias
@@ -166,15 +189,21 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")  # most_rows bounds it
     found = found.groupBy("doc_id").agg(F.min("text").alias("text"))
     marks = {r["doc_id"]: [r[f"c{i}"] for i in range(len(categories))] for r in sample.collect()}
-    rows = sorted(feature_rows(found, "doc_id", "text").collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), bytes(r["ids"])))
-    parts = [np.frombuffer(bytes(r["ids"]), "<i4") for r in rows]
+    got = feature_rows(found, "doc_id", "text").toArrow()  # not as rows, which the driver would hold twice
+    rows = sorted(zip(got["doc_id"].to_pylist(), (x.as_buffer() for x in got["ids"]), strict=True), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0])))
+    parts = [np.frombuffer(ids, "<i4") for _, ids in rows]
     ptr = np.r_[0, np.cumsum([len(p) for p in parts], dtype=np.int64)].astype(np.int64)
     ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    y = np.array([marks[r["doc_id"]] for r in rows], float).reshape(len(rows), len(categories))
-    if not len(rows):
+    y = np.array([marks[doc_id] for doc_id, _ in rows], float).reshape(len(rows), len(categories))
+    del got, rows, parts
+    give_back()
+    if not len(y):
         flat = [Linear(np.zeros(1 << BITS), np.zeros(i), -9.0) for i in range(len(categories))]
         return Chain(tuple(categories), flat, [0.5] * len(categories))
-    return fit_chain(ids, ptr, y, tuple(categories))
+    chain = fit_chain(ids, ptr, y, tuple(categories))
+    del ids
+    give_back()
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

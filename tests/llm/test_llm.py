@@ -6,6 +6,7 @@ import io
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -642,6 +643,42 @@ def test_chain_probabilities_equal_plain_loops(spark):
         assert [r.p_a, r.p_b] == [pytest.approx(p, abs=1e-9) for p in before]
 
 
+def test_chain_is_fitted_in_little_memory():
+    """As a plain fit over all features at once, of which the driver cannot hold several arrays as long as the features."""
+    r = np.random.default_rng(5)
+    n, each, one = 2500, 1600, 1 << toxicity.BITS
+    y = (r.random((n, 2)) < [0.3, 0.2]).astype(float)
+    rows = [np.unique(np.r_[r.integers(100, 40_000, each), np.flatnonzero(r.random(50) < 0.1 + 0.2 * a), 50 + np.flatnonzero(r.random(50) < 0.1 + 0.1 * b)]) for a, b in y]
+    ids, ptr = np.concatenate(rows).astype("<i4"), np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int64)
+
+    def fit(ids, ptr, before, y):
+        own = np.repeat(np.arange(len(y)), np.diff(ptr))
+        all_, hit = np.bincount(ids, minlength=one), np.bincount(ids, y[own], one)
+        n1, n0, p = y.sum(), len(y) - y.sum(), all_ / len(y)
+        kept = (np.abs(hit / n1 - (all_ - hit) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0)) >= 4) & (all_ >= 3)
+        own, names, cols = own[kept[ids]], np.flatnonzero(kept), np.searchsorted(np.flatnonzero(kept), ids[kept[ids]])
+        w, e, bias = np.zeros(len(names)), np.zeros(before.shape[1]), math.log((n1 + 0.5) / (n0 + 0.5))
+        gw, ge, gb = np.full(len(w), 1e-8), np.full(len(e), 1e-8), 1e-8
+        for _ in range(200):
+            g = (toxicity.sigmoid(np.bincount(own, w[cols], len(y)) + before @ e + bias) - y) / len(y)
+            dw, de, db = np.bincount(cols, g[own], len(w)) + 1e-5 * w, before.T @ g + 1e-5 * e, g.sum()
+            gw, ge, gb = gw + dw * dw, ge + de * de, gb + db * db
+            w, e, bias = w - 0.3 * dw / np.sqrt(gw), e - 0.3 * de / np.sqrt(ge), bias - 0.3 * db / np.sqrt(gb)
+        weights = np.zeros(one)
+        weights[names] = w
+        return weights, e, bias
+
+    tracemalloc.start()
+    chain = toxicity.fit_chain(ids, ptr, y, ("a", "b"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    weights, _, bias = fit(ids, ptr, np.zeros((n, 0)), y[:, 0])
+    assert np.array_equal(chain.models[0].weights, weights) and chain.models[0].bias == bias and (weights != 0).sum() > 40
+    sums = np.r_[0.0, np.cumsum(weights[ids])]
+    assert np.array_equal(chain.models[0].logits(ids, ptr, np.zeros((n, 0))), sums[ptr[1:]] - sums[ptr[:-1]] + bias)
+    assert peak < 6 * ids.nbytes, peak / ids.nbytes
+
+
 def test_chain_reads_one_text_an_id(spark):
     docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
     known = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, a int")
