@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tessera.operators import filters, retrieval, shapes, tables
 from tessera.operators.names import resolve_tables
+from tessera.sources.rounds import settle
 
 STRATEGIES = ("bm25", "dense", "hybrid", "exact", "metadata", "relation", "table")
 FUSED, FUSED_LEAST = 3, 50  # candidates of the table strategy's fallback: three times what is asked for, 50 at least
@@ -45,6 +46,8 @@ class Engine:
     def __init__(self, chunks: DataFrame, vectors: DataFrame | None = None, cells: DataFrame | None = None, substring_fields: tuple[str, ...] = filters.SUBSTRING_FIELDS, **channels: Channel):
         self.chunks, self.vectors, self.cells, self.substring_fields = chunks, vectors, cells, substring_fields
         self.channels: dict[str, Channel] = {"bm25": bm25, "dense": dense, "hybrid": hybrid, "exact": exact, "metadata": metadata, "relation": metadata, "table": table} | channels
+        self.texts: dict[str, tuple[int, DataFrame]] = {}  # found for a text or a vector beforehand: how many at most, and these
+        self.nearest: dict[tuple[float, ...], tuple[int, DataFrame]] = {}
 
     def allowed(self, request: Request) -> DataFrame | None:
         """Chunks that pass the filters: all of them, else without that on doc_name, else None (no filter), as a filter that nothing passes should not leave a question without hits."""
@@ -56,16 +59,39 @@ class Engine:
                 return rows.select("chunk_id")
         return None
 
+    def search_all(self, requests: list[Request]) -> list[DataFrame]:
+        """What search returns for each request; what their texts and vectors find is looked up in one pass over the chunks and one over the vectors."""
+        texts: dict[str, int] = {}
+        vectors: dict[tuple[float, ...], int] = {}
+        for r in requests:
+            k, channel = max(FUSED * r.top_k, FUSED_LEAST), self.channels.get(r.strategy)
+            text, n, m = {bm25: (r.query, r.top_k, 0), dense: ("", 0, r.top_k), hybrid: (r.query, r.bm25_k, r.vector_k), table: (_pattern(r), k, k)}.get(channel, ("", 0, 0))
+            if text and n:
+                texts[text] = max(n, texts.get(text, 0))
+            if m and r.vector is not None and self.vectors is not None and (channel is not table or text):
+                vectors[r.vector] = max(m, vectors.get(r.vector, 0))
+        spark = self.chunks.sparkSession
+        if texts:
+            k, asked = max(texts.values()), spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+            found = settle(retrieval.bm25_search(self.chunks, asked, k, "chunk_id", "content").select("query_id", "chunk_id", "score", "rank"))
+            self.texts |= {t: (k, found.filter(F.col("query_id") == i).drop("query_id")) for i, t in enumerate(texts)}
+        if vectors:
+            k, asked = max(vectors.values()), spark.createDataFrame([(i, list(v)) for i, v in enumerate(vectors)], "query_id int, embedding array<double>")
+            found = settle(retrieval.knn(self.vectors.withColumnRenamed("chunk_id", "vec_id"), asked, k).select("query_id", F.col("vec_id").alias("chunk_id"), "score", "rank"))
+            self.nearest |= {v: (k, found.filter(F.col("query_id") == i).drop("query_id")) for i, v in enumerate(vectors)}
+        return [self.search(r) for r in requests]
+
     def search(self, request: Request) -> DataFrame:
         """(chunk_id, score, rank, matched_by, trace) of the strategy's channel, after its filters, best first."""
         if request.strategy not in self.channels:
             raise ValueError(f"unknown strategy {request.strategy!r}")
-        hits = self.channels[request.strategy](self, request)
+        most = max(request.top_k, request.bm25_k + request.vector_k, FUSED * request.top_k, FUSED_LEAST)
+        hits = self.channels[request.strategy](self, request).filter(F.col("rank") <= most)
         if request.strategy not in ("metadata", "relation", "table") and (kept := self.allowed(request)) is not None:
-            hits = hits.join(kept, "chunk_id", "left_semi")
+            hits = _among(hits, kept)
         told = {"request_id": F.lit(request.request_id), "strategy": F.lit(request.strategy)}
         again = F.row_number().over(Window.orderBy("rank", "chunk_id"))  # at most top_k or some dozen rows
-        hits = hits.filter(F.col("rank") <= max(request.top_k, request.bm25_k + request.vector_k, FUSED * request.top_k, FUSED_LEAST)).withColumn("rank", again).filter(F.col("rank") <= request.top_k)
+        hits = hits.withColumn("rank", again).filter(F.col("rank") <= request.top_k)
         return hits.select("chunk_id", "score", "rank", F.array(F.lit(request.strategy)).alias("matched_by"), shapes.trace(told, {"score": F.round("score", 6)}).alias("trace"))
 
     def chunk(self, chunk_id: object) -> DataFrame:
@@ -86,7 +112,21 @@ def _ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return few.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("chunk_id", "score", "rank")
 
 
+def _among(hits: DataFrame, rows: DataFrame) -> DataFrame:
+    """The hits, some dozen rows, whose chunks are among rows; these are cut to the hits first, so that no ids of a whole corpus are shuffled."""
+    hits = settle(hits)
+    few = rows.select("chunk_id").join(F.broadcast(hits.select("chunk_id")), "chunk_id", "left_semi")
+    return hits.join(few, "chunk_id", "left_semi")
+
+
+def _pattern(request: Request) -> str:
+    return str(request.filters.get("pattern", request.query))
+
+
 def bm25(engine: Engine, request: Request, k: int | None = None) -> DataFrame:
+    most, found = engine.texts.get(request.query, (0, None))
+    if (k or request.top_k) <= most:
+        return found.filter(F.col("rank") <= (k or request.top_k))
     asked = engine.chunks.sparkSession.createDataFrame([(0, request.query)], "query_id int, query string")
     return retrieval.bm25_search(engine.chunks, asked, k or request.top_k, "chunk_id", "content").select("chunk_id", "score", "rank")
 
@@ -94,6 +134,9 @@ def bm25(engine: Engine, request: Request, k: int | None = None) -> DataFrame:
 def dense(engine: Engine, request: Request, k: int | None = None) -> DataFrame:
     if engine.vectors is None or request.vector is None:
         raise ValueError("the dense channel needs vectors and an encoded query")
+    most, found = engine.nearest.get(request.vector, (0, None))
+    if (k or request.top_k) <= most:
+        return found.filter(F.col("rank") <= (k or request.top_k))
     asked = engine.chunks.sparkSession.createDataFrame([(0, list(request.vector))], "query_id int, embedding array<double>")
     found = retrieval.knn(engine.vectors.withColumnRenamed("chunk_id", "vec_id"), asked, k or request.top_k)
     return found.select(F.col("vec_id").alias("chunk_id"), "score", "rank")
@@ -126,7 +169,7 @@ def table(engine: Engine, request: Request) -> DataFrame:
     """Rows of the named table that have the pattern (of all tables, if the name resolves to none), then fused hits on the pattern that are not among them; doc_name restricts the fused hits."""
     if engine.cells is None:
         raise ValueError("the table strategy needs parsed tables")
-    told, pattern = str(request.filters.get("table_name", "")), str(request.filters.get("pattern", request.query))
+    told, pattern = str(request.filters.get("table_name", "")), _pattern(request)
     rows = engine.cells
     if told:
         spark = rows.sparkSession
@@ -144,7 +187,7 @@ def table(engine: Engine, request: Request) -> DataFrame:
     if request.filters.get("doc_name"):
         kept = filters.metadata_filter(engine.chunks, {"doc_name": ("eq", request.filters["doc_name"])}, "chunk_id", substring_fields=engine.substring_fields)
         if not kept.isEmpty():
-            more = more.join(kept.select("chunk_id"), "chunk_id", "left_semi")
+            more = _among(more, kept)
     rest = more.join(first.select("chunk_id"), "chunk_id", "left_anti")
     top = first.orderBy("place").limit(request.top_k).select("chunk_id", "score", F.lit(0).alias("part"), F.row_number().over(Window.orderBy("place")).alias("at"))
     both = top.unionByName(rest.select("chunk_id", "score", F.lit(1).alias("part"), F.col("rank").alias("at")))

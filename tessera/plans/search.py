@@ -40,7 +40,7 @@ def ret11_strategies(spark, sf):
         dispatch.Request("license", "exact", 20, {"lang": "en"}), dispatch.Request("", "metadata", 20, {"lang": "de"}), dispatch.Request("", "relation", 20, {"lang": "fr"}),
         dispatch.Request("licensed under", "table", 20, {"table_name": "nations of 2", "doc_name": "src1"}),
     ]
-    found = [engine.search(r).select(F.lit(r.strategy).alias("strategy"), "chunk_id", "rank") for r in requests]
+    found = [hits.select(F.lit(r.strategy).alias("strategy"), "chunk_id", "rank") for r, hits in zip(requests, engine.search_all(requests), strict=True)]
     return reduce(lambda a, b: a.unionByName(b), found)
 
 

@@ -68,3 +68,29 @@ def test_index_of_terms_shuffles_no_postings(spark):
     once = retrieval.bm25_index(spark.createDataFrame([(1, "a b b"), (2, "b c a")], "doc_id long, text string"))[1]
     plan = once._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" not in plan and plan.count("lower(") == 1 and {r.term: r.df for r in once.collect()} == {"a": 2, "b": 2, "c": 1}
+
+
+def test_strategies_share_a_pass(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, f"w{i % 5} w{i % 3} word", "ab"[i % 2], f"doc{i % 4}") for i in range(60)], "chunk_id long, content string, lang string, doc_name string")
+    vectors = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(60)], "chunk_id long, embedding array<double>")
+    cells = spark.createDataFrame([], "table_id string, chunk_id long, row_index int, col_name string, value string")
+    up, side = (1.0, 0.5), (0.0, 1.0)
+    asked = [
+        dispatch.Request("w1 w2", "bm25", 9, {"lang": "a", "doc_name": "none"}), dispatch.Request("w1 w2", "hybrid", 12, {"doc_name": "doc1"}, up, bm25_k=30, vector_k=25), dispatch.Request("w4", "bm25", 30),
+        dispatch.Request("", "dense", 7, {"lang": "b"}, up), dispatch.Request("", "dense", 5, vector=side), dispatch.Request("", "bm25", 5), dispatch.Request("word", "exact", 8, {"lang": "b"}),
+    ]
+    alone = [sorted(map(tuple, dispatch.Engine(chunks, vectors, cells).search(r).select("chunk_id", "score", "rank").collect())) for r in asked]
+    calls = Counter()
+    for name in ("bm25_search", "knn"):
+        monkeypatch.setattr(retrieval, name, lambda *a, _name=name, _real=getattr(retrieval, name), **k: calls.update([_name]) or _real(*a, **k))
+    found = [sorted(map(tuple, hits.select("chunk_id", "score", "rank").collect())) for hits in dispatch.Engine(chunks, vectors, cells).search_all(asked)]
+    assert found == alone and all(len(x) for x, r in zip(found, asked, strict=True) if r.query or r.vector)
+    assert calls == {"bm25_search": 2, "knn": 1}  # the empty text finds nothing and is asked by itself
+
+
+def test_filters_shuffle_no_ids_of_all_chunks(spark):
+    chunks = spark.range(50_000).selectExpr("id AS chunk_id", "concat('w', id % 7, ' w', id) AS content", "IF(id % 2 = 0, 'a', 'b') AS lang")
+    hits = dispatch.Engine(chunks).search(dispatch.Request("w3", "bm25", 5, {"lang": "a"}))
+    assert [x.chunk_id % 2 for x in hits.collect()] == [0] * hits.count() != []
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi, (chunk_id") < plan.rindex("Join LeftSemi") and "strategy=broadcast" in plan, plan
