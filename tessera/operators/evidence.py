@@ -28,16 +28,34 @@ def dedup_ids(hits: DataFrame) -> DataFrame:
     return first_by(hits.filter(named), F.col("chunk_id"), [F.col("idx")]).unionByName(hits.filter(~named))
 
 
-def dedup_contents(hits: DataFrame) -> DataFrame:
-    """Best score of each trimmed content, the first by idx on ties."""
-    return first_by(hits, F.md5(F.trim("content")), [F.desc("score"), F.col("idx")])
+def dedup_contents(hits: DataFrame, key: str | None = None) -> DataFrame:
+    """Best score of each trimmed content, the first by idx on ties. key: the column that holds content_key, where hits come without contents."""
+    return first_by(hits, F.col(key) if key else content_key(), [F.desc("score"), F.col("idx")])
+
+
+def content_key() -> Column:
+    return F.unhex(F.md5(F.trim("content")))
 
 
 def dedup_contained(hits: DataFrame) -> DataFrame:
-    """Drop contents that a longer content contains (both of at least ten characters). Contents are joined once, whatever their copies; the hits are written, as they are read twice."""
-    hits = settle(hits)
-    gone = containment.contained(hits.select("content")).select(F.col("content").alias("_gone"))
-    return hits.join(gone, F.col("content") == F.col("_gone"), "left_anti")
+    """Drop contents that a longer content contains (both of at least ten characters). Contents are joined once, whatever their copies; the hits are written, as they are read several times."""
+    hits = settle(hits.withColumn("_row", F.monotonically_increasing_id()))
+    rows = hits.select(F.col("_row").alias("id"), F.col("content").alias("t"))
+    first = settle(containment.firsts(rows.filter(F.length("t") >= containment.SHORTEST)))
+    gone = first.join(containment.contained_rows(rows, first.select("id")).select("id"), "id", "left_semi").select(F.col("digest").alias("_gone"))
+    return hits.join(gone, containment.digest("content") == F.col("_gone"), "left_anti").drop("_row")
+
+
+def dedup_stages(hits: DataFrame) -> DataFrame:
+    """idx of the hits that dedup_ids, dedup_contents and dedup_contained leave one after the other.
+
+    Contents stay where they are: the first two stages shuffle digests, the last one keys and sizes. So hits are read several
+    times and must come out the same each time, as rows of a table do, each with an idx (long) of its own.
+    """
+    narrow = hits.select("idx", "chunk_id", "score", content_key().alias("key"))
+    kept = settle(dedup_contents(dedup_ids(narrow), "key").select("idx"))
+    gone = containment.contained_rows(hits.select(F.col("idx").alias("id"), F.col("content").alias("t")), kept.select(F.col("idx").alias("id")))
+    return kept.join(gone.select(F.col("id").alias("idx")), "idx", "left_anti")
 
 
 def parents(hits: DataFrame, separator: str = " > ") -> DataFrame:

@@ -68,7 +68,7 @@ def str5_context(spark, sf):
 @query(HITS + ", a AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY md5(trim(content)) ORDER BY score DESC, idx) = 1) SELECT idx FROM a x WHERE NOT (length(content) >= 10 AND EXISTS (SELECT 1 FROM a y WHERE length(y.content) > length(x.content) AND contains(y.content, x.content)))")
 def evd2_dedup_stages(spark, sf):
     """Ids, then contents, then contained contents, over all chunks."""
-    return evidence.dedup_contained(evidence.dedup_contents(evidence.dedup_ids(hits(spark, sf)))).select("idx")
+    return evidence.dedup_stages(hits(spark, sf))
 
 
 @query("SELECT doc_id, '<' || source || '> ' || lang AS citation, lang || ': ' || n_chars || ' chars, source ' || source AS explained FROM documents")
