@@ -31,7 +31,7 @@ from tessera.sources.rounds import settle
 SCALES = ((10, 1), (12, 2), (15, 3), (20, 5), (26, 9), (36, 21), (60, 41), (100, 81), (170, 151), (290, 271), (500, 481), (900, 801), (1600, 1401), (3000, 2601))
 SPANS = np.array([g + w - 1 for g, w in SCALES])
 SHORTEST = sum(SCALES[0]) - 1
-#: A table of keys has 2 to the power of so many bits at least (if that many are allowed) and at most, 16 MB; with more keys more is shuffled for nothing.
+#: A table of keys has 2 to the power of so many bits at least (if that many are allowed) and at most, 16 MB; with more keys more is shuffled for nothing. The driver gets so many words of 64 bits at a time.
 LEAST_BITS, MOST_BITS = 20, 27
 MOST_WORDS = 1 << 22
 #: Letters that a question may have to the left and to the right of its gram, at first: as many as the text has, or the next fewer of these; and up to how many more.
@@ -296,7 +296,7 @@ def _tables(keys: DataFrame, most_bits: int) -> dict[int, np.ndarray]:
     mask = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(g, {6 * i}) & 63 AS int))" for i in range(3))
     words = keys.select("kind", "g", of_kind.alias("b")).groupBy("kind", F.expr("shiftrightunsigned(g, 70 - b)").alias("word")).agg(F.bit_or(F.expr(mask)).alias("bits"))
     out, at_once = {k: np.zeros(1 << (b - 6), np.uint64) for k, b in bits.items()}, [[]]
-    for k in out:  # the driver gets some 4 million words at a time
+    for k in out:
         if at_once[-1] and sum(len(out[x]) for x in at_once[-1]) + len(out[k]) > MOST_WORDS:
             at_once.append([])
         at_once[-1].append(k)
@@ -341,6 +341,8 @@ def contained_rows(rows: DataFrame, kept: DataFrame | None = None, most_bits: in
     each_asked = F.inline(F.array(*(F.struct((F.col("scale") * len(ASKED) + i).alias("kind"), F.col(c).alias("g")) for i, c in enumerate(ASKED))))
     tables = send(_tables(asked.select(each_asked), most_bits))
     outer = settle(taken(each.mapInArrow(_answers(tables, common=common), "oid long, outer_size int, q long"), "oid"))
+    for done in (common, tables):
+        done.destroy()
     match = asked.join(outer, "q").filter("outer_size > size").select("id", "oid", "outer_size")
     # One container is enough: the longest that may be one is tried first, the others only where that was none.
     first = settle(match.groupBy("id").agg(F.max(F.struct("outer_size", "oid")).alias("m"), F.count(F.lit(1)).alias("n")).select("id", "m.oid", "n"))
